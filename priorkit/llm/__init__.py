@@ -1,0 +1,11 @@
+"""Operators for preparing text corpora; nothing outside this package imports it.
+
+Functions handed to Python workers are pickled by value, so executors need no
+copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "pii")
+MODULES = ("toxicity", "language", "mixing", "pii", "quality_rules", "quality", "spotsigs", "sentencepiece_bpe", "token_counts", "ngram_join")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -4,8 +4,8 @@ A unit is a token in lower case, or a run of single characters written apart
 ("i d i o t") joined up. The kernel of two units counts the subsequences of four
 symbols they share, each weighted DECAY ** span in either unit; a subsequence may
 skip symbols up to a span of SPAN, so inserted and gapped letters cost weight, not
-the match. Signs and foreign letters only make gaps; digits and signs that stand
-for letters are read as those.
+the match. Signs only make gaps; digits and signs that stand for letters are read
+as those; letters outside a to z share a few symbols.
 
 Training: labelled documents are cut into sentences and units. A unit that follows
 many different units in toxic documents and next to none in clean ones is a
@@ -13,8 +13,9 @@ positive example, others are negative ones; different neighbours are counted, so
 that copies of one text count once. A linear SVM is fitted on the Nystroem features
 of the landmarks. Because the kernel is a dot product of subsequence weights,
 the fitted sum over landmarks folds into one weight for each subsequence, and a
-unit is scored in one pass over its symbols. A document's margin is the largest of
-its units'; a logistic curve fitted on the sample turns it into the score.
+unit is scored in one pass over its symbols. A document shows its largest margin, how
+many units have a positive one, and their share; a logistic curve over these three,
+fitted on the sample, gives the score.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .common import chunks, labelled_sample, remainder, table
 #: Bounds of the fit: labelled documents, positive and negative units, landmarks.
 MOST_DOCS, MOST_POSITIVE, MOST_NEGATIVE, LANDMARKS = 6000, 200, 3000, 160
 LENGTH, SPAN, DECAY = 4, 7, 0.75
-SYMBOLS = 29
-GAP, FIRST, LAST = 26, 27, 28
+GAP, FIRST, LAST, FOREIGN = 26, 27, 28, 29
+SYMBOLS = FOREIGN + 4
 #: Signs written in place of letters.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 TRIM = ".,;:!?#*$%&|\"'()[]"
@@ -52,14 +53,17 @@ def units_of(text: str) -> list[str]:
     return [w.strip(TRIM) for w in text.split()] + ["".join(m.split()) for m in _APART.findall(text)]
 
 
+def symbol(c: str) -> int:
+    return _CODE[c] if c in _CODE else FOREIGN + ord(c) % 4 if c.isalpha() else GAP
+
+
 def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all units in one array, with SPAN gaps after each; starts of the units."""
     flat, starts = [], []
-    get = _CODE.get
     for u in units:
         starts.append(len(flat))
         flat.append(FIRST)
-        flat += [get(c, GAP) for c in u]
+        flat += map(symbol, u)
         flat.append(LAST)
         flat += [GAP] * SPAN
     return np.array(flat, np.int32), np.array(starts, np.int64)
@@ -73,63 +77,73 @@ def features(symbols: np.ndarray, n: int):
         yield ((s[0] * SYMBOLS + s[a]) * SYMBOLS + s[b]) * SYMBOLS + s[c], DECAY ** (c + 1), real[0] & real[a] & real[b] & real[c]
 
 
-def norms(units: list[str]) -> np.ndarray:
-    """The kernel's scale of a unit: the root of its summed squared subsequence weights, by its number of symbols."""
-    def scale(length: int) -> float:
-        return sum(max(0, length - c[-1]) * DECAY ** (2 * (c[-1] + 1)) for c in _COMBOS) ** 0.5 or 1.0
-
-    longest = max(map(len, units), default=0) + 3
-    scales = np.array([scale(i) for i in range(longest)])
-    return scales[[len(u) + 2 for u in units]]
-
-
-def dense(unit: str) -> np.ndarray:
-    """The unit's weights over all subsequences, scaled."""
-    symbols, _ = encode([unit])
-    out = np.zeros(SYMBOLS**LENGTH, np.float32)
-    n = len(unit) + 2
+def dot(units: list[str], weights: np.ndarray) -> np.ndarray:
+    """Product of each unit's subsequence weights, scaled to length 1, with `weights`."""
+    if not units:
+        return np.zeros(0, np.float32)
+    symbols, starts = encode(units)
+    n = len(symbols) - SPAN
+    at, squares = np.zeros(n, np.float32), np.zeros(n, np.float32)
     for code, w, real in features(symbols, n):
-        np.add.at(out, code[real], w)
-    return out / norms([unit])[0]
+        at += np.float32(w) * (weights[code] * real)
+        squares += np.float32(w * w) * real
+    scale = np.sqrt(np.add.reduceat(squares, starts))
+    return np.add.reduceat(at, starts) / np.where(scale > 0, scale, 1)
 
 
-def dot(units: list[str], weights: np.ndarray) -> np.ndarray:
-    """Scaled product of each unit's subsequence weights with `weights` (features, or features x m)."""
-    if not units:
-        return np.zeros((0, *weights.shape[1:]), np.float32)
+def rows_of(units: list[str], columns: np.ndarray) -> np.ndarray:
+    """A dense row of scaled weights for each unit, over the subsequences in the sorted `columns`."""
+    out = np.zeros((len(units), len(columns)), np.float32)
     symbols, starts = encode(units)
     n = len(symbols) - SPAN
-    at = np.zeros((n, *weights.shape[1:]), np.float32)
+    owner = np.searchsorted(starts, np.arange(n), side="right") - 1
+    squares = np.zeros(len(units))
     for code, w, real in features(symbols, n):
         i = np.flatnonzero(real)
-        at[i] += np.float32(w) * weights[code[i]]
-    total = np.add.reduceat(at, starts, axis=0)
-    return total / norms(units).astype(np.float32).reshape(-1, *[1] * (total.ndim - 1))
+        squares += np.bincount(owner[i], minlength=len(units)) * (w * w)
+        col = np.searchsorted(columns, code[i])
+        col[col == len(columns)] = 0
+        there = columns[col] == code[i]
+        np.add.at(out, (owner[i][there], col[there]), np.float32(w))
+    return out / np.sqrt(np.where(squares > 0, squares, 1))[:, None].astype(np.float32)
+
+
+def subsequences(units: list[str]) -> np.ndarray:
+    symbols, _ = encode(units)
+    return np.unique(np.concatenate([code[real] for code, _, real in features(symbols, len(symbols) - SPAN)]))
 
 
 @dataclass
 class Model:
     weights: np.ndarray  # by subsequence
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: np.ndarray  # of the three features and 1
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = [dot(units[i : i + 20_000], self.weights) for i in range(0, len(units), 20_000)]
         return (np.concatenate(out) if out else np.zeros(0)) + self.bias
 
-    def documents(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
-        """The largest margin of any unit in each text; -1 is the least, and that of an empty text."""
+    def features(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
+        """Of each text: the largest margin of its units, the log of its hits, and of their share. A text without units has the least margin, -1."""
         parts = [units_of(t.lower()) for t in texts]
         if len(cache) > MOST_CACHED:
             cache.clear()
         new = list({u for p in parts for u in p if u not in cache})
-        cache.update(zip(new, self.margins(new).tolist()))
-        get = cache.__getitem__
-        return np.array([max(max(map(get, p), default=-1.0), -1.0) for p in parts])
+        cache.update(zip(new, np.clip(self.margins(new), -1, 1).tolist()))
+        out = np.empty((len(parts), 3))
+        for i, p in enumerate(parts):
+            m = np.fromiter(map(cache.__getitem__, p), float, len(p))
+            hits = (m > 0).sum()
+            out[i] = m.max(initial=-1), np.log1p(hits), np.log((hits + 0.3) / (len(p) + 30))
+        return out
+
+    def scores(self, texts: list, cache: dict[str, float]) -> np.ndarray:
+        """The score of each text; nulls are empty texts."""
+        rows = [self.features(run, cache) for _, run in chunks(texts)]
+        return self.score(np.concatenate(rows)) if rows else np.zeros(0)
 
-    def score(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def unit_counts(sample: DataFrame) -> DataFrame:
@@ -154,18 +168,19 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     )
 
 
-def fit_svm(positive: list[str], negative: list[str], landmarks: int = LANDMARKS, c: float = 30.0, steps: int = 400) -> Model:
+def fit_svm(positive: list[str], negative: list[str], landmarks: int = LANDMARKS, c: float = 5000.0, steps: int = 60) -> Model:
     """A squared-hinge SVM on Nystroem features; both classes weigh the same in sum."""
     if not positive or not negative:
-        return Model(np.zeros(SYMBOLS**LENGTH, np.float32), -1.0)
+        return Model(np.zeros(SYMBOLS**LENGTH, np.float32), -1.0, np.zeros(4))
     half = landmarks // 2
     marks = positive[:half] + negative[: landmarks - min(half, len(positive))]
-    basis = np.stack([dense(u) for u in marks], axis=1)
-    values, vectors = np.linalg.eigh((basis.T @ basis).astype(np.float64))
+    columns = subsequences(marks)
+    basis = rows_of(marks, columns).T.astype(np.float64)
+    values, vectors = np.linalg.eigh(basis.T @ basis)
     keep = values > 1e-6 * values.max()
     project = vectors[:, keep] / np.sqrt(values[keep])
     units = positive + negative
-    x = np.concatenate([dot(units[i : i + 500], basis) for i in range(0, len(units), 500)]).astype(np.float64) @ project
+    x = np.concatenate([rows_of(units[i : i + 200], columns) @ basis for i in range(0, len(units), 200)]) @ project
     x = np.hstack([x, np.ones((len(units), 1))])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     cost = np.r_[np.full(len(positive), c / len(positive)), np.full(len(negative), c / len(negative))]
@@ -179,21 +194,23 @@ def fit_svm(positive: list[str], negative: list[str], landmarks: int = LANDMARKS
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
-    return Model((basis @ (project @ w[:-1])).astype(np.float32), float(w[-1]))
+    weights = np.zeros(SYMBOLS**LENGTH, np.float32)
+    weights[columns] = basis @ (project @ w[:-1])
+    return Model(weights, float(w[-1]), np.zeros(4))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps with a small ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x and of 1, by Newton steps with a small ridge."""
     a = np.c_[x, np.ones(len(x))]
-    w = np.zeros(2)
+    w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - 1e-3 * w)
+        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, most_docs: int = MOST_DOCS) -> Model:
@@ -208,28 +225,28 @@ def train(docs: DataFrame, labels: DataFrame, held_out, most_docs: int = MOST_DO
     negative += [r["unit"] for r in clean.orderBy(F.xxhash64("unit"), "unit").limit(MOST_NEGATIVE // 2).collect()]
     model = fit_svm(positive, list(dict.fromkeys(negative)))
 
-    def rate(batches):
+    def show(batches):
         cache: dict[str, float] = {}
         for pdf in batches:
-            yield pd.DataFrame({"margin": model.documents(pdf["text"].fillna("").tolist(), cache), "label": pdf["label"]})
+            rows = np.concatenate([model.features(run, cache) for _, run in chunks(pdf["text"].tolist())] or [np.zeros((0, 3))])
+            yield pd.DataFrame({"x": list(rows), "label": pdf["label"]})
 
-    seen = sample.select("text", "label").mapInPandas(rate, "margin double, label int").toPandas()
+    seen = sample.select("text", "label").mapInPandas(show, "x array<double>, label int").toPandas()
     if len(seen):
-        model.slope, model.shift = fit_logistic(np.clip(seen["margin"].to_numpy(), -1, 1), seen["label"].to_numpy(float))
+        model.curve = fit_logistic(np.stack(seen["x"]), seen["label"].to_numpy(float))
     return model
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, margin, score) of each row. Null and empty texts score as texts without units; null ids stay null."""
+    """(doc_id, score) of each row. Null and empty texts score as texts without units; null ids stay null."""
 
     def rate(batches):
         cache: dict[str, float] = {}
         for pdf in batches:
-            margin = np.concatenate([model.documents(run, cache) for _, run in chunks(pdf["text"].tolist())] or [np.zeros(0)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "margin": margin, "score": model.score(np.clip(margin, -1, 1))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.scores(pdf["text"].tolist(), cache)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(rate, f"doc_id {kind}, margin double, score double")
+    return docs.select("doc_id", "text").mapInPandas(rate, f"doc_id {kind}, score double")
 
 
 def held(modulus: int, value: int):
@@ -251,8 +268,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def keep(batches):
         cache: dict[str, float] = {}
         for pdf in batches:
-            margin = np.concatenate([model.documents(run, cache) for _, run in chunks(pdf["text"].tolist())] or [np.zeros(0)])
-            yield pdf[model.score(np.clip(margin, -1, 1)) < THRESHOLD]
+            yield pdf[model.scores(pdf["text"].tolist(), cache) < THRESHOLD]
 
     return docs.mapInPandas(keep, docs.schema)
 

@@ -1 +1,11 @@
-"""Analytics over dated, entity-keyed rows on Spark: states that see only earlier periods."""
+"""Analytics over dated, entity-keyed rows on Spark: states that see only earlier periods.
+
+Functions handed to Python workers are pickled by value, so executors need no copy of
+this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

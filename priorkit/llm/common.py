@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count has shown it to have at most so many narrow rows.
 BROADCAST_ROWS = 1_000_000
+#: Texts in an Arrow batch at most, so that a Python worker holds few long texts at a time.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,7 +68,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def chunks(texts: list, most_chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: list, most_chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
     """(offset, texts) runs of about `most_chars` characters; null becomes empty. A longer text stands alone."""
     start, size, run = 0, 0, []
     for i, t in enumerate(texts):

@@ -34,14 +34,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_side, staged, table
+from .common import bound_batches, chunks, small_side, staged, table
 from .words import WordHasher, shingle_sets
 
 SHINGLE, PERCENT = 5, 75
 #: At most so many shingles are known as frequent: those in at least (all shingles / FREQUENT) documents.
 FREQUENT = 200_000
 LEAST_FREQUENT = 32
-FLUSH = 1_500_000
+FLUSH = 400_000
 CHUNK = 256
 BLOCK = 16
 
@@ -235,6 +235,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     taken by their texts. A row without an id has no component; it links nothing.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", "text")
     sets = staged(set_table(docs, size))
     named = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))

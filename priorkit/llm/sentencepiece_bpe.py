@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import chunks, table
+from .common import bound_batches, chunks, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -189,6 +189,7 @@ class Encoder:
 
 def map_ids(docs: DataFrame, columns: dict[str, tuple[str, object]], path: str | None = None) -> DataFrame:
     """doc_id and columns made from (vocabulary, ids) of each row: name -> (type, function). Null texts are empty."""
+    bound_batches(docs.sparkSession)
     vocabulary = Vocabulary(path or model_path())  # a few MB, read once on the driver
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from priorkit import registry
@@ -18,7 +19,7 @@ def duck():
 
 
 def text(v):
-    if v is None or v != v:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return ""
     return repr(float(v) + 0.0) if hasattr(v, "__float__") else str(v)
 

@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,10 +268,11 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def keep(batches):
         cache: dict[str, float] = {}
-        for pdf in batches:
-            yield pdf[model.scores(pdf["text"].tolist(), cache) < THRESHOLD]
+        for batch in batches:  # Arrow rows pass as they are, whatever their types and nulls
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(model.scores(texts, cache) < THRESHOLD))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}

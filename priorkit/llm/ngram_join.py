@@ -10,9 +10,11 @@ Documents are sets of hashed shingles; two link when 100 * |both| >= PERCENT * |
    in the order of every set.
 3. Index. Each remaining set enters the lists of its first n - ceil(PERCENT n / 100) + 1
    shingles. Linked sets meet in at least one list.
-4. Answers from relations of sets. Every list is cut by set length; in each cut all
-   sets are compared with one pivot alone, which costs a row for a member, never a
-   pair for two. Links found join sets into components.
+4. Answers from relations of sets. Every list is cut by set length, and each cut has a
+   pivot, the set whose shingles are the most listed. A set is compared with the pivot
+   it meets in the most lists: a row for a set, never a pair for two. Links found join
+   sets into components; then a set meets its other pivots, but for those of its own
+   component.
 5. What is left. Only members of a list outside its largest component meet the other
    members. The answer for a pair follows from both sets' answers to their pivot where
    possible: |x & y| <= min(|x & c|, |y & c|) + min(|x - c|, |y - c|) drops a pair, and
@@ -260,16 +262,26 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     cut = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     lists = postings(docs, small_side(kept.select("id", "low"), n_kept), often, buckets, percent, size).withColumn("cut", cut)
     whole = Window.partitionBy("token")
-    lists = lists.repartition("token").withColumn("listed", F.count("*").over(whole)).where("listed > 1")
-    lists = staged(lists.withColumn("pivot", F.min(F.struct("n", "id")).over(Window.partitionBy("token", "cut"))["id"]).select("token", "cut", "id", "n", "pos", "pivot"))
+    lists = staged(lists.repartition("token").withColumn("listed", F.count("*").over(whole)).where("listed > 1"))
+    # the set that the others of a list are most likely near copies of: its own shingles are the most listed
+    weight = lists.groupBy("id").agg(F.sum("listed").alias("weight"))
+    pivot = F.max_by("id", F.struct("weight", "n", "id")).over(Window.partitionBy("token", "cut")).alias("pivot")
+    lists = staged(lists.join(weight, "id").select("token", "cut", "id", "n", "pos", pivot))
 
     def seen(found: DataFrame) -> DataFrame:
         m, n = (kept.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
         found = found.join(small_side(m, n_kept), "a").join(small_side(n, n_kept), "b")
         return found.withColumn("linked", F.col("both") >= needed(F.col("n_a"), F.col("n_b"), percent))
 
-    stars = lists.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    answers = staged(seen(overlaps(docs, stars, kept, size)))
+    shared_lists = staged(lists.where("id != pivot").groupBy("id", "pivot").agg(F.count("*").alias("lists")))
+    nearest = shared_lists.groupBy(F.col("id").alias("b")).agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("a"))
+    answers = staged(seen(overlaps(docs, nearest.select("a", "b"), kept, size)))
+    labels = components(answers.where("linked").select("a", "b"))
+    # the other pivots of a set, where they are not of its component yet
+    la, lb = (small_side(labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")), labels.count()) for c in "ab")
+    others = shared_lists.select(F.col("pivot").alias("a"), F.col("id").alias("b")).join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    others = others.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    answers = staged(answers.unionByName(seen(overlaps(docs, others, kept, size))))
     n_answers = answers.count()
     links = answers.where("linked").select("a", "b")
     labels = components(links)
@@ -279,7 +291,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     side = small_side(labels.withColumnRenamed("label", "label_"), n_labels)
     entries = lists.join(side, "id", "left").withColumn("label", F.coalesce("label_", "id")).drop("label_")
     known = answers.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("both"))
-    entries = entries.join(small_side(known, n_answers), ["pivot", "id"], "left").withColumn("both", F.coalesce("both", F.col("n")))
+    entries = entries.join(small_side(known, n_answers), ["pivot", "id"], "left").withColumn("both", F.when(F.col("pivot") == F.col("id"), F.col("n")).otherwise(F.col("both")))
     by_label = entries.groupBy("token", "label").agg(F.count("*").alias("m"))
     largest = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     mixed = staged(entries.join(largest.select("token", "main"), "token").withColumn("block", F.floor(F.col("pos") / BLOCK)))
@@ -293,7 +305,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         & (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y))
         & (F.least(n_x - F.col("x.block") * BLOCK, n_y - F.col("y.block") * BLOCK) >= least)
         & (F.least(n_x - F.col("x.pos"), n_y - F.col("y.pos")) >= least)
-        & (~same_pivot | (upper >= least))
+        & (~same_pivot | F.coalesce(upper >= least, F.lit(True)))  # a set of its pivot's component may have no answer
     )
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & in_reach)
     pivot_n = kept.select(F.col("id").alias("c"), F.col("n").alias("n_c"))

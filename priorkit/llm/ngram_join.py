@@ -4,7 +4,7 @@ Documents are sets of hashed shingles; two link when 100 * |both| >= PERCENT * |
 
 1. Classes. Documents with equal sets become one class, named by its smallest doc_id.
 2. Counts. For half of all shingles (by a bit of the hash) document counts are taken
-   over the whole corpus. A set with partners may miss at most a quarter of its
+   over the whole corpus; those of the other half are estimated. A set with partners may miss at most a quarter of its
    shingles elsewhere; classes with more shingles of their own than that have no
    partner and leave. The most frequent shingles, a list of bounded size, come last
    in the order of every set.
@@ -40,9 +40,11 @@ from .common import bound_batches, chunks, small_side, staged, table
 from .words import WordHasher, shingle_sets
 
 SHINGLE, PERCENT = 5, 75
-#: At most so many shingles are known as frequent: those in at least (all shingles / FREQUENT) documents.
+#: About so many shingles of either half are known as frequent: those in at least (all shingles / FREQUENT) documents.
 FREQUENT = 200_000
 LEAST_FREQUENT = 32
+#: Of one class in so many the other half of the shingles is counted too: an estimate that only orders shingles.
+OTHER_HALF = 16
 FLUSH = 400_000
 CHUNK = 256
 BLOCK = 16
@@ -110,7 +112,8 @@ def shared_counts(docs: DataFrame, buckets: int, frequent: int, size: int = SHIN
                     if low in seen:  # a task sends a copied set once
                         continue
                     seen.add(low)
-                    s = s[s & np.uint64(1) == 0]
+                    if (low >> 40) % OTHER_HALF:
+                        s = s[s & np.uint64(1) == 0]
                     if len(s):
                         sets.append(s)
                         owners.append(owner_of(low))
@@ -133,12 +136,13 @@ def shared_counts(docs: DataFrame, buckets: int, frequent: int, size: int = SHIN
         tokens, owners = tokens[fresh], owners[fresh]
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         n = np.diff(np.append(first, len(tokens)))
-        own, shared = np.unique(owners[np.repeat(n > 1, n)], return_counts=True)
-        often = n >= frequent
+        odd = tokens[first] & np.uint64(1) == 1
+        own, shared = np.unique(owners[np.repeat((n > 1) & ~odd, n)], return_counts=True)
+        often = (np.where(odd, n * OTHER_HALF, n) >= frequent) & (n > 2)
         return pd.DataFrame({
             "owner": np.r_[own.astype(np.int64), np.full(often.sum(), -1)],
             "token": np.r_[np.zeros(len(own), np.int64), ((np.uint64(key[0]) << shift) | tokens[first[often]]).view(np.int64)],
-            "n": np.r_[shared, n[often]].astype(np.int64),
+            "n": np.r_[shared, np.where(odd, n * OTHER_HALF, n)[often]].astype(np.int64),
         })
 
     packed = docs.select("text").mapInPandas(runs, "p int, tokens binary, owners binary")
@@ -167,7 +171,7 @@ def postings(docs: DataFrame, kept: DataFrame, often: pd.DataFrame, buckets: int
                     if len(tokens):
                         at = np.searchsorted(tokens, s & seen_bits)
                         at[at == len(tokens)] = 0
-                        last = np.where((tokens[at] == s & seen_bits) & (last == -2), counts[at], last)
+                        last = np.where(tokens[at] == s & seen_bits, counts[at], last)
                     n = len(s)
                     first = np.lexsort((s, last))[: n + (-percent * n // 100) + 1]
                     rows.append(pd.DataFrame({"token": s[first].view(np.int64), "id": i, "n": n, "pos": np.arange(len(first))}))
@@ -249,7 +253,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << min(16, max(8, (16 * partitions - 1).bit_length()))
     counted = staged(shared_counts(docs.where(F.col("doc_id").isNotNull()), buckets, frequent, size))
-    often = counted.where("owner = -1").select("token", "n").toPandas()  # at most FREQUENT rows
+    often = counted.where("owner = -1").select("token", "n").orderBy(F.desc("n"), "token").limit(2 * FREQUENT).toPandas()
     miss = F.col("n") - F.ceil(percent * F.col("n") / 100)
     shared = counted.where("owner >= 0").select("owner", F.col("n").alias("shared"))
     owner = F.col("low").bitwiseAND(F.lit(0xFFFFFFFF))

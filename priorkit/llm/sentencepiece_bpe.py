@@ -151,7 +151,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces with meta spaces as spaces, without the one put before a text; other bytes than UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        raw = b"".join(map(self.bytes_of.__getitem__, np.asarray(ids, np.int64).tolist()))
         if len(ids) and self.pieces[ids[0]].startswith(SPACE):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
@@ -198,7 +198,6 @@ def map_ids(docs: DataFrame, columns: dict[str, tuple[str, object]], path: str |
             made = {name: [] for name in columns}
             for _, run in chunks(pdf["text"].tolist()):
                 for ids in encode(run):
-                    ids = ids.tolist()
                     for name, (_, f) in columns.items():
                         made[name].append(f(vocabulary, ids))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **made})
@@ -209,7 +208,7 @@ def map_ids(docs: DataFrame, columns: dict[str, tuple[str, object]], path: str |
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens) of each row, with the end id; a null or empty text has the end id alone."""
-    return map_ids(docs, {"ids": ("array<int>", lambda v, ids: ids), "n_tokens": ("long", lambda v, ids: len(ids))}, path)
+    return map_ids(docs, {"ids": ("array<int>", lambda v, ids: ids.astype(np.int32)), "n_tokens": ("long", lambda v, ids: len(ids))}, path)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -218,7 +217,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [vocabulary.decode([] if x is None else list(x)) for x in pdf["ids"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [vocabulary.decode([] if x is None else x) for x in pdf["ids"]]})
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInPandas(work, f"doc_id {kind}, text string")
@@ -233,7 +232,7 @@ def op8_sentencepiece(spark, sf_dir):
         table(spark, sf_dir, "documents"),
         {
             "n_tokens": ("long", lambda v, ids: len(ids)),
-            "ids_sha256": ("string", lambda v, ids: sha(" ".join(map(v.names.__getitem__, ids)).encode())),
+            "ids_sha256": ("string", lambda v, ids: sha(" ".join(map(v.names.__getitem__, ids.tolist())).encode())),
             "decoded_sha256": ("string", lambda v, ids: sha(v.decode(ids).encode("utf-8"))),
         },
     )

@@ -106,3 +106,27 @@ def triple_products(x: Column) -> Column:
     s2 = F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b)
     s3 = F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b * b)
     return (s1 * s1 * s1 - 3 * s1 * s2 + 2 * s3) / 6
+
+
+def piecewise_codes(x: Column, knots: Sequence[float]) -> list[Column]:
+    """How far x has passed each interval between neighbouring knots, from 0 to 1; null stays null."""
+    return [clip((x - a) / (b - a), 0.0, 1.0) for a, b in zip(knots, knots[1:])]
+
+
+def spline_basis(x: Column, inner: Sequence[float], degree: int = 3) -> list[Column]:
+    """Values of all B-splines over [0, 1] with the given inner knots; null stays null, x outside gives zeros."""
+    knots = [0.0] * (degree + 1) + list(inner) + [1.0] * (degree + 1)
+    last = len(inner) + degree  # the interval that holds x = 1
+    level = []
+    for i, (a, b) in enumerate(zip(knots, knots[1:])):
+        inside = (x >= a) & ((x <= b) if i == last else (x < b))
+        level.append(F.when(x.isNull(), None).when(inside, 1.0).otherwise(0.0) if a < b else None)
+    for k in range(1, degree + 1):
+        raised = []
+        for i in range(len(level) - 1):
+            rise = (x - knots[i]) / (knots[i + k] - knots[i]) * level[i] if level[i] is not None else None
+            fall = (knots[i + k + 1] - x) / (knots[i + k + 1] - knots[i + 1]) * level[i + 1] if level[i + 1] is not None else None
+            parts = [p for p in (rise, fall) if p is not None]
+            raised.append(sum(parts[1:], parts[0]) if parts else None)
+        level = raised
+    return level

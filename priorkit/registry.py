@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "eb_prior_years"
-MODULES = ("features", "effects", "ordered", "profiles", "history", "resolution", "models", "streamed")
+MODULES = ("features", "effects", "ordered", "profiles", "history", "resolution", "models", "streamed", "encodings")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import linalg
 from ..sources.io import table
 from .base import FACTS, facts, rounded
+from .models import NAMES, candidates
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -202,11 +204,46 @@ def key_coverage(spark, d):
 COVERAGE_SQL = f"""WITH {FACTS}, g AS (SELECT season, min(season) OVER (PARTITION BY l_suppkey) AS coarse, min(season) OVER (PARTITION BY l_suppkey, l_linenumber) AS fine FROM f)
 SELECT season, count(*) AS n, count(*) FILTER (coarse < season) AS supplier, count(*) FILTER (fine < season) AS supplier_line FROM g GROUP BY 1"""
 
+
+CENTRES = [0.1, 0.3, 0.5]
+
+
+def soft_cells(spark, d):
+    """Shrunk residual effects of suppliers' soft classes by status: a row counts in each class by the closeness of its supplier's rate to the class centre."""
+    f = facts(spark, d)
+    cells = f.groupBy("l_suppkey", "l_linestatus").agg(F.sum("target").alias("s"), F.count("*").alias("n"))
+    rate = F.sum("s").over(Window.partitionBy("l_suppkey")) / F.sum("n").over(Window.partitionBy("l_suppkey"))
+    near = F.array(*[F.exp(-F.pow(F.col("rate") - c, 2) / 0.02) for c in CENTRES])
+    rows = cells.withColumn("rate", rate).withColumn("near", near).withColumn("all", F.aggregate("near", F.lit(0.0), lambda a, x: a + x))
+    soft = rows.select("l_linestatus", "s", "n", "all", F.posexplode("near").alias("class", "w")).withColumn("w", F.col("w") / F.col("all"))
+    whole = f.agg(F.avg("target").alias("mean"))
+    sums = soft.groupBy("class", "l_linestatus").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("n"))
+    out = sums.join(F.broadcast(whole)).select("class", "l_linestatus", F.col("n").alias("mass"), ((F.col("s") - F.col("n") * F.col("mean")) / (F.col("n") + 50.0)).alias("effect"))
+    return rounded(out, "mass", "effect").withColumn("mass", F.round("mass", 3))
+
+
+_ALL = " + ".join(f"exp(-((rate - {c}) ** 2) / 0.02)" for c in CENTRES)
+SOFT_SQL = f"""WITH {FACTS}, c AS (SELECT l_suppkey, l_linestatus, sum(target) AS s, count(*) AS n FROM f GROUP BY 1, 2),
+r AS (SELECT *, sum(s) OVER (PARTITION BY l_suppkey) / sum(n) OVER (PARTITION BY l_suppkey) AS rate FROM c),
+w AS ({" UNION ALL ".join(f"SELECT {i} AS class, l_linestatus, s, n, exp(-((rate - {c}) ** 2) / 0.02) / ({_ALL}) AS w FROM r" for i, c in enumerate(CENTRES))})
+SELECT class, l_linestatus, round(sum(w * n), 3) AS mass, round((sum(w * s) - sum(w * n) * (SELECT avg(target) FROM f)) / (sum(w * n) + 50.0), 6) AS effect FROM w GROUP BY 1, 2"""
+
+
+def bounded_composition(spark, d):
+    """Non-negative weights, at most 1 in sum, of three corrections to the constant prediction that leave the least Brier score."""
+    c = candidates(spark, d)
+    moves = c.select(*[(F.col(p) - F.col("p1")).alias(p) for p in NAMES[1:]], (F.col("target") - F.col("p1")).alias("residual"))
+    g = linalg.gram(moves, [*NAMES[1:], "residual"])
+    scale = max(float(g[-1, -1]), 1e-12)  # of the residuals
+    w = linalg.bounded_weights(g[:-1, :-1] / scale, g[:-1, -1] / scale, 1.0)
+    return spark.createDataFrame([(n, round(float(x), 6)) for n, x in zip(NAMES[1:], w)], "candidate string, weight double")
+
 QUERIES = {
     "one_hot_levels": one_hot, "frozen_codes": frozen_codes, "imputed_scaled": imputed, "piecewise_codes": piecewise, "spline_basis": splines, "partition_stats": brand_stats,
     "mode_and_last": mode_and_last, "class_weights": class_weights, "extrapolated_rates": extrapolated, "group_loss_weights": group_weights, "filtered_state": filtered_state,
-    "label_agreement": label_agreement, "key_coverage": key_coverage,
+    "label_agreement": label_agreement, "key_coverage": key_coverage, "soft_cell_effects": soft_cells,
 }
 ORACLES = dict(zip(QUERIES, [
-    ONE_HOT_SQL, FROZEN_SQL, IMPUTED_SQL, PIECEWISE_SQL, SPLINES_SQL, BRAND_SQL, MODE_SQL, CLASS_SQL, EXTRAPOLATED_SQL, GROUP_SQL, FILTER_SQL, AGREEMENT_SQL, COVERAGE_SQL,
+    ONE_HOT_SQL, FROZEN_SQL, IMPUTED_SQL, PIECEWISE_SQL, SPLINES_SQL, BRAND_SQL, MODE_SQL, CLASS_SQL, EXTRAPOLATED_SQL, GROUP_SQL, FILTER_SQL, AGREEMENT_SQL, COVERAGE_SQL, SOFT_SQL,
 ]))
+QUERIES["bounded_composition"] = bounded_composition  # iterative: the solver is tested against brute force

@@ -60,3 +60,21 @@ def save_state(state: DataFrame, path: str, through: int) -> None:
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_predictions(template: DataFrame, predictions: DataFrame, key: str, value: str, path: str, position: str | None = None) -> None:
+    """CSV parts of (key, value) for every row of `template`; a missing value or one outside [0, 1] fails the write.
+
+    Repeated keys in `predictions` fail too, as which one counts is open. With `position`, the parts are ordered by it.
+    """
+    values = predictions.select(key, value).groupBy(key).agg(F.first(value).alias(value), F.count("*").alias("_rows"))
+    joined = template.select(*dict.fromkeys([key, *([position] if position else [])])).join(values, key, "left")
+    good = (F.col("_rows") == 1) & F.col(value).between(0.0, 1.0)
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("no valid prediction for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    out = joined.withColumn(value, checked)
+    (out.orderBy(position) if position else out).select(key, value).write.option("header", True).csv(path)
+
+
+def write_candidates(predictions: DataFrame, path: str) -> None:
+    """Stored predictions, one folder for each candidate and season, so that a reader of one scans no other."""
+    predictions.write.partitionBy("candidate", "season").parquet(path)

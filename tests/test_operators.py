@@ -128,3 +128,34 @@ def test_majority_and_sequences(spark):
     assert got == {("u", "x", 9), ("w", "x", 3)}
     rows = spark.createDataFrame([(1, "abcabc"), (2, "abcabd"), (3, "zzzzzz"), (4, "abc")], "k int, s string").withColumn("g", F.lit(1))
     assert {(r.a, r.b) for r in resolve.alike_sequences(rows, ["g"], "k", "s", 0.8).collect()} == {(1, 2)}
+
+
+def test_splines_and_piecewise_codes(spark):
+    df = spark.createDataFrame([(0.0,), (0.25,), (0.5,), (0.9,), (1.0,), (None,), (1.5,)], "x double")
+    rows = df.select(F.array(*X.spline_basis(F.col("x"), [0.3, 0.5])).alias("b"), F.array(*X.piecewise_codes(F.col("x"), [0.0, 0.5, 1.0])).alias("c")).collect()
+    assert all(len(r.b) == 6 and abs(sum(r.b) - 1) < 1e-12 and min(r.b) >= 0 for r in rows[:5])
+    assert rows[5].b == [None] * 6 and rows[6].b == [0.0] * 6
+    assert [r.c for r in rows[:3]] == [[0.0, 0.0], [0.5, 0.0], [1.0, 0.0]] and rows[5].c == [None, None]
+
+
+def test_bounded_weights_equal_a_grid():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 2))
+    y = x @ [0.9, -0.4] + 0.5 * x[:, 0]
+    g, c = x.T @ x, x.T @ y
+    w = linalg.bounded_weights(g, c, 1.0)
+    grid = [(a / 100, b / 100) for a in range(101) for b in range(101 - a)]
+    best = min(grid, key=lambda v: np.array(v) @ g @ v - 2 * c @ v)
+    assert np.allclose(w, best, atol=0.011)
+
+
+def test_prediction_sinks(spark, tmp_path):
+    template = spark.createDataFrame([("b", 0), ("a", 1)], "row_id string, pos int")
+    good = spark.createDataFrame([("a", 0.2), ("b", 0.4), ("z", 3.0)], "row_id string, p double")
+    io.write_predictions(template, good, "row_id", "p", str(tmp_path / "good"), "pos")
+    assert [(r.row_id, float(r.p)) for r in spark.read.option("header", True).csv(str(tmp_path / "good")).collect()] == [("b", 0.4), ("a", 0.2)]
+    for i, bad in enumerate(([("a", 0.2)], [("a", 0.2), ("b", 1.4)], [("a", 0.2), ("b", None)], [("a", 0.1), ("b", 0.4), ("b", 0.5)])):
+        with pytest.raises(Exception, match="no valid prediction"):
+            io.write_predictions(template, spark.createDataFrame(bad, "row_id string, p double"), "row_id", "p", str(tmp_path / f"bad{i}"))
+    io.write_candidates(good.selectExpr("row_id", "p", "'one' AS candidate", "2024 AS season"), str(tmp_path / "stored"))
+    assert spark.read.parquet(str(tmp_path / "stored")).where("candidate = 'one' AND season = 2024").count() == 3

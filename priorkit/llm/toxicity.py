@@ -119,6 +119,7 @@ class Model:
     weights: np.ndarray  # by subsequence
     bias: float
     curve: np.ndarray  # of the three features and 1
+    constant: float | None = None  # the score of every text, where nothing could be learned
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = [dot(units[i : i + 20_000], self.weights) for i in range(0, len(units), 20_000)]
@@ -140,6 +141,8 @@ class Model:
 
     def scores(self, texts: list, cache: dict[str, float]) -> np.ndarray:
         """The score of each text; nulls are empty texts."""
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
         rows = [self.features(run, cache) for _, run in chunks(texts)]
         return self.score(np.concatenate(rows)) if rows else np.zeros(0)
 
@@ -215,7 +218,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, most_docs: int = MOST_DOCS) -> Model:
-    """Fit on at most `most_docs` labelled documents; without any toxic one every score is the rate of the sample."""
+    """Fit on at most `most_docs` labelled documents.
+
+    Where no unit tells toxic documents from clean ones, every score is the smoothed rate of
+    the sample, 0 for an empty one; it stays below the threshold, as no document stands out.
+    """
     sample = labelled_sample(docs, labels, "toxic", held_out, most_docs)
     counts = unit_counts(sample).withColumn("gain", F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5)))
     told = (F.col("pos") >= 3) & (F.col("pos") >= 4 * F.col("neg"))
@@ -225,6 +232,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out, most_docs: int = MOST_DO
     negative = [r["unit"] for r in clean.orderBy(F.desc("neg"), "unit").limit(MOST_NEGATIVE // 2).collect()]
     negative += [r["unit"] for r in clean.orderBy(F.xxhash64("unit"), "unit").limit(MOST_NEGATIVE // 2).collect()]
     model = fit_svm(positive, list(dict.fromkeys(negative)))
+    if not positive or not negative:
+        n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        model.constant = float(min((toxic + 0.5) / (n + 1), np.nextafter(THRESHOLD, 0))) if n else 0.0
+        return model
 
     def show(batches):
         cache: dict[str, float] = {}
@@ -233,8 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, most_docs: int = MOST_DO
             yield pd.DataFrame({"x": list(rows), "label": pdf["label"]})
 
     seen = sample.select("text", "label").mapInPandas(show, "x array<double>, label int").toPandas()
-    if len(seen):
-        model.curve = fit_logistic(np.stack(seen["x"]), seen["label"].to_numpy(float))
+    model.curve = fit_logistic(np.stack(seen["x"]), seen["label"].to_numpy(float))
     return model
 
 

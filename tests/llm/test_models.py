@@ -69,6 +69,28 @@ def test_empty_tables(make, spark):
     assert set(language.predict(make([(1, "hello")]), None).toPandas()["lang_pred"]) == {"und"}
 
 
+def test_toxicity_without_signal_keeps_all_rows(make, spark, tmp_path):
+    """No usable label, or none that a unit tells apart: one score below the threshold, and no row goes."""
+    texts = [(i, ("a short one", "a good deal longer than the others " * 20)[i % 2]) for i in range(1, 9)]
+    make(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    schema = "doc_id long, quality int, toxic int"
+    held_ids = [r.doc_id for r in docs.where(toxicity.held(4, 2)).collect()]
+    learned = [(i, 0, i % 2) for i, _ in texts if i not in held_ids]
+    cases = [([], 0.0), ([(1, 1, None)], 0.0), ([(i, 0, 1) for i in held_ids], 0.0), ([(99, 0, 1)], 0.0), (learned, None), ([(i, 0, 1) for i, _, _ in learned], None)]
+    for i, (rows, score) in enumerate(cases):
+        folder = tmp_path / str(i)
+        make(texts).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "labels.parquet"))
+        out = toxicity.op1_toxicity(spark, str(folder)).toPandas()
+        assert len(out) == len(texts) and out["score"].nunique() == 1 and (out["predicted"] == 0).all(), rows
+        assert score is None and 0 < out["score"].iat[0] < toxicity.THRESHOLD or out["score"].iat[0] == score, rows
+        assert toxicity.drop_toxic(spark, docs, str(folder)).count() == len(texts)
+    clean = [(i, 0, 0) for i, _, _ in learned]
+    model = toxicity.train(docs, spark.createDataFrame(clean, schema), never())
+    assert model.constant == 0.5 / (len(clean) + 1)
+
+
 def test_folded_kernel_equals_pairwise_kernel():
     """The weights folded over landmarks give what kernels with each landmark give."""
     def explicit(u):

@@ -1,15 +1,12 @@
-"""Streams scored against frozen states, sessionised by gaps, and folded into keyed states."""
+"""Streams scored against frozen states, sessionised by gaps, and folded into cumulative states."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_stream(spark: SparkSession, like: DataFrame, path: str, files: int = 1000) -> DataFrame:
@@ -29,26 +26,34 @@ def gap_sessions(stream: DataFrame, user: str, ts: str, gap: str, late: str) ->
 
 
 def season_states(stream: DataFrame, entity: str, period: str, target: str) -> DataFrame:
-    """(entity, period, n, s): cumulative counts of an entity, advanced with each micro-batch in the order of periods."""
-    kind, when = (stream.schema[c].dataType.simpleString() for c in (entity, period))
+    """(entity, period, n, s): cumulative counts of an entity at the end of each of its periods, from a drained stream.
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).groupby(period)[target].agg(["count", "sum"]).sort_index()
-        out = []
-        for p, r in rows.iterrows():
-            n, s = n + int(r["count"]), s + int(r["sum"])
-            out.append((key[0], p, n, s))
-        state.update((n, s))
-        yield pd.DataFrame(out, columns=[entity, period, "n", "s"])
+    Each micro-batch leaves its counts by entity and period in a folder of its own, so a batch run
+    again replaces them. Their sums, in the order of periods, do not depend on how rows fall into micro-batches.
+    """
+    spark = stream.sparkSession
+    base = _folder(spark)
 
-    return stream.groupBy(entity).applyInPandasWithState(advance, f"{entity} {kind}, {period} {when}, n long, s long", "n long, s long", "append", GroupStateTimeout.NoTimeout)
+    def fold(batch: DataFrame, i: int) -> None:
+        counts = batch.groupBy(entity, period).agg(F.count("*").alias("n"), F.coalesce(F.sum(target), F.lit(0)).cast("long").alias("s"))
+        counts.write.mode("overwrite").parquet(f"{base}/out/batch-{i}")
+
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in (entity, period))
+    stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.schema(f"{kinds}, n long, s long").parquet(f"{base}/out/batch-*")
+    w = Window.partitionBy(entity).orderBy(F.asc_nulls_last(period)).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.groupBy(entity, period).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumns({c: F.sum(c).over(w) for c in "ns"})
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a drained stream in the shared one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="priorkit-")
+    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Drain an append-mode stream into a table in the shared folder, and read it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="priorkit-")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = _folder(spark)
     schema = stream.schema
     stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out")

@@ -16,6 +16,19 @@ def test_scores_do_not_depend_on_micro_batches(spark, tmp_path):
     assert {r.score for r in out[0] if r.k == "b"} == {0.5}
 
 
+def test_states_do_not_depend_on_micro_batches(spark, tmp_path):
+    """A day split over batches gives one row, and a day that comes late counts in its place."""
+    parts = [[("u", "d3", 1), ("v", "d1", 0)], [("u", "d1", 1), ("u", "d3", 0)], [("u", "d2", None), ("v", "d1", 1)], [(None, "d1", 1)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, "u string, day string, hit int").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    like = spark.read.parquet(str(tmp_path / "in0"))
+    want = [("None", "d1", 1, 1), ("u", "d1", 1, 1), ("u", "d2", 2, 1), ("u", "d3", 4, 2), ("v", "d1", 2, 1)]
+    for n in (1, 2, 100):
+        got = streams.season_states(streams.read_stream(spark, like, str(tmp_path / "in*"), n), "u", "day", "hit")
+        got = (streams.run_to_end(got, spark) if got.isStreaming else got).collect()
+        assert sorted((str(r.u), r.day, r.n, r.s) for r in got) == want
+
+
 def test_gap_sessions(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     at = [0, 1, 2, 20, 21, 500]

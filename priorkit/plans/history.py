@@ -182,12 +182,23 @@ SELECT season, first < season AS seen, count(*)::BIGINT AS lines, count(DISTINCT
 
 
 def denominators(spark, d):
-    """Least common denominator, at most 60, that explains both of a supplier's yearly rates as written with six digits."""
-    f = facts(spark, d, "l_discount").where("l_linenumber = 7")
-    y = f.groupBy("l_suppkey", "season").agg(F.avg("target").alias("a"), F.avg((F.col("l_discount") >= 0.05).cast("int")).alias("b"))
+    """Least common denominator, at most 60, that explains both of a supplier's yearly rates over lines numbered 7, as written with six digits.
+
+    `denominators_all_lines` takes all lines.
+    """
+    return _denominators(facts(spark, d, "l_discount").where("l_linenumber = 7"), F.lit(60))
+
+
+def denominators_all_lines(spark, d):
+    """Least common denominator that explains both of a supplier's yearly rates over all its lines, as written with six digits: at most the number of lines, which always does."""
+    return _denominators(facts(spark, d, "l_discount"), F.col("n"))
+
+
+def _denominators(f, most):
+    y = f.groupBy("l_suppkey", "season").agg(F.avg("target").alias("a"), F.avg((F.col("l_discount") >= 0.05).cast("int")).alias("b"), F.count("*").alias("n"))
     six = lambda c: F.format_string("%.6f", c).cast("double")
-    pairs = y.select("l_suppkey", "season", six(F.col("a")).alias("a"), six(F.col("b")).alias("b"))
-    distinct = pairs.select("a", "b").distinct().withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    pairs = y.select("l_suppkey", "season", six(F.col("a")).alias("a"), six(F.col("b")).alias("b"), most.cast("int").alias("most"))
+    distinct = pairs.groupBy("a", "b").agg(F.min("most").alias("most")).withColumn("m", F.explode(F.sequence(F.lit(1), F.col("most"))))
     fits = lambda c: six(F.rint(F.col(c) * F.col("m")) / F.col("m")) == F.col(c)
     least = distinct.where(fits("a") & fits("b")).groupBy("a", "b").agg(F.min("m").alias("m"))
     return pairs.join(least, ["a", "b"], "left").select("l_suppkey", "season", "a", "b", "m")
@@ -197,15 +208,19 @@ DENOMINATOR_SQL = f"""WITH {FACTS}, y AS (SELECT l_suppkey, season, printf('%.6f
 m AS (SELECT a, b, min(m)::INTEGER AS m FROM (SELECT DISTINCT a, b FROM y), (SELECT unnest(range(1, 61)) AS m)
   WHERE printf('%.6f', round_even(a * m, 0) / m)::DOUBLE = a AND printf('%.6f', round_even(b * m, 0) / m)::DOUBLE = b GROUP BY 1, 2)
 SELECT l_suppkey, season, a, b, m FROM y LEFT JOIN m USING (a, b)"""
+ALL_LINES_SQL = f"""WITH {FACTS}, y AS (SELECT l_suppkey, season, printf('%.6f', avg(target))::DOUBLE AS a, printf('%.6f', avg((l_discount >= 0.05)::INTEGER))::DOUBLE AS b, count(*) AS n FROM f GROUP BY 1, 2),
+m AS (SELECT a, b, min(m)::INTEGER AS m FROM (SELECT a, b, unnest(range(1, max(n) + 1)) AS m FROM y GROUP BY a, b)
+  WHERE printf('%.6f', round_even(a * m, 0) / m)::DOUBLE = a AND printf('%.6f', round_even(b * m, 0) / m)::DOUBLE = b GROUP BY 1, 2)
+SELECT l_suppkey, season, a, b, m FROM y LEFT JOIN m USING (a, b)"""
 
 QUERIES = {
     "season_end_state": season_end_state, "asof_state": asof_state, "asof_current_season": current_season, "label_recovery": label_recovery,
     "category_recovery": category_recovery, "taxonomy": taxonomy, "latent_state": latent_state, "ar_rho": ar_rho, "ar_forecast": ar_forecast,
-    "seen_unseen": seen_unseen, "denominators": denominators,
+    "seen_unseen": seen_unseen, "denominators": denominators, "denominators_all_lines": denominators_all_lines,
 }
 ORACLES = {
     "season_end_state": f"WITH {END} SELECT l_suppkey, season, n, s FROM ends", "asof_state": ASOF_SQL, "asof_current_season": CURRENT_SQL,
     "label_recovery": RECOVERY_SQL, "category_recovery": CATEGORY_SQL, "taxonomy": TAXONOMY_SQL,
     "latent_state": f"WITH {LATENT} SELECT season, l_suppkey, n, round(theta, 6) AS theta, round(reliability, 6) AS reliability FROM z",
-    "ar_rho": f"WITH {RHO} SELECT season, round(rho, 6) AS rho FROM rho", "ar_forecast": FORECAST_SQL, "seen_unseen": SEEN_SQL, "denominators": DENOMINATOR_SQL,
+    "ar_rho": f"WITH {RHO} SELECT season, round(rho, 6) AS rho FROM rho", "ar_forecast": FORECAST_SQL, "seen_unseen": SEEN_SQL, "denominators": DENOMINATOR_SQL, "denominators_all_lines": ALL_LINES_SQL,
 }

@@ -65,26 +65,36 @@ def least_cost(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign_within(costs: DataFrame, block: str, a: str, b: str, cost: str, most: int = 2000) -> DataFrame:
+def assign_within(costs: DataFrame, block: str, a: str, b: str, cost: str) -> DataFrame:
     """(block, a, b, cost): the least-cost one-to-one assignment inside every block of a blocking key.
 
-    Missing pairs cost more than all others together and are left out. A block with
-    more than `most` keys on a side is an error: it wants a finer blocking key.
+    As many pairs as can be are made; missing pairs are left out. With k keys on the smaller side of
+    a block, only the k cheapest partners of each can be in a best assignment: the others take
+    k - 1 of them at most. So at most k * k costs of a block meet in one task.
     """
+    known = F.col(cost).isNotNull() & ~F.isnan(F.col(cost).cast("double")) & F.col(a).isNotNull() & F.col(b).isNotNull()
     schema = costs.select(block, a, b, cost).schema
+    costs = costs.where(known).groupBy(block, a, b).agg(F.min(cost).alias(cost))
+    sides = [costs.select(block, c).distinct().groupBy(block).agg(F.count("*").alias(f"__{n}")) for c, n in ((a, "na"), (b, "nb"))]
+    sizes = sides[0].join(sides[1], sides[0][block].eqNullSafe(sides[1][block])).select(sides[0][block].alias("__block"), "__na", "__nb")
+    most = sizes.agg(F.max(F.least("__na", "__nb"))).first()[0] or 0
+    sized = costs.join(sizes, costs[block].eqNullSafe(F.col("__block"))).drop("__block")
+
+    def cheapest(rows: DataFrame, few: str, many: str) -> DataFrame:  # a literal bound, so that ranks are cut before the shuffle
+        return rows.withColumn("__r", F.row_number().over(Window.partitionBy(block, few).orderBy(cost, many))).where(F.col("__r") <= most).where(F.col("__r") <= F.least("__na", "__nb"))
+
+    near = cheapest(sized.where("__na >= __nb"), b, a).unionByName(cheapest(sized.where("__na < __nb"), a, b))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index=a, columns=b, values=cost, aggfunc="min").sort_index()
-        if max(table.shape) > most:
-            raise ValueError(f"a block has {max(table.shape)} keys, more than {most}")
         flip = table.shape[0] > table.shape[1]
         x = (table.T if flip else table).to_numpy(float)
-        dear = np.nanmax(np.abs(x)) * (min(x.shape) + 1) + 1
+        dear = np.nanmax(np.abs(x)) * (min(x.shape) + 1) * 2 + 1
         j = least_cost(np.where(np.isnan(x), dear, x))
         rows = [(i, k) if not flip else (k, i) for i, k in enumerate(j) if not np.isnan(x[i, k])]
         return pd.DataFrame([(pdf[block].iat[0], table.index[i], table.columns[k], table.iat[i, k]) for i, k in rows], columns=[block, a, b, cost])
 
-    return costs.select(block, a, b, cost).groupBy(block).applyInPandas(solve, schema)
+    return near.select(block, a, b, cost).groupBy(block).applyInPandas(solve, schema)
 
 
 def alike_sequences(rows: DataFrame, block: Sequence[str], key: str, sequence: str, ratio: float, length_ratio: float = 0.75) -> DataFrame:

@@ -82,6 +82,23 @@ def test_assign_within_blocks(spark):
     assert got == {("x", 1, "a", 1.0), ("x", 2, "b", 0.1), ("y", 4, "a", 1.0)}
 
 
+def test_assign_within_large_block(spark):
+    """A block with many keys on one side, and pairs missing: as many pairs as can be, at the least cost."""
+    rng = np.random.default_rng(4)
+    rows = [("x", i, f"s{j}", float(rng.integers(0, 3000))) for i in range(2500) for j in range(4)]
+    rows += [("y", i, f"s{j}", float(rng.integers(0, 30))) for i in range(3) for j in range(9) if rng.random() < 0.6]
+    rows += [("z", 0, "s0", 0.0), ("z", 1, "s0", 900.0), ("z", 0, "s1", 900.0)]
+    got = resolve.assign_within(spark.createDataFrame(rows, "block string, a int, b string, cost double"), "block", "a", "b", "cost").toPandas()
+    for name, part in got.groupby("block"):
+        assert part["a"].is_unique and part["b"].is_unique
+        cost = {(a, b): c for k, a, b, c in rows if k == name}
+        few, many = sorted(({a for a, _ in cost}, {b for _, b in cost}), key=len)
+        x = np.array([[cost.get((i, j), cost.get((j, i), 1e6)) for j in sorted(many)] for i in sorted(few)])
+        best = x[np.arange(len(x)), resolve.least_cost(x)]
+        assert part["cost"].sum() == best[best < 1e6].sum() and len(part) == (best < 1e6).sum()
+    assert set(got["block"]) == {"x", "y", "z"}
+
+
 def test_solvers():
     g = np.array([[2.0, 0.0], [0.0, 1.0]])
     w, gap = linalg.frank_wolfe(g)

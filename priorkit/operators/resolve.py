@@ -97,22 +97,49 @@ def assign_within(costs: DataFrame, block: str, a: str, b: str, cost: str) -> Da
     return near.select(block, a, b, cost).groupBy(block).applyInPandas(solve, schema)
 
 
-def alike_sequences(rows: DataFrame, block: Sequence[str], key: str, sequence: str, ratio: float, length_ratio: float = 0.75) -> DataFrame:
+def symbols_of(sequence: Column) -> Column:
+    """Each character of a text with the number of its occurrence, in the order of characters: texts share as many as their characters match at most."""
+    c = F.array_sort(F.split(sequence, ""))
+    return F.transform(c, lambda x, i: F.concat(x, (i - F.array_position(c, x)).cast("string")))
+
+
+def alike_sequences(rows: DataFrame, block: Sequence[str], key: str, sequence: str, ratio: float) -> DataFrame:
     """(a, b, ratio): pairs of keys in a block whose ordered sequences match to `ratio`, by longest matching blocks.
 
-    Candidates come from an equi-join on the block with a filter on lengths; only they reach the matcher.
+    Sequences are compared once for each distinct pair of texts, whatever the number of keys and blocks
+    that hold them. A pair reaches the matcher if its characters, their order aside, allow the ratio: texts with
+    the same characters make one kind, and a block's kinds meet on their rarest symbols, one of which a partner has to share.
     """
-    a, b = (rows.select(*block, F.col(key).alias(k), F.col(sequence).alias(f"s{k}"), F.length(sequence).alias(f"n{k}")) for k in "ab")
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= length_ratio * F.greatest("na", "nb"))
-    pairs = a.join(b, list(block)).where(near).select("a", "b", "sa", "sb")
+    block = list(block)
+    members = rows.select(*block, F.col(key).alias("key"), F.col(sequence).alias("s")).where("s IS NOT NULL")
+    members = members.withColumn("kind", F.array_join(F.array_sort(F.split("s", "")), ""))
+    held = members.select(*block, "kind", "s").distinct()
+    kinds = held.select("kind").distinct().withColumns({"n": F.length("kind"), "symbols": symbols_of(F.col("kind"))})
+    each = kinds.select("kind", "n", "symbols", F.explode("symbols").alias("symbol"))
+    often = each.groupBy("symbol").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("often", "symbol"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(ratio / (2 - ratio)) - 1e-9) + 1  # of n symbols a partner shares the others at least
+    prefix = each.join(often, "symbol").withColumn("rank", rank).where(F.col("rank") <= first)
+    prefix = held.select(*block, "kind").distinct().join(prefix, "kind")
+    x, y = (prefix.select(*block, "symbol", F.col("kind").alias(f"kind_{k}"), F.col("n").alias(f"n_{k}"), F.col("symbols").alias(f"symbols_{k}")) for k in "ab")
+    shared = 2 * F.size(F.array_intersect("symbols_a", "symbols_b"))
+    met = x.join(y, [*block, "symbol"]).where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(ratio / (2 - ratio)) - 1e-9)
+    met = met.where(shared >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio) - 1e-9).select(*block, "kind_a", "kind_b").distinct()
+
+    named = lambda df, c, k: df.withColumnsRenamed({c: k, "s": f"s{k}", "kind": f"kind_{k}"})
+    sides = [named(held.withColumn("x", F.lit(0)), "x", k).drop(k) for k in "ab"]
+    near = sides[0].join(met, [*block, "kind_a"]).join(sides[1], [*block, "kind_b"]).where("sa != sb").select(*block, "sa", "sb")
 
     def match(batches):
         from difflib import SequenceMatcher
 
         for pdf in batches:
-            r = [SequenceMatcher(None, x, y, autojunk=False).ratio() if x != y else 1.0 for x, y in zip(pdf["sa"], pdf["sb"])]
-            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "ratio": r})
+            r = [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(pdf["sa"], pdf["sb"])]
+            out = pdf.assign(ratio=r)
             yield out[out["ratio"] >= ratio]
 
-    kind = rows.schema[key].dataType.simpleString()
-    return pairs.mapInPandas(match, f"a {kind}, b {kind}, ratio double")
+    alike = near.select("sa", "sb").distinct().mapInPandas(match, "sa string, sb string, ratio double")
+    a, b = (named(members.drop("kind"), "key", k) for k in "ab")
+    unlike = near.join(alike, ["sa", "sb"]).join(a, [*block, "sa"]).join(b, [*block, "sb"])
+    same = a.withColumn("sb", F.col("sa")).join(b, [*block, "sb"]).withColumn("ratio", F.lit(1.0))
+    return same.unionByName(unlike).where("a < b").select("a", "b", "ratio")

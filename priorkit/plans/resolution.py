@@ -78,7 +78,7 @@ def fuzzy_sequence_match(spark, d):
     o = table(spark, d, "orders", ["o_orderkey", "o_custkey"])
     li = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey"])
     s = resolve.sequence_key(li, ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey"], F.col("l_linenumber"))
-    rows = s.join(o, s["l_orderkey"] == o["o_orderkey"]).where("n >= 4")
+    rows = s.join(o, s["l_orderkey"] == o["o_orderkey"])
     return resolve.alike_sequences(rows, ["o_custkey"], "o_orderkey", "sequence", 0.8)
 
 

@@ -99,6 +99,24 @@ def test_assign_within_large_block(spark):
     assert set(got["block"]) == {"x", "y", "z"}
 
 
+def test_alike_sequences_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(5)
+    rows = [(1, 1, "1,2,3,4,5"), (2, 1, "1,2,3,4,5,6,7"), (3, 1, ""), (4, 1, ""), (5, 1, "1"), (6, 2, None), (7, None, "1")]
+    rows += [(10 + i, int(rng.integers(0, 4)), ",".join(map(str, rng.integers(1, 8 if i % 3 else 13, rng.integers(1, 9))))) for i in range(240)]
+    want = {}
+    for ratio in (0.8, 0.5):
+        for i, g, s in rows:
+            for j, h, t in rows:
+                if i < j and g == h and None not in (g, s, t) and (r := SequenceMatcher(None, s, t, autojunk=False).ratio()) >= ratio:
+                    want[ratio, i, j] = r
+    df = spark.createDataFrame(rows, "k int, g int, s string")
+    got = [(ratio, r.a, r.b, r.ratio) for ratio in (0.8, 0.5) for r in resolve.alike_sequences(df, ["g"], "k", "s", ratio).collect()]
+    assert len(got) == len(want) and {g[:3]: g[3] for g in got} == want
+    assert (0.8, 1, 2) in want and (0.8, 3, 4) in want
+
+
 def test_solvers():
     g = np.array([[2.0, 0.0], [0.0, 1.0]])
     w, gap = linalg.frank_wolfe(g)

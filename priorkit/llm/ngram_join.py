@@ -2,29 +2,40 @@
 
 Documents are sets of hashed shingles; two link when 100 * |both| >= PERCENT * |either|.
 
-1. Classes. Documents with equal sets become one class, named by its smallest doc_id.
+1. Classes. Rows with equal sets, by a digest of 128 bits, become one class with a
+   number of its own; a class keeps the smallest (doc_id, hash of the text) of its rows.
 2. Counts. For half of all shingles (by a bit of the hash) document counts are taken
-   over the whole corpus; those of the other half are estimated. A set with partners may miss at most a quarter of its
-   shingles elsewhere; classes with more shingles of their own than that have no
-   partner and leave. The most frequent shingles, a list of bounded size, come last
-   in the order of every set.
-3. Index. Each remaining set enters the lists of its first n - ceil(PERCENT n / 100) + 1
-   shingles. Linked sets meet in at least one list.
+   over the whole corpus; those of the other half are estimated from one class in
+   OTHER_HALF. A set with partners may miss at most a quarter of its shingles
+   elsewhere; classes with more shingles of their own than that have no partner and
+   leave. Each task adds up what it sees of a shingle before anything is shuffled, so
+   that a shingle of every text is a few numbers from each task.
+3. Index. Every shingle in LEAST_FREQUENT documents or more comes last in the order of
+   every set, by its count. Their number grows with the corpus: up to MOST_HELD they
+   are sent to the tasks, beyond that they are joined. Each remaining set enters the lists
+   of its first n - ceil(PERCENT n / 100) + 1 shingles. Linked sets meet in at least
+   one list, at positions that leave room for the overlap they need.
 4. Answers from relations of sets. Every list is cut by set length, and each cut has a
    pivot, the set whose shingles are the most listed. A set is compared with the pivot
    it meets in the most lists: a row for a set, never a pair for two. Links found join
-   sets into components; then a set meets its other pivots, but for those of its own
-   component.
-5. What is left. Only members of a list outside its largest component meet the other
-   members. The answer for a pair follows from both sets' answers to their pivot where
+   sets into components; then a set meets its other pivots in reach, but for those of
+   its own component.
+5. What is left. Members of different components in a list have to be told apart. The
+   answer for a pair follows from both sets' answers to their pivot where
    possible: |x & y| <= min(|x & c|, |y & c|) + min(|x - c|, |y - c|) drops a pair, and
-   |x & c| + |y & c| - |c| proves a link. List entries are in blocks by position; the
-   positions bound the overlap, and blocks and entries out of reach are skipped. The
-   few pairs that remain are compared exactly.
+   |x & c| + |y & c| - |c| proves a link. Lists of more than BLOCK entries are split
+   into blocks by length, component and overlap with the pivot. A block knows the
+   longest partner that its positions leave in reach and its largest overlap; blocks
+   meet only where their length cells reach each other, and pairs of blocks out
+   of reach are skipped before a pair of entries exists. The few pairs that remain
+   are compared exactly.
 
 Nothing grows with the square of a group: texts of near copies meet their pivot, and
-groups of copies of a text are one class. Texts, not sets, are shuffled for the
-comparisons. All sets of more than BROADCAST_ROWS rows are joined by shuffles.
+groups of copies of a text are one class. Texts of the remaining classes are staged
+once; texts, not sets, are shuffled for the comparisons. Sides of more than
+BROADCAST_ROWS rows are joined by shuffles.
+
+Rows that repeat a doc_id are rows of their own, each judged by its text.
 """
 
 from __future__ import annotations
@@ -36,18 +47,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, small_side, staged, table
+from .common import Scope, bound_batches, chunks, small_side, table
 from .words import WordHasher, shingle_sets
 
 SHINGLE, PERCENT = 5, 75
-#: About so many shingles of either half are known as frequent: those in at least (all shingles / FREQUENT) documents.
-FREQUENT = 200_000
+#: Shingles in so many documents or more are ordered by their counts.
 LEAST_FREQUENT = 32
+#: So many of them at most are sent to every task (16 bytes each); with more they are joined.
+MOST_HELD = 400_000
 #: Of one class in so many the other half of the shingles is counted too: an estimate that only orders shingles.
 OTHER_HALF = 16
-FLUSH = 400_000
-CHUNK = 256
-BLOCK = 16
+FLUSH = 1_000_000
+#: About so many partners of a pivot are compared in one group.
+CHUNK = 48
+#: Longer lists are taken in blocks of about so many entries.
+BLOCK = 64
+#: Length cells of blocks grow by this factor.
+CELL = 1.125
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -55,17 +71,22 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def owner_of(low: int) -> int:
-    return low & 0xFFFFFFFF
-
-
 def needed(n: Column, m: Column, percent: int = PERCENT) -> Column:
     """The least overlap with which sets of n and m link."""
     return F.ceil((percent * (n + m)).cast("double") / (100 + percent))
 
 
+def cell(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(CELL))).cast("int")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): th tells texts of one doc_id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
 def set_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, half, high, low): set size, size of its sampled half, digest."""
+    """(doc_id, th, n, half, high, low): set size, size of its sampled half, digest."""
 
     def work(batches):
         hasher = WordHasher()
@@ -76,30 +97,55 @@ def set_table(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     rows.append((len(s), int((s & np.uint64(1) == 0).sum()), *digest(s)))
             out = pd.DataFrame(rows, columns=["n", "half", "high", "low"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(1, "th", pdf["th"].to_numpy())
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, n long, half long, high long, low long")
+    return keyed(docs).mapInPandas(work, f"doc_id {kind}, th long, n long, half long, high long, low long")
 
 
-def shared_counts(docs: DataFrame, buckets: int, frequent: int, size: int = SHINGLE) -> DataFrame:
-    """(owner, token, n): for owners, how many sampled shingles of theirs are elsewhere too; with owner -1, frequent tokens and their counts.
+def shared_counts(docs: DataFrame, buckets: int, size: int = SHINGLE) -> DataFrame:
+    """(token, key, n): token false: a set by half of its digest, and how many sampled shingles of it are elsewhere too, at least; token true: a frequent shingle and its count.
 
-    Shingles travel in packed runs of ten bytes each, one run for a bucket and flush.
+    A flush of a task sends shingles seen once with their owner, those seen in several
+    sets with their count alone, and what it credits to their owners. A set that
+    several tasks meet may be credited twice: it is then kept, never lost.
     """
     bits = int(buckets).bit_length() - 1
     shift = np.uint64(64 - bits)
     lowest = np.uint64((1 << 48) - 1)
+    schema = "p int, tokens binary, owners binary, many binary, counts binary, credited binary, credits binary"
+
+    def six(tokens):
+        return np.ascontiguousarray((tokens & lowest).view(np.uint8).reshape(-1, 8)[:, :6])
+
+    def wide(parts):
+        packed = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+        out = np.zeros((len(packed), 8), np.uint8)
+        out[:, :6] = packed
+        return out.view(np.uint64).ravel()
 
     def pack(sets, owners):
         tokens = np.concatenate(sets)
-        own = np.repeat(np.array(owners, np.uint32), [len(s) for s in sets])
+        own = np.repeat(np.array(owners, np.int64), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")
         tokens, own = tokens[order], own[order]
-        edge = np.searchsorted(tokens >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-        six = np.ascontiguousarray((tokens & lowest).view(np.uint8).reshape(-1, 8)[:, :6])
-        rows = [(p, six[a:b].tobytes(), own[a:b].tobytes()) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
-        return pd.DataFrame(rows, columns=["p", "tokens", "owners"])
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        n = np.diff(np.append(first, len(tokens)))
+        credited, credits = np.unique(own[np.repeat(n > 1, n) & (tokens & np.uint64(1) == 0)], return_counts=True)
+        one, several = first[n == 1], first[n > 1]
+        tokens_1, own_1, tokens_n, n = tokens[one], own[one], tokens[several], n[n > 1].astype(np.uint32)
+        borders = np.arange((1 << bits) + 1, dtype=np.uint64)
+        e1, en = np.searchsorted(tokens_1 >> shift, borders), np.searchsorted(tokens_n >> shift, borders)
+        packed_1, packed_n, nothing = six(tokens_1), six(tokens_n), b""
+        rows = [
+            (p, packed_1[a:b].tobytes(), own_1[a:b].tobytes(), packed_n[c:d].tobytes(), n[c:d].tobytes(), nothing, nothing)
+            for p, (a, b, c, d) in enumerate(zip(e1[:-1], e1[1:], en[:-1], en[1:])) if b > a or d > c
+        ]
+        if len(credited):
+            p = int(credited[0]) % (1 << bits)
+            rows.append((p, nothing, nothing, nothing, nothing, credited.tobytes(), credits.astype(np.uint32).tobytes()))
+        return pd.DataFrame(rows, columns=["p", "tokens", "owners", "many", "counts", "credited", "credits"])
 
     def runs(batches):
         hasher, seen, sets, owners, held = WordHasher(), set(), [], [], 0
@@ -109,14 +155,14 @@ def shared_counts(docs: DataFrame, buckets: int, frequent: int, size: int = SHIN
                     if not len(s):
                         continue
                     _, low = digest(s)
-                    if low in seen:  # a task sends a copied set once
+                    if low in seen:  # a task counts a copied set once
                         continue
                     seen.add(low)
                     if (low >> 40) % OTHER_HALF:
                         s = s[s & np.uint64(1) == 0]
                     if len(s):
                         sets.append(s)
-                        owners.append(owner_of(low))
+                        owners.append(low)
                         held += len(s)
                 if held > FLUSH:
                     yield pack(sets, owners)
@@ -125,230 +171,318 @@ def shared_counts(docs: DataFrame, buckets: int, frequent: int, size: int = SHIN
             yield pack(sets, owners)
 
     def count(key, pdf):
-        six = np.frombuffer(b"".join(pdf["tokens"]), np.uint8).reshape(-1, 6)
-        tokens = np.zeros((len(six), 8), np.uint8)
-        tokens[:, :6] = six
-        tokens = tokens.view(np.uint64).ravel()
-        owners = np.frombuffer(b"".join(pdf["owners"]), np.uint32)
+        tokens, owners = wide(pdf["tokens"]), np.frombuffer(b"".join(pdf["owners"]), np.int64)
+        many, counts = wide(pdf["many"]), np.frombuffer(b"".join(pdf["counts"]), np.uint32)
         order = np.lexsort((owners, tokens))
         tokens, owners = tokens[order], owners[order]
-        fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])]
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
         tokens, owners = tokens[fresh], owners[fresh]
-        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        n = np.diff(np.append(first, len(tokens)))
-        odd = tokens[first] & np.uint64(1) == 1
-        own, shared = np.unique(owners[np.repeat((n > 1) & ~odd, n)], return_counts=True)
-        often = (np.where(odd, n * OTHER_HALF, n) >= frequent) & (n > 2)
+        every, at = np.unique(np.concatenate([tokens, many]), return_inverse=True)
+        n = np.bincount(at[: len(tokens)], minlength=len(every)) + np.bincount(at[len(tokens) :], counts, len(every)).astype(np.int64)
+        odd = every & np.uint64(1) == 1
+        own, shared = np.unique(owners[((n > 1) & ~odd)[at[: len(tokens)]]], return_counts=True)
+        extra, credits = np.frombuffer(b"".join(pdf["credited"]), np.int64), np.frombuffer(b"".join(pdf["credits"]), np.uint32)
+        total = np.where(odd, n * OTHER_HALF, n)
+        often = (total >= LEAST_FREQUENT) & (n > 2)
+        keys = np.concatenate([own, extra, ((np.uint64(key[0]) << shift) | every[often]).view(np.int64)])
         return pd.DataFrame({
-            "owner": np.r_[own.astype(np.int64), np.full(often.sum(), -1)],
-            "token": np.r_[np.zeros(len(own), np.int64), ((np.uint64(key[0]) << shift) | tokens[first[often]]).view(np.int64)],
-            "n": np.r_[shared, np.where(odd, n * OTHER_HALF, n)[often]].astype(np.int64),
+            "token": np.arange(len(keys)) >= len(own) + len(extra), "key": keys,
+            "n": np.concatenate([shared, credits.astype(np.int64), total[often]]).astype(np.int64),
         })
 
-    packed = docs.select("text").mapInPandas(runs, "p int, tokens binary, owners binary")
-    counted = packed.groupBy("p").applyInPandas(count, "owner long, token long, n long")
-    return counted.groupBy("owner", "token").agg(F.sum("n").alias("n"))
+    packed = docs.select("text").mapInPandas(runs, schema)
+    counted = packed.groupBy("p").applyInPandas(count, "token boolean, key long, n long")
+    return counted.groupBy("token", "key").agg(F.sum("n").alias("n"))
+
+
+def prefix(n: Column, percent: int) -> Column:
+    """How many shingles of a set of n are listed."""
+    return n - F.ceil((percent * n).cast("double") / 100) + 1
 
 
-def postings(docs: DataFrame, kept: DataFrame, often: pd.DataFrame, buckets: int, percent: int, size: int) -> DataFrame:
-    """(token, id, n, pos) for the first shingles of each kept class."""
+def postings(texts: DataFrame, often: DataFrame, n_often: int, buckets: int, percent: int, size: int) -> DataFrame:
+    """(token, id, n, pos) for the first shingles of each class: unknown ones by their hash, then frequent ones by their count."""
     # a counted token has the bits of its bucket and its lowest 48
     seen_bits = np.uint64((1 << 64) - (1 << (64 - int(buckets).bit_length() + 1)) | (1 << 48) - 1)
-    tokens = often["token"].to_numpy(np.int64).view(np.uint64)
+    held = n_often <= MOST_HELD
+    known = often.toPandas() if held else pd.DataFrame({"key": [], "n": []}, dtype=np.int64)
+    tokens = known["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    tokens, counts = tokens[order], often["n"].to_numpy(np.int64)[order]
+    tokens, counts = tokens[order], known["n"].to_numpy(np.int64)[order]
 
     def work(batches):
         hasher = WordHasher()
         for pdf in batches:
             rows = []
             for start, run in chunks(pdf["text"].tolist()):
-                for k, s in enumerate(shingle_sets(hasher, run, size)):
-                    i = pdf["id"].iat[start + k]
-                    if digest(s)[1] != pdf["low"].iat[start + k]:  # another row with the same id
-                        continue
-                    last = np.where(s & np.uint64(1) == 0, -2, -1)
-                    if len(tokens):
-                        at = np.searchsorted(tokens, s & seen_bits)
-                        at[at == len(tokens)] = 0
-                        last = np.where(tokens[at] == s & seen_bits, counts[at], last)
+                for k, s in enumerate(shingle_sets(hasher, run, size), start):
                     n = len(s)
-                    first = np.lexsort((s, last))[: n + (-percent * n // 100) + 1]
-                    rows.append(pd.DataFrame({"token": s[first].view(np.int64), "id": i, "n": n, "pos": np.arange(len(first))}))
+                    last = np.where(s & np.uint64(1) == 0, -2, -1)
+                    if held:
+                        if len(tokens):
+                            at = np.searchsorted(tokens, s & seen_bits)
+                            at[at == len(tokens)] = 0
+                            last = np.where(tokens[at] == s & seen_bits, counts[at], last)
+                        first = np.lexsort((s, last))[: n + (-percent * n // 100) + 1]
+                        rows.append(pd.DataFrame({"token": s[first].view(np.int64), "id": pdf["id"].iat[k], "n": n, "pos": np.arange(len(first))}))
+                    else:  # all shingles, to be ordered when their counts are joined
+                        rows.append(pd.DataFrame({"token": s.view(np.int64), "id": pdf["id"].iat[k], "n": n, "pos": last}))
             if rows:
                 yield pd.concat(rows)
 
-    named = docs.select(F.col("doc_id").alias("id"), "text").join(kept, "id")
-    kind = kept.schema["id"].dataType.simpleString()
-    return named.select("id", "low", "text").mapInPandas(work, f"token long, id {kind}, n int, pos int")
+    rows = texts.select("id", "text").mapInPandas(work, "token long, id long, n int, pos int")
+    if held:
+        return rows
+    rows = rows.withColumn("key", F.col("token").bitwiseAND(F.lit(int(seen_bits.view(np.int64)))))
+    rows = rows.join(often.withColumnRenamed("n", "count"), "key", "left")
+    order = Window.partitionBy("id").orderBy(F.coalesce("count", "pos"), "token")
+    placed = rows.select("token", "id", "n", (F.row_number().over(order) - 1).alias("pos"))
+    return placed.where(F.col("pos") < prefix(F.col("n"), percent))
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, kept: DataFrame, size: int) -> DataFrame:
-    """(a, b, both) for each of the distinct `pairs`(a, b): the exact size of their intersection.
+def overlaps(texts: DataFrame, pairs: DataFrame, scope: Scope, size: int) -> DataFrame:
+    """(a, b, both, n_a, n_b) for each of the distinct `pairs`(a, b): the exact size of their intersection, and their sizes.
 
     A pivot's text goes to each chunk of its partners, a partner's text to its pivot.
     """
-    pairs = staged(pairs)
-    partners = pairs.groupBy("a").agg(F.count("*").alias("partners"))
-    pairs = pairs.join(partners, "a").withColumn("part", F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("partners") / CHUNK)).cast("int"))
-    places = pairs.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("side")).unionByName(
-        pairs.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("side")).distinct()
+    pairs = scope(pairs)
+    many = scope(pairs.groupBy("a").agg(F.count("*").alias("partners")).where(F.col("partners") > CHUNK))
+    pairs = pairs.join(small_side(many, many.count()), "a", "left")
+    pairs = pairs.withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("partners") / CHUNK)), F.lit(0)).cast("int"))
+    places = scope(
+        pairs.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("side")).unionByName(
+            pairs.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("side")).distinct()
+        )
     )
-    places = staged(places.join(kept.select("id", "low"), "id"))
-    placed = docs.select(F.col("doc_id").alias("id"), "text").join(small_side(places, places.count()), "id")
+    placed = texts.select("id", "text").join(small_side(places, places.count()), "id")
     laid = placed.repartition("a", "part").sortWithinPartitions("a", "part", "side", "id")
 
     def work(batches):
         hasher, key, pivot = WordHasher(), None, None
         for pdf in batches:
             rows = []
-            ids, a, part, side, low = (pdf[c].to_numpy() for c in ("id", "a", "part", "side", "low"))
+            ids, a, part, side = (pdf[c].to_numpy() for c in ("id", "a", "part", "side"))
             for start, run in chunks(pdf["text"].tolist()):
                 for k, s in enumerate(shingle_sets(hasher, run, size), start):
-                    if digest(s)[1] != low[k]:
-                        continue
                     if side[k] == 0:
                         key, pivot = (a[k], part[k]), s
                     elif key == (a[k], part[k]):
-                        rows.append((a[k], ids[k], len(np.intersect1d(pivot, s, assume_unique=True))))
-            yield pd.DataFrame(rows, columns=["a", "b", "both"])
+                        rows.append((a[k], ids[k], len(np.intersect1d(pivot, s, assume_unique=True)), len(pivot), len(s)))
+            yield pd.DataFrame(rows, columns=["a", "b", "both", "n_a", "n_b"])
 
-    kind = kept.schema["id"].dataType.simpleString()
-    return laid.select("id", "a", "part", "side", "low", "text").mapInPandas(work, f"a {kind}, b {kind}, both int").distinct()
+    return laid.select("id", "a", "part", "side", "text").mapInPandas(work, "a long, b long, both int, n_a int, n_b int")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scope: Scope) -> DataFrame:
     """(id, label) for every id in `edges`(a, b): the smallest id reachable. Labels spread to neighbours and jump along labels until none changes."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")))
+    both = scope(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
+    labels = scope(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         met = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("lower"))
-        moved = staged(met.join(jump, "low", "left").select("id", F.col("label").alias("old"), F.least("low", F.coalesce("lower", "low")).alias("label")))
+        moved = scope(met.join(jump, "low", "left").select("id", F.col("label").alias("old"), F.least("low", F.coalesce("lower", "low")).alias("label")))
         changed = moved.where("old != label").limit(1).count()
         labels = moved.select("id", "label")
         if not changed:
             return labels
 
 
-def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs`.
+def in_reach(n: str, pos: str, m: str, at: str, percent: int) -> Column:
+    """Whether sets of n and m whose first common shingle is at these positions may link."""
+    n, pos, m, at = map(F.col, (n, pos, m, at))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - pos, m - at) >= needed(n, m, percent))
 
-    n_shingles is the size of the row's set; a null or empty text and one without
-    words have an empty set, which links with nothing. component_id is the smallest
-    doc_id reachable by links, the row's own included. Rows that repeat a doc_id are
-    taken by their texts. A row without an id has no component; it links nothing.
+
+def apart(x: str, y: str, percent: int) -> Column:
+    """Whether the answers of entries x and y to their common pivot leave a link possible; true without a common pivot or an answer."""
+    both, other, n, m = (F.col(f"{side}.{k}") for k in ("both", "n") for side in (x, y))
+    upper = F.least(both, other) + F.least(n - both, m - other)
+    return (F.col(f"{x}.pivot") != F.col(f"{y}.pivot")) | F.coalesce(upper >= needed(n, m, percent), F.lit(True))
+
+
+def met_in_blocks(entries: DataFrame, scope: Scope, percent: int) -> DataFrame:
+    """Pairs of entries of long lists, of different components and in reach: columns as of two entries, named x.* and y.*.
+
+    Blocks of a list hold about BLOCK entries with one length cell, component (or none), pivot and eighth of overlap with it.
     """
+    keys = ["token", "cell", "owner", "pivot", "level"]
+    entries = entries.withColumns({
+        "cell": cell(F.col("n")), "level": F.coalesce(F.floor(8 * F.col("both") / F.col("n")), F.lit(-1)).cast("int"),
+        "owner": F.when(F.col("alone"), F.lit(-1)).otherwise(F.col("label")),
+    })
+    sizes = entries.groupBy(keys).agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+    sizes = scope(sizes)
+    sliced = entries.join(small_side(sizes, sizes.count()), keys, "left")
+    sliced = sliced.withColumn("slice", F.coalesce(F.pmod(F.xxhash64("id"), 1 + F.floor(F.col("m") / BLOCK)), F.lit(0)).cast("int"))
+    top = F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")  # the longest partner in reach
+    blocks = scope(
+        sliced.withColumn("top", top).groupBy(*keys, "slice").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("top"), F.max("both").alias("both"), F.max(F.col("n") - F.col("both")).alias("rest"),
+            F.count("both").alias("known"), F.count("*").alias("m"), F.collect_list(F.struct("id", "n", "pos", "both", "label", "pivot")).alias("held"),
+        ).withColumn("block", F.monotonically_increasing_id())
+    )
+    # each pair of blocks meets once, in its (smaller cell, larger cell)
+    shorter = F.ceil(percent * F.col("least") / 100)
+    down = blocks.where(F.col("top") >= shorter).withColumn("low", F.explode(F.sequence(cell(shorter), F.col("cell")))).withColumn("high", F.col("cell"))
+    up = blocks.where(cell(F.col("top")) >= F.col("cell")).withColumn("high", F.explode(F.sequence(F.col("cell"), cell(F.col("top"))))).withColumn("low", F.col("cell"))
+    x, y = down.where(F.col("low") <= cell(F.col("top"))).alias("x"), up.alias("y")
+    c = F.col
+    full = (c("x.known") == c("x.m")) & (c("y.known") == c("y.m")) & (c("x.pivot") == c("y.pivot"))
+    upper = F.least("x.both", "y.both") + F.least("x.rest", "y.rest")
+    may = (
+        ((c("x.owner") != c("y.owner")) | (c("x.owner") == -1))
+        & ((c("x.cell") != c("y.cell")) | (c("x.block") <= c("y.block")))
+        & (c("x.top") >= c("y.least")) & (c("y.top") >= c("x.least")) & (100 * c("y.most") >= percent * c("x.least"))
+        & (~full | (upper >= needed(c("x.least"), c("y.least"), percent)))
+    )
+    met = x.join(y, (c("x.token") == c("y.token")) & (c("x.low") == c("y.low")) & (c("x.high") == c("y.high")) & may)
+    met = met.select(c("x.held").alias("hx"), c("y.held").alias("hy")).select(F.explode("hx").alias("x"), "hy").select("x", F.explode("hy").alias("y"))
+    return met.where(c("x.label") != c("y.label"))
+
+
+def links_of(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, Scope]:
+    """(sets, found, scope): set_table of all rows; (high, low, first, first_th, copies) of each class that has a link or several rows: the smallest (doc_id, th) reachable."""
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select("doc_id", "text")
-    sets = staged(set_table(docs, size))
+    scope, lasting = Scope(spark), Scope(spark)
+    sets = lasting(set_table(docs, size))
     named = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = staged(
-        named.groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("half").alias("half"))
+    # rows of one id and text first, then classes
+    rows = named.groupBy("high", "low", "doc_id", "th").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("half").alias("half"))
+    own = F.struct("doc_id", "th")
+    classes = scope(
+        rows.groupBy("high", "low")
+        .agg(F.min(F.struct("doc_id", "th", "times")).alias("own"), F.sum("times").alias("rows"), F.first("n").alias("n"), F.first("half").alias("half"))
+        .select(F.monotonically_increasing_id().alias("id"), "high", "low", "own.*", "rows", "n", "half")
     )
-    total = named.agg(F.sum("half").alias("s")).first()["s"] or 0
-    frequent = max(LEAST_FREQUENT, -(-total // FREQUENT))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << min(16, max(8, (16 * partitions - 1).bit_length()))
-    counted = staged(shared_counts(docs.where(F.col("doc_id").isNotNull()), buckets, frequent, size))
-    often = counted.where("owner = -1").select("token", "n").orderBy(F.desc("n"), "token").limit(2 * FREQUENT).toPandas()
+    counted = scope(shared_counts(docs.where(F.col("doc_id").isNotNull()), buckets, size))
+    often = counted.where("token").select("key", "n")
     miss = F.col("n") - F.ceil(percent * F.col("n") / 100)
-    shared = counted.where("owner >= 0").select("owner", F.col("n").alias("shared"))
-    owner = F.col("low").bitwiseAND(F.lit(0xFFFFFFFF))
-    kept = staged(
-        classes.withColumn("owner", owner).join(shared, "owner", "left")
-        .where(F.coalesce("shared", F.lit(0)) >= F.col("half") - miss).select("id", "low", "n")
+    shared = counted.where(~F.col("token")).select(F.col("key").alias("low"), F.col("n").alias("shared"))
+    kept = scope(
+        classes.join(shared, "low", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("half") - miss).select("id", "doc_id", "th", "times")
     )
-    n_kept = kept.count()
+    texts = keyed(docs).join(small_side(kept, kept.count()), ["doc_id", "th"]).select("id", "text", "times")
+    once, again = texts.where("times = 1").select("id", "text"), texts.where("times > 1").select("id", "text")
+    repeated = kept.where("times > 1").limit(1).count()
+    texts = scope(once.unionByName(again.groupBy("id").agg(F.first("text").alias("text"))) if repeated else once)
 
     cut = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    lists = postings(docs, small_side(kept.select("id", "low"), n_kept), often, buckets, percent, size).withColumn("cut", cut)
-    whole = Window.partitionBy("token")
-    lists = staged(lists.repartition("token").withColumn("listed", F.count("*").over(whole)).where("listed > 1"))
+    entries = scope(postings(texts, often, often.count(), buckets, percent, size))
+    listed = entries.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
+    entries = scope(entries.join(listed, "token").withColumn("cut", cut))
     # the set that the others of a list are most likely near copies of: its own shingles are the most listed
-    weight = lists.groupBy("id").agg(F.sum("listed").alias("weight"))
-    pivot = F.max_by("id", F.struct("weight", "n", "id")).over(Window.partitionBy("token", "cut")).alias("pivot")
-    lists = staged(lists.join(weight, "id").select("token", "cut", "id", "n", "pos", pivot))
-
-    def seen(found: DataFrame) -> DataFrame:
-        m, n = (kept.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-        found = found.join(small_side(m, n_kept), "a").join(small_side(n, n_kept), "b")
-        return found.withColumn("linked", F.col("both") >= needed(F.col("n_a"), F.col("n_b"), percent))
-
-    shared_lists = staged(lists.where("id != pivot").groupBy("id", "pivot").agg(F.count("*").alias("lists")))
+    weight = entries.groupBy("id").agg(F.sum("listed").alias("weight"))
+    best = F.max_by(F.struct(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("pos").alias("pivot_pos")), F.struct("weight", "n", "id"))
+    pivots = entries.join(weight, "id").groupBy("token", "cut").agg(best.alias("p")).select("token", "cut", "p.*")
+    lists = scope(entries.join(pivots, ["token", "cut"]))
+
+    shared_lists = scope(
+        lists.where("id != pivot").groupBy("id", "pivot")
+        .agg(F.count("*").alias("lists"), F.max(in_reach("n", "pos", "pivot_n", "pivot_pos", percent)).alias("reach")).where("reach")
+    )
+    linked = F.col("both") >= needed(F.col("n_a"), F.col("n_b"), percent)
     nearest = shared_lists.groupBy(F.col("id").alias("b")).agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("a"))
-    answers = staged(seen(overlaps(docs, nearest.select("a", "b"), kept, size)))
-    labels = components(answers.where("linked").select("a", "b"))
+    answers = scope(overlaps(texts, nearest.select("a", "b"), scope, size).withColumn("linked", linked))
+    labels = components(answers.where("linked").select("a", "b"), scope)
     # the other pivots of a set, where they are not of its component yet
-    la, lb = (small_side(labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")), labels.count()) for c in "ab")
+    n_labels = labels.count()
+    la, lb = (small_side(labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")), n_labels) for c in "ab")
     others = shared_lists.select(F.col("pivot").alias("a"), F.col("id").alias("b")).join(answers.select("a", "b"), ["a", "b"], "left_anti")
     others = others.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    answers = staged(answers.unionByName(seen(overlaps(docs, others, kept, size))))
-    n_answers = answers.count()
-    links = answers.where("linked").select("a", "b")
-    labels = components(links)
+    answers = scope(answers.unionByName(overlaps(texts, others, scope, size).withColumn("linked", linked)))
+    labels = components(answers.where("linked").select("a", "b"), scope)
     n_labels = labels.count()
 
-    # members outside the largest component of their list
+    # lists whose members are of several components
     side = small_side(labels.withColumnRenamed("label", "label_"), n_labels)
-    entries = lists.join(side, "id", "left").withColumn("label", F.coalesce("label_", "id")).drop("label_")
+    entries = lists.select("token", "id", "n", "pos", "pivot", "listed").join(side, "id", "left")
+    entries = entries.select("*", F.coalesce("label_", "id").alias("label"), F.col("label_").isNull().alias("alone")).drop("label_")
+    by_token = entries.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1")
     known = answers.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("both"))
-    entries = entries.join(small_side(known, n_answers), ["pivot", "id"], "left").withColumn("both", F.when(F.col("pivot") == F.col("id"), F.col("n")).otherwise(F.col("both")))
-    by_label = entries.groupBy("token", "label").agg(F.count("*").alias("m"))
-    largest = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = staged(entries.join(largest.select("token", "main"), "token").withColumn("block", F.floor(F.col("pos") / BLOCK)))
-    x, y = mixed.where("label != main").alias("x"), mixed.alias("y")
-    n_x, n_y = F.col("x.n"), F.col("y.n")
-    least = needed(n_x, n_y, percent)
-    same_pivot = F.col("x.pivot") == F.col("y.pivot")
-    upper = F.least("x.both", "y.both") + F.least(n_x - F.col("x.both"), n_y - F.col("y.both"))
-    in_reach = (
-        (F.col("x.label") != F.col("y.label"))
-        & (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y))
-        & (F.least(n_x - F.col("x.block") * BLOCK, n_y - F.col("y.block") * BLOCK) >= least)
-        & (F.least(n_x - F.col("x.pos"), n_y - F.col("y.pos")) >= least)
-        & (~same_pivot | F.coalesce(upper >= least, F.lit(True)))  # a set of its pivot's component may have no answer
-    )
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & in_reach)
-    pivot_n = kept.select(F.col("id").alias("c"), F.col("n").alias("n_c"))
-    left = met.select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), least.alias("least"),
-        F.when(same_pivot, F.col("x.both") + F.col("y.both")).alias("through"), F.col("x.pivot").alias("c"),
-    ).distinct()
-    left = left.join(small_side(pivot_n, n_kept), "c").withColumn("proven", F.coalesce(F.col("through") - F.col("n_c") >= F.col("least"), F.lit(False)))
-    left = staged(left.groupBy("a", "b").agg(F.max("proven").alias("proven")))
-    proven = left.where("proven").select("a", "b")
-    rest = left.where(~F.col("proven")).select("a", "b")
-    more = staged(proven.unionByName(seen(overlaps(docs, rest, kept, size)).where("linked").select("a", "b")))
+    mixed = entries.join(by_token.select("token"), "token").join(small_side(known, known.count()), ["pivot", "id"], "left")
+    mixed = scope(mixed.withColumn("both", F.when(F.col("pivot") == F.col("id"), F.col("n")).otherwise(F.col("both"))))
+    short = mixed.where(F.col("listed") <= BLOCK)
+    x, y = short.alias("x"), short.alias("y")
+    # a short list has at most BLOCK entries
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")))
+    pair = lambda k: F.struct(*(F.col(f"{k}.{c}") for c in ("id", "n", "pos", "both", "label", "pivot"))).alias(k)
+    met = met.select(pair("x"), pair("y")).unionByName(met_in_blocks(mixed.where(F.col("listed") > BLOCK), scope, percent))
+    met = met.where(in_reach("x.n", "x.pos", "y.n", "y.pos", percent) & apart("x", "y", percent))
+    least = needed(F.col("x.n"), F.col("y.n"), percent)
+    through = F.when(F.col("x.pivot") == F.col("y.pivot"), F.col("x.both") + F.col("y.both"))
+    left = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("x.pivot").alias("id"), (through - least).alias("spare")).distinct()
+    size_of = lists.select(F.col("pivot").alias("id"), F.col("pivot_n")).distinct()
+    left = left.join(size_of, "id").groupBy("a", "b").agg(F.coalesce(F.max(F.col("spare") >= F.col("pivot_n")), F.lit(False)).alias("proven"))
+    left = scope(left)
+    rest = overlaps(texts, left.where(~F.col("proven")).select("a", "b"), scope, size).where(linked).select("a", "b")
+    more = scope(left.where("proven").select("a", "b").unionByName(rest))
     if more.limit(1).count():
         label = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c)).alias(c)
         la, lb = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        joined = components(more.join(la, "a", "left").join(lb, "b", "left").select(label("a"), label("b")))
+        joined = components(more.join(la, "a", "left").join(lb, "b", "left").select(label("a"), label("b")), scope)
         over = joined.select(F.col("id").alias("label"), F.col("label").alias("over"))
-        links = links.unionByName(more)
-        alone = joined.select("id", "label")
         labels = labels.join(over, "label", "left").select("id", F.coalesce("over", "label").alias("label"))
-        labels = staged(labels.unionByName(alone.join(labels, "id", "left_anti")))
+        labels = scope(labels.unionByName(joined.select("id", "label").join(labels, "id", "left_anti")))
+
+    together = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    firsts = scope(together.join(labels, "id", "left_semi").groupBy("label").agg(F.min(own).alias("first")))
+    found = together.join(small_side(firsts, firsts.count()), "label", "left").withColumn("first", F.coalesce("first", own))
+    found = found.where((F.col("rows") > 1) | (F.col("first") != own)).select(
+        "high", "low", F.col("first.doc_id").alias("first"), F.col("first.th").alias("first_th"), F.col("times").alias("copies")
+    )
+    found = lasting(found)
+    scope.close()
+    return sets, found, lasting
+
+
+def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs`, whose other columns are not read.
 
-    found = classes.join(labels, "id", "left").withColumn("component", F.coalesce("label", "id"))
-    found = staged(found.where((F.col("rows") > 1) | (F.col("component") != F.col("id"))).select("high", "low", "component"))
+    n_shingles is the size of the row's set; a null or empty text and one without
+    words have an empty set, which links with nothing. component_id is the smallest
+    doc_id reachable by links, the row's own included. Rows that repeat a doc_id are
+    rows of their own: a link of one text of an id is no link of its others. A row
+    without an id has no component; it links nothing. An empty table gives an empty one.
+    """
+    sets, found, _ = links_of(docs.select("doc_id", "text"), percent, size)
     out = sets.join(small_side(found, found.count()), ["high", "low"], "left")
-    mine = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    mine = F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), mine).alias("component_id"))
 
 
 def op10_ngram_join(spark, sf_dir):
+    """Links of all documents at the contract's settings; nulls, empties, ties and repeated ids as in link_components."""
     return link_components(table(spark, sf_dir, "documents"))
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest; of rows with one id and text, one. Rows without an id stay."""
-    found = link_components(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    gone = staged(found)
-    kept = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti")
-    return kept
+    """One row of each component of `docs`, with its columns: that of the smallest doc_id, of one id's texts that of the smallest hash.
+
+    Of rows with one id and text, one stays. Rows without a word and rows without an
+    id link with nothing and stay, all of them. Texts of one id are judged apart.
+    """
+    sets, found, _ = links_of(docs.select("doc_id", "text"))
+    members = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(small_side(found, found.count()), ["high", "low"])
+    first = (F.col("doc_id") == F.col("first")) & (F.col("th") == F.col("first_th"))
+    scope = Scope(spark)
+    named = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    gone = scope(named(members.where(~first)))
+    twice = scope(named(members.where(first & (F.col("copies") > 1))))
+    same = lambda df: (docs["doc_id"] == df["__id"]) & (F.xxhash64(docs["text"]) == df["__th"])
+    gone = small_side(gone, gone.count())
+    kept = docs.join(gone, same(gone), "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    twice = small_side(twice, twice.count())
+    alone = kept.join(twice, same(twice), "left_anti")
+    several = kept.join(twice, same(twice), "left_semi")
+    one = several.groupBy("doc_id", F.xxhash64("text").alias("__th")).agg(F.first(F.struct(*map(F.col, docs.columns))).alias("row"))
+    return alone.unionByName(one.select("row.*"))
 
 
 QUERIES = {"op10_ngram_join": op10_ngram_join}

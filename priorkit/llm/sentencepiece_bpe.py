@@ -10,13 +10,24 @@ Merging occurrences at once equals merging them one by one unless a new symbol c
 take part in a pair that scores at least as well as the one being merged. That needs
 a piece which contains the new one and scores as well or better; for those ("early"
 pieces) a round merges only the leftmost occurrence of each segment.
+
+Text without spaces makes long segments. They are cut where two neighbouring
+characters stand in no piece. In what is still longer than LONG, a round also merges the
+pairs that are best among their neighbours and that no better merge can reach: no
+piece that ends in the left symbol and extends the one before it, or begins with the
+right symbol and extends the one after it, scores as well. Such a pair is merged
+sooner or later whatever else happens. What MOST_ROUNDS rounds leave of a long segment
+(runs of early pieces) is merged pair by pair from a heap, so that the time stays
+n log n for any text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -26,7 +37,8 @@ from .common import bound_batches, chunks, table
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-MOST_CACHED = 500_000
+#: Segments kept by a task at most; longer ones than LONG are not kept.
+MOST_CACHED, LONG, MOST_ROUNDS = 500_000, 64, 100
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, BYTE = 1, 6
 
@@ -59,7 +71,6 @@ class Vocabulary:
         # ranks: equal scores have equal ranks; symbols of unknown characters are numbered from the end of the vocabulary
         values = sorted({s for s in self.score.values()}, reverse=True)
         rank = {s: i for i, s in enumerate(values)}
-        self.pair: dict[int, tuple[int, int]] = {}
         keys, ranks, made = [], [], []
         for p, i in self.ids.items():
             for k in range(1, len(p)):
@@ -78,8 +89,96 @@ class Vocabulary:
                     if part is not None and self.score[p[i:j]] <= self.score[p]:
                         self.early[part] = True
 
-    def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all segments and their bounds."""
+    @cached_property
+    def together(self) -> np.ndarray:
+        """Sorted codes of the pairs of characters that stand next to each other in a piece."""
+        return np.array(sorted({ord(a) << 32 | ord(b) for p in self.ids for a, b in zip(p, p[1:])}), np.int64)
+
+    @cached_property
+    def reach(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For neighbouring symbols (a, b): the best rank of a pair (longer symbol ending in a, b), and of a pair (a, longer symbol beginning with b)."""
+        left: dict[int, int] = {}
+        right: dict[int, int] = {}
+        for key, rank in zip(self.keys.tolist(), self.ranks.tolist()):
+            a, b = key >> 32, key & 0xFFFFFFFF
+            for found, text, cuts in ((left, self.pieces[a], lambda t, k: t[k:]), (right, self.pieces[b], lambda t, k: t[:-k])):
+                for k in range(1, len(text)):
+                    part = self.ids.get(cuts(text, k))
+                    if part is not None:
+                        at = part << 32 | b if found is left else a << 32 | part
+                        if rank < found.get(at, 1 << 60):
+                            found[at] = rank
+        out = []
+        for found in (left, right):
+            keys = np.array(sorted(found), np.int64)
+            out.append((keys, np.array([found[k] for k in keys.tolist()], np.int64)))
+        return tuple(out)
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+
+    def from_heap(self, symbols: list[int]) -> list[int]:
+        """The merged symbols of one segment: always the best pair, of equal ones the leftmost."""
+        n, pairs = len(symbols), self.pairs
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(i: int, j: int) -> None:
+            found = pairs.get(symbols[i] << 32 | symbols[j])
+            if found is not None:
+                heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:  # one of them has been merged since
+                continue
+            symbols[i], symbols[j] = made, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [s for s in symbols if s >= 0]
+
+    def cut(self, segment: str) -> list[str]:
+        """Parts of a segment that no piece can join."""
+        codes = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        key = codes[:-1] << 32 | codes[1:]
+        at = np.searchsorted(self.together, key)
+        at[at == len(self.together)] = 0
+        edges = [0, *(np.flatnonzero(self.together[at] != key) + 1).tolist(), len(segment)]
+        return [segment[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+    def _unreached(self, key: np.ndarray, rank: np.ndarray, hit: np.ndarray, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Pairs, other than the best of their segments, that may be merged at once wherever they stand."""
+        none = np.iinfo(np.int64).max
+
+        def best(table, keys):
+            i = np.searchsorted(table[0], keys)
+            i[i == len(table[0])] = 0
+            return np.where(table[0][i] == keys, table[1][i], none)
+
+        before, after = np.r_[none, rank[:-1]], np.r_[rank[1:], none]
+        some = np.flatnonzero(hit & (rank <= before) & (rank <= after) & (rank != low))
+        some = some[~self.early[self.made[at[some]]]]
+        if not len(some):
+            return some
+        left = np.where(some > 0, best(self.reach[0], key[some - 1]), none)
+        right = np.where(some + 1 < len(key), best(self.reach[1], key[np.minimum(some + 1, len(key) - 1)]), none)
+        fine = np.zeros(len(key), bool)
+        fine[some[(left > rank[some]) & (right > rank[some])]] = True
+        # overlapping pairs of one rank: all are fine, then every second one from the left, or none
+        start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+        size = np.diff(np.append(start, len(rank)))
+        fine &= np.repeat(np.logical_and.reduceat(fine, start), size)
+        return np.flatnonzero(fine & ((np.arange(len(rank)) - np.repeat(start, size)) % 2 == 0))
+
+    def encode_segments(self, segments: list[str], long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all segments and their bounds; `long` also merges what no better merge reaches."""
         n = len(segments)
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         owner = np.repeat(np.arange(n), [len(s) for s in segments])
@@ -90,7 +189,18 @@ class Vocabulary:
         none = np.iinfo(np.int64).max
         done_symbol, done_owner, done_place = [], [], []
         place = np.arange(len(symbol))
+        rounds = 0
         while len(symbol) > 1:
+            rounds += 1
+            if long and rounds > MOST_ROUNDS:
+                first = np.append(np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), len(owner))
+                for a, b in zip(first[:-1], first[1:]):
+                    merged = self.from_heap(symbol[a:b].tolist())
+                    done_symbol.append(np.array(merged, np.int64))
+                    done_owner.append(np.full(len(merged), owner[a]))
+                    done_place.append(place[a : a + len(merged)])
+                symbol, owner, place = symbol[:0], owner[:0], place[:0]
+                break
             key = symbol[:-1] << 32 | symbol[1:]
             at = np.searchsorted(self.keys, key)
             at[at == len(self.keys)] = 0
@@ -108,6 +218,9 @@ class Vocabulary:
                     break
             best = np.flatnonzero((rank == np.repeat(low, np.diff(np.append(first, len(owner))))[:-1]) & hit)
             best = self._leftmost(best, self.made[at[best]], owner)
+            if long:
+                spread = np.repeat(low, np.diff(np.append(first, len(owner))))[:-1]
+                best = np.concatenate([best, self._unreached(key, rank, hit, at, spread)])
             symbol = symbol.copy()
             symbol[best] = self.made[at[best]]
             keep = busy.copy()
@@ -158,32 +271,51 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with the segments met so far kept."""
+    """Encodes texts with the short segments met so far kept."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat, self.bounds, self.used = np.zeros(1 << 16, np.int64), [0], 0
+
+    def _add(self, segments: list[str], long: bool) -> None:
+        ids, bounds = self.v.encode_segments(segments, long)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + len(ids), np.int64)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        start = len(self.bounds) - 1
+        self.known.update(zip(segments, range(start, start + len(segments))))
+        self.bounds.extend((self.used + bounds[1:]).tolist())
+        self.used += len(ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         parts = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        parts = [[x for s in p for x in (self.v.cut(s) if len(s) > LONG else (s,))] for p in parts]
         if len(self.known) > MOST_CACHED:
-            self.__init__(self.v)
+            self.forget()
         new = list({s for p in parts for s in p if s not in self.known})
-        if new:
-            ids, bounds = self.v.encode_segments(new)
-            start = len(self.known)
-            self.known.update(zip(new, range(start, start + len(new))))
-            self.flat = np.concatenate([self.flat, ids])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        long = [s for s in new if len(s) > LONG]
+        short = [s for s in new if len(s) <= LONG] if long else new
+        if short:
+            self._add(short, False)
+        used, kept = self.used, len(self.bounds)
+        if long:
+            self._add(long, True)
         out = []
-        end = np.array([self.v.end])
+        end, bounds = np.array([self.v.end]), np.array(self.bounds)
         for p in parts:
             at = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
-            low, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            low, sizes = bounds[at], bounds[at + 1] - bounds[at]
             steps = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
             out.append(np.concatenate([self.flat[steps], end]))
+        for s in long:
+            del self.known[s]
+        self.used = used
+        del self.bounds[kept:]
         return out
 
 

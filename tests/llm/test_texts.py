@@ -1,6 +1,8 @@
+import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,6 +13,7 @@ from priorkit.llm import quality_rules, sentencepiece_bpe as bpe, spotsigs, toke
 from priorkit.llm.words import WordHasher, shingle_sets, windows
 
 SPACES = "\x20\x09-\x0d"
+FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 MIXED = ["", "a", " ", "   a  b   ", "▁x", "a▁▁b c", "\n\n\t x", "ngngngngng", "a" * 40, "日本語 テキスト 😀😀", "    " * 7, "a" + " " * 33 + "b", "=====-----=====", "ab" * 57, "\x00a", "é́"]
 
 
@@ -24,6 +27,13 @@ def test_sentencepiece_equals_the_library():
 
     sp = sentencepiece.SentencePieceProcessor(model_file=bpe.model_path())
     vocabulary = bpe.Vocabulary(bpe.model_path())
+    long = [base64.b64encode(random.Random(9).randbytes(60_000)).decode(), "".join(chr(random.Random(i).randint(0x4E00, 0x5FFF)) for i in range(80_000))]
+    long += ["".join(random.Random(8).choices(letters, k=n)) for letters, n in (("etaoinshrdlu", 30_000), ("ACGT", 20_000), ("=-_*#", 5_000))] + [" " * 20_000]
+    long += ["".join(random.Random(i).choices(["etaoinsh", "=-_*#", "ing", "theratio", "ntiongs"][i % 5], k=65 + i)) for i in range(200)]
+    for t in long:
+        began = time.perf_counter()
+        assert vocabulary.encoder()([t])[0].tolist() == sp.encode(t, add_eos=True), t[:80]
+        assert time.perf_counter() - began < 10  # far less; rounds that grow with the length take minutes
     texts = MIXED + random_texts(1500, "abtheinor  ▁ngs.,0123456789=-_\"()éüñ日😀\n\t", 60, 1) + random_texts(1500, "  ▁theing=- ", 40, 2) + ["the quick brown fox " * 5000, "x" * 3000]
     mine, theirs = vocabulary.encoder()(texts), sp.encode(texts, add_eos=True)
     for t, a, b in zip(texts, mine, theirs):
@@ -107,28 +117,63 @@ def test_word_and_shingle_hashes():
     assert len(windows(words[:3], 5)) == 0
 
 
-def test_fingerprints_and_edits(make, spark, tmp_path, odd):
-    sign = spotsigs.Signer()
-    a, b = "the quick brown fox is a lazy dog in the warm sun " * 3, "nothing shared here at all with any other text of that kind " * 3
-    x, y = sign([a, b])
-    assert spotsigs.as_text(sign([a])[0]) == spotsigs.as_text(x) and (spotsigs.from_text(spotsigs.as_text(x)) == x).all()
-    assert spotsigs.jaccard(x, x) == 1 and spotsigs.jaccard(x, y) < 0.1
-    assert spotsigs.jaccard(x[:0], x[:0]) == 1 and spotsigs.jaccard(x, x[:0]) == 0
-    rows = [(i, t) for i, t in enumerate([a, b, a, None, "", "zz yy xx", a[:-20] + " extra", "one"] * 3)]
-    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in spotsigs.op7_spotsigs(spark, str(tmp_path)).collect()}
-    assert len(got) == len(rows)
-    for i, (_, t) in enumerate(rows):
-        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
-        new = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        own, other, near = (sign([z])[0] for z in (t, new, nxt))
-        assert got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert (got[i].fingerprint, got[i].edited_fingerprint) == (spotsigs.as_text(own), spotsigs.as_text(other))
-        assert got[i].near_edited == spotsigs.jaccard(own, other) and got[i].near_next == spotsigs.jaccard(own, near)
-    assert len(spotsigs.fingerprints(make(odd)).collect()) == len(odd)
-
-
-def test_near_pairs_against_all_pairs(make):
+def plain_signatures(text):
+    """SpotSigs in plain Python: tuples of words instead of hashes."""
+    words = [w for w in re.split(f"[{SPACES}]+", (text or "").translate(FOLD)) if w]
+    common = set(spotsigs.ANCHORS)
+    content = [i for i, w in enumerate(words) if w not in common]
+    found = set()
+    for i, w in enumerate(words):
+        chain = [words[k] for k in content if k > i][: spotsigs.CHAIN]
+        if w in common and len(chain) == spotsigs.CHAIN:
+            found.add((w, *chain))
+    if found or not words:
+        return found
+    n = spotsigs.CHAIN + 1
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or {tuple(words)}
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def plain_next(rows):
+    """(row, next text) for rows (doc_id, text) in the order of op7."""
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode()))
+    return [(r, (named[(i + 1) % len(named)][1] or "")) for i, r in enumerate(named)]
+
+
+def test_fingerprints_and_edits(make, spark, tmp_path):
+    a, b = "The quick brown fox is a lazy dog in the warm sun " * 3, "nothing shared here at all with any other text of that kind " * 3
+    rows = [(i, t) for i, t in enumerate([a, b, a, None, "", "zz yy xx ww", a[:-20] + " extra", "one", "der Hund und the", "is the of", "日本 語 the 😀 x"] * 3)]
+    rows += [(5, "another text of an id with two"), (5, "another text of an id with two"), (40, "the end is near the sea")]
+    make(rows).withColumn("key", F.lit(1)).withColumn("part", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, len(r.fingerprint) // 16, len(r.edited_fingerprint) // 16, round(r.near_edited, 9), round(r.near_next, 9)) for r in spotsigs.op7_spotsigs(spark, str(tmp_path)).collect())
+    want = Counter()
+    for (i, t), following in plain_next(rows):
+        t = t or ""
+        new = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own, other, near = map(plain_signatures, (t, new, following))
+        want[(i, len(t), hashlib.sha256(new.encode()).hexdigest(), len(own), len(other), round(plain_jaccard(own, other), 9), round(plain_jaccard(own, near), 9))] += 1
+    assert got == want
+
+
+def test_rows_without_an_id_are_fingerprinted(make, spark, tmp_path):
+    texts = ["the red house", "a blue house of stone", "the red house", None]
+    make([(None, t) for t in texts] + [(3, "the red house"), (1, "one more")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = spotsigs.op7_spotsigs(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == {None: 4, 3: 1, 1: 1}
+    equal = {r.fingerprint for r in got if r.n_chars == len("the red house")}
+    assert len(equal) == 1 and "" not in equal
+    last, first = next(r for r in got if r.doc_id == 3), min((r for r in got if r.doc_id is None), key=lambda r: 0)
+    assert 0 <= last.near_next <= 1 and first is not None
+    make([]).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert spotsigs.op7_spotsigs(spark, str(tmp_path / "none")).count() == 0
+    assert spotsigs.spotsigs_near(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [55, 75])
+def test_near_pairs_against_all_pairs(make, percent):
     rng = random.Random(7)
     base = [[rng.choice(["the", "of", "is"]) if k % 3 == 0 else f"w{rng.randint(0, 5000)}" for k in range(120)] for _ in range(12)]
     texts = []
@@ -138,20 +183,28 @@ def test_near_pairs_against_all_pairs(make):
             for _ in range(edits):
                 w[rng.randrange(len(w))] = f"e{rng.randint(0, 9999)}"
             texts.append(" ".join(w))
-    docs = make(list(enumerate(texts)) + [(900, None), (901, "")])
-    pairs, members = spotsigs.near_pairs(spotsigs.fingerprints(docs), 0.6)
+    docs = make(list(enumerate(texts)) + [(900, None), (901, ""), (None, texts[0])])
+    pairs, members = spotsigs.near_pairs(spotsigs.fingerprints(docs), percent)
     class_of = {r.doc_id: r.class_id for r in members.collect()}
-    got = {(r.left_id, r.right_id) for r in pairs.collect()}
-    sets = dict(enumerate(spotsigs.Signer()(texts)))
+    assert set(class_of) == {*range(len(texts)), 900, 901}
+    got = {(r.left_id, r.right_id): (r.both, r.either) for r in pairs.collect()}
+    sets = dict(enumerate(map(plain_signatures, texts)))
+    met = 0
     for i in sets:
         for j in range(i):
             a, b = sorted((class_of[i], class_of[j]))
-            assert (spotsigs.jaccard(sets[i], sets[j]) >= 0.6) == (a == b or (a, b) in got)
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            assert (100 * both >= percent * either) == (a == b or (a, b) in got)
+            if (a, b) in got:
+                met += 1
+                assert got[a, b] == (both, either)
+    assert met
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9])
-def test_length_partitions_reach_one_further(threshold):
-    edges = np.array(spotsigs.length_partitions(threshold, 100_000))
+@pytest.mark.parametrize("percent", [50, 55, 75, 90])
+def test_length_partitions_reach_one_further(percent):
+    edges = np.array(spotsigs.length_partitions(percent, 100_000))
     for n in range(1, 20_000, 37):
-        most = int(n / threshold)
+        most = 100 * n // percent
         assert np.searchsorted(edges, most) - np.searchsorted(edges, n) <= 1
+    assert spotsigs.least_length(100, 55) == 55 and spotsigs.least_length(180, 55) == 99

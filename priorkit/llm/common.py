@@ -99,14 +99,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     """(doc_id, text, label) of at most `bound` labelled rows outside the held-out part.
 
     Rows are chosen by a hash of doc_id, so the choice is the same at every run.
-    Null labels and null ids are never chosen; of repeated ids the smallest label counts.
+    Null labels and null ids are never chosen; of repeated ids the smallest label and the
+    smallest text count.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
     )
-    return docs.select("doc_id", "text").join(F.broadcast(lowest_hashes(ids, bound, "doc_id")), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(lowest_hashes(ids, bound, "doc_id")), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def chunks(texts: list, most_chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:

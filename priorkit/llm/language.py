@@ -16,12 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, remainder, table
+from .common import chunks, lowest_hashes, remainder, table
 
 BUCKETS = 1 << 15
 #: The steps run over at most so many training documents, chosen by a hash of the id.
 MOST_DOCS = 4000
-MOST_LANGUAGES = 200
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 BATCH, EPOCHS = 16, 3
 NONE = "und"
@@ -125,12 +124,16 @@ def best_temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def train_model(docs: DataFrame, held_out) -> Model | None:
-    """Learn from rows outside the held-out part with a language; None if there is no such row."""
+    """Learn from rows outside the held-out part with a language; None if there is no such row.
+
+    Document frequencies count all of them. The steps and the temperature see at most
+    MOST_DOCS rows, so that a language none of them has is never predicted.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     df, total = document_frequencies(known)
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MOST_DOCS)
+    ids = lowest_hashes(known.select("doc_id", "lang", F.xxhash64("text").alias("th")), MOST_DOCS, "doc_id", "lang", "th").dropDuplicates()
     blank = Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0))
 
     def vectors(batches):
@@ -140,14 +143,14 @@ def train_model(docs: DataFrame, held_out) -> Model | None:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = (
-        known.select("doc_id", "lang", "text").join(F.broadcast(ids.dropDuplicates()), ["doc_id", "lang"])
+        known.select("doc_id", "lang", "text", F.xxhash64("text").alias("th")).join(F.broadcast(ids), ["doc_id", "lang", "th"])
+        .groupBy("doc_id", "lang", "th").agg(F.first("text").alias("text"))
         .mapInPandas(vectors, f"doc_id {kind}, lang string, at binary, x binary")
-        .toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
+        .toPandas().sort_values(["doc_id", "lang", "at", "x"], ignore_index=True)
     )
     if sample.empty:
         return None
-    languages = sorted(sample["lang"].unique())[:MOST_LANGUAGES]
-    sample = sample[sample["lang"].isin(languages)].reset_index(drop=True)
+    languages = sorted(sample["lang"].unique())
     y = sample["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
     v = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(float)) for a, x in zip(sample["at"], sample["x"])]
     aside = np.arange(len(v)) % 5 == 4
@@ -180,6 +183,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op2_language(spark, sf_dir):
+    """Language of every row. Null, empty and letterless texts are 'und' with score 0, as is all where nothing can be learned.
+
+    A null id is not held out by its null remainder, and held_out is null for it. Repeated
+    rows are predicted each; ties go to the first language of the alphabet; very long texts
+    are read whole; an empty table gives an empty one; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 3) == 1
     return predict(docs, train_model(docs, held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -95,6 +95,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
 
 
 def op3_mix_sources(spark, sf_dir):
+    """All documents mixed by the square root of their source's size; nulls, ties and repeated rows as in mix_sources."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 

@@ -158,6 +158,11 @@ def joined(spans: Column) -> Column:
 
 
 def op4_pii(spark, sf_dir):
+    """Spans of every row. Null and empty texts have none: counts of 0 and the digest of an empty string.
+
+    Each row is judged by its own text, so null ids and repeated rows are rows like others;
+    very long texts are read whole; an empty table gives an empty one; other columns are not read.
+    """
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
     return found.select(

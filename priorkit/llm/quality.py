@@ -1,6 +1,7 @@
 """Quality of documents by supervised subword embeddings.
 
-Each word is its own hashed vector and those of its byte n-grams with word ends; a
+Each word is its own hashed vector and those of its character n-grams (code points)
+with word ends; a
 document is the average of all of them, and a softmax layer reads it. Vectors and
 layer are learned together by stochastic gradient descent. To score, the product of
 vectors and layer is one number for each bucket, and a word's sum is kept while a
@@ -30,8 +31,9 @@ _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 
 def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, owners): the hashed n-grams of all words, then the words themselves; owners index `words`."""
-    flat = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in words])
+    spelled = ["<" + w.decode("utf-8", "replace") + ">" for w in words]
+    flat = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in spelled])
     owner = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     left = sizes[owner] - place
@@ -43,7 +45,7 @@ def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             fits = left >= k + 1
             found.append(mix(h[fits] + _SALT[k]))
             owners.append(owner[fits])
-    # a whole word: its bytes by place, summed
+    # a whole word: its characters by place, summed
     whole = mix((flat + np.uint64(1)) * _SALT[0] ^ (place.astype(np.uint64) * _SALT[1]))
     found.append(mix(np.add.reduceat(whole, np.cumsum(sizes) - sizes)))
     owners.append(np.arange(len(words)))
@@ -139,6 +141,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_quality(spark, sf_dir):
+    """Quality of every row. Null, empty and wordless texts get the score of the bias alone.
+
+    Null labels and ids are not learned from; without both classes every score is the
+    smoothed rate of the sample (0.5 without any). A null id has a null held_out. Repeated
+    rows are scored each; very long texts are read whole; an empty table gives an empty
+    one; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 5) == 0
     model = train(docs, table(spark, sf_dir, "labels"), held)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lowest_hashes, table
 from .words import WordHasher, windows
 
 SYMBOLS = "#*$%&|<>"
@@ -92,10 +92,13 @@ BASE_RULES = ("few_words", "repeated_windows")
 
 
 def order_of(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = RULES, sample: int = SAMPLE) -> list[str]:
-    """Names of `rules` by falling share of rejections per second, as measured on at most `sample` texts."""
-    share = min(1.0, (2 * sample + 200) / max(1, docs.count()))  # twice the rows that are wanted go to the sort, not all
-    lowest = F.xxhash64("doc_id") <= F.lit(min(2**63 - 1, int(share * 2.0**64) - 2**63))
-    some = docs.select("doc_id", "text").where(lowest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """Names of `rules` by falling share of rejections per second, as measured on at most `sample` texts.
+
+    Texts are chosen by a hash of id and text, so a repeated id does not fill the sample;
+    null ids and null texts may be in it. On an empty table the order is that of `rules`;
+    rules with equal rates keep it too.
+    """
+    some = lowest_hashes(docs.select("doc_id", "text"), sample, "doc_id", "text")
 
     def measure(batches):
         hasher = WordHasher(lower=False)
@@ -142,10 +145,20 @@ def cascade(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = RULES, or
 
 
 def op5_quality_rules(spark, sf_dir):
+    """Measures and verdict of every row; nulls, empties, ties and repeated rows as in cascade.
+
+    The contract wants all measures of every row, so here the cascade saves only the rules
+    after the first that fails; `quality_kept` is the cascade alone.
+    """
     judged = cascade(table(spark, sf_dir, "documents"), measures=True)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+def quality_kept(spark, sf_dir):
+    """(doc_id, kept): the cascade's verdict alone, where a text that fails costs no later rule."""
+    return cascade(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_quality_rules": op5_quality_rules, "quality_kept": quality_kept}
 ORACLES = {}

@@ -1,11 +1,14 @@
 """Token counts under a unigram model, with forward scores shared along a trie.
 
 Pre-tokens are a run of meta spaces with the characters up to the next one, as in
-SentencePiece. The vocabulary's pieces score by a Zipf law of their rank, in whole
-millionths, so that sums are exact. The distinct pre-tokens of a task are walked in
-sorted order, which is the depth-first order of their trie: the best scores of a
-prefix are computed once and kept on the path while longer words share it. At a
-terminal node the number of tokens of the best segmentation is stored.
+SentencePiece. The pieces are those of a public vocabulary and stay as they are;
+their scores are log probabilities in whole millionths, so that sums are exact,
+estimated from the documents: starting from a Zipf law of their rank, ROUNDS times the
+best segmentation of every distinct pre-token is counted with the number of times the
+pre-token occurs. The distinct pre-tokens of a task are walked in sorted order, which
+is the depth-first order of their trie: the best scores of a prefix are computed once
+and kept on the path while longer words share it. At a terminal node the number of
+tokens of the best segmentation is stored.
 
 Of segmentations with equal scores the one with fewer tokens counts.
 """
@@ -13,18 +16,22 @@ Of segmentations with equal scores the one with fewer tokens counts.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
+from copy import copy
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import Scope, bound_batches, chunks, table
 from .sentencepiece_bpe import _SEGMENT, NORMAL, SPACE, model_path
 
-MOST_CACHED = 500_000
+MOST_CACHED, ROUNDS = 500_000, 2
 
 
 class Unigram:
-    """Pieces with scores; a character no piece covers costs UNKNOWN and as many tokens as it has bytes."""
+    """Pieces with scores; a character no piece covers costs `unknown` and as many tokens as it has bytes."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -35,12 +42,20 @@ class Unigram:
         pieces = sorted((p for p in model.pieces if p.type == NORMAL), key=lambda p: -p.score)
         self.score = {p.piece: -round(1e6 * math.log(rank + 2)) for rank, p in enumerate(pieces)}
         self.longest = max(map(len, self.score))
-        self.unknown = -round(1e6 * math.log(len(pieces) + 2)) - 10_000_000
+        self.unknown = min(self.score.values()) - 10_000_000
+
+    def reestimated(self, counts: dict[str, int]) -> "Unigram":
+        """The same pieces, scored by their counts plus one half."""
+        out = copy(self)
+        total = sum(counts.values()) + 0.5 * len(self.score)
+        out.score = {p: round(1e6 * math.log((counts.get(p, 0) + 0.5) / total)) for p in self.score}
+        out.unknown = min(out.score.values()) - 10_000_000
+        return out
 
-    def counts(self, words: list[str]) -> dict[str, int]:
-        """Tokens of the best segmentation of each of the distinct `words`."""
-        score, longest, out = self.score, self.longest, {}
-        path: list[tuple[int, int]] = [(0, 0)]  # (best score, -tokens) at each node from the root to here
+    def segmentations(self, words: list[str]) -> Iterator[tuple[str, int, list[tuple[int, int, int]]]]:
+        """(word, tokens of its best segmentation, path) of each of the distinct `words`; path[end] is (best score, -tokens, start of the last piece)."""
+        score, longest = self.score, self.longest
+        path: list[tuple[int, int, int]] = [(0, 0, 0)]  # at each node from the root to here
         before = ""
         for w in sorted(words):
             shared = 0
@@ -50,28 +65,81 @@ class Unigram:
                 shared += 1
             del path[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
-                s, n = path[end - 1]
+                s, n, _ = path[end - 1]
                 c = w[end - 1]
                 piece = score.get(c)
-                best = (s + piece, n - 1) if piece is not None else (s + self.unknown, n - len(c.encode("utf-8", "replace")))
+                best = (s + piece, n - 1, end - 1) if piece is not None else (s + self.unknown, n - len(c.encode("utf-8", "replace")), end - 1)
                 for start in range(max(0, end - longest), end - 1):
                     piece = score.get(w[start:end])
                     if piece is not None:
-                        s, n = path[start]
-                        best = max(best, (s + piece, n - 1))
+                        s, n, _ = path[start]
+                        if (s + piece, n - 1) > best[:2]:
+                            best = (s + piece, n - 1, start)
                 path.append(best)
             before = w
-            out[w] = -path[len(w)][1]
-        return out
+            yield w, -path[len(w)][1], path
+
+    def counts(self, words: list[str]) -> dict[str, int]:
+        """Tokens of the best segmentation of each of the distinct `words`."""
+        return {w: n for w, n, _ in self.segmentations(words)}
+
+    def piece_counts(self, words: dict[str, int]) -> Counter:
+        """How often each piece stands in the best segmentations of `words`, which occur so many times."""
+        found: Counter = Counter()
+        for w, _, path in self.segmentations(list(words)):
+            end, times = len(w), words[w]
+            while end:
+                start = path[end][2]
+                found[w[start:end]] += times
+                end = start
+        return found
 
 
 def pretokens(text: str) -> list[str]:
     return _SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_pretokens, n_tokens) of each row; null and empty texts have none."""
+def pretoken_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the distinct pre-tokens of all texts and how often they occur."""
+
+    def work(batches):
+        seen: Counter = Counter()
+        for pdf in batches:
+            for _, run in chunks(pdf["text"].tolist()):
+                for t in run:
+                    seen.update(pretokens(t))
+                if len(seen) > MOST_CACHED:
+                    yield pd.DataFrame(seen.items(), columns=["word", "n"])
+                    seen = Counter()
+        yield pd.DataFrame(seen.items(), columns=["word", "n"])
+
+    return docs.select("text").mapInPandas(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fitted(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Unigram:
+    """The vocabulary's pieces with scores from all texts of `docs`; no text leaves the scores of the ranks."""
     model = Unigram(path or model_path())
+    scope = Scope(docs.sparkSession)
+    words = scope(pretoken_counts(docs))
+    for _ in range(rounds):
+
+        def use(batches, model=model):
+            found: Counter = Counter()
+            for pdf in batches:
+                found.update(model.piece_counts(dict(zip(pdf["word"], pdf["n"]))))
+            yield pd.DataFrame([x for x in found.items() if x[0] in model.score], columns=["piece", "n"])
+
+        found = words.mapInPandas(use, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
+        if found:
+            model = model.reestimated({r["piece"]: r["n"] for r in found})
+    scope.close()
+    return model
+
+
+def count_tokens(docs: DataFrame, model: Unigram | None = None) -> DataFrame:
+    """(doc_id, n_pretokens, n_tokens) of each row under `model`, fitted on `docs` where none is given. Null and empty texts have none."""
+    bound_batches(docs.sparkSession)
+    model = model or fitted(docs)
 
     def work(batches):
         known: dict[str, int] = {}
@@ -92,6 +160,11 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op9_token_counts(spark, sf_dir):
+    """Token counts of every row under scores from all rows. Null and empty texts have none.
+
+    Rows with a null id and repeated rows are counted like others; texts of any length are
+    read whole; an empty table gives an empty one; other columns are not read.
+    """
     return count_tokens(table(spark, sf_dir, "documents"))
 
 

@@ -97,3 +97,65 @@ def test_odd_rows(make, odd, spark):
     kept = ngram_join.keep_one(spark, docs, "")
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "component_id"]
     assert ngram_join.link_components(make([])).count() == 0
+
+
+def test_counts_that_are_joined(make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "MOST_HELD", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "CHUNK", 2)
+    check(make, corpus(5))
+
+
+def test_long_lists_in_blocks(make, monkeypatch):
+    """Texts that share much and link with few: every list is taken in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join(passage + [f"o{i}_{k}" for k in range(rng.choice([4, 12, 16, 18, 20, 30]))])) for i in range(40)]
+    rows += [(100 + i, " ".join([f"q{i % 3}_{k}" for k in range(20 + i)] + passage)) for i in range(20)]
+    check(make, rows)
+
+
+def kept_of(rows):
+    """What keep_one keeps, in plain Python: of each component the smallest id, of one id's texts either, of equal rows one."""
+    found = brute(rows)
+    groups = {}
+    out = []
+    for (d, t), (_, n, component) in zip(rows, found):
+        if d is None or n == 0:
+            out.append((d, t))
+        else:
+            groups.setdefault(root_of(rows, t), set()).add((d, t))
+    return out, groups
+
+
+def root_of(rows, text):
+    """The set of texts linked with `text`, over all rows with an id."""
+    texts = {t for d, t in rows if d is not None}
+    seen, todo = {text}, [text]
+    while todo:
+        a = sets_of(todo.pop())
+        for t in texts - seen:
+            b = sets_of(t)
+            both = len(a & b)
+            if a and b and 100 * both >= 75 * (len(a) + len(b) - both):
+                seen.add(t)
+                todo.append(t)
+    return frozenset(seen)
+
+
+def test_keep_one_loses_no_text(make, spark):
+    """Ids with two texts, equal rows, null ids: one row of each component stays, and no component goes."""
+    t = " ".join(f"t{k}" for k in range(40))
+    u = " ".join(f"u{k}" for k in range(40))
+    s = " ".join(f"s{k}" for k in range(40))
+    rows = [(1, t), (8, t + " x"), (8, u), (9, u + " y"), (20, s), (20, s), (20, s.upper()), (None, t), (None, None), (3, None), (3, None), (4, ""), (7, "a b"), (7, "c d"), (6, "c d")]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark, make(rows).withColumn("first", F.lit("clash")).withColumn("th", F.lit(0)), "").collect()]
+    loose, groups = kept_of(rows)
+    for members in groups.values():
+        mine = [x for x in got if x in members]
+        assert len(mine) == 1 and mine[0][0] == min(d for d, _ in members), members
+        got.remove(mine[0])
+    assert sorted(got, key=str) == sorted(loose, key=str)
+    assert ngram_join.keep_one(spark, make([]), "").count() == 0

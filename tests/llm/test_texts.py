@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -73,6 +74,46 @@ def test_token_counts_equal_plain_dynamic_programming(make, odd):
     assert len(rows) == len(odd) and all(r.n_tokens == 0 for r in rows if r.doc_id in (2, 3))
 
 
+def test_scores_and_document_sums_equal_plain_estimation(make):
+    """Two rounds over all texts and the sums of whole documents, against plain dynamic programming."""
+    texts = [" ".join(x) for x in (["the cat sat on the mat"] * 3, ["the theory of the weather"], ["a cat 日 \n there"])] + [None, "", "the cat", "the cat"]
+    docs = make(list(enumerate(texts))).withColumn("word", F.lit("clash")).withColumn("n", F.lit(1))
+    words = Counter(w for t in texts for w in token_counts.pretokens(t or ""))
+    score = token_counts.Unigram(bpe.model_path()).score
+
+    def best(w, score):
+        unknown = min(score.values()) - 10_000_000
+        at = [(0, 0, ())]
+        for end in range(1, len(w) + 1):
+            options = []
+            for start in range(end - 1, -1, -1):
+                s, n, parts = at[start]
+                if w[start:end] in score:
+                    options.append((s + score[w[start:end]], n - 1, parts + (w[start:end],)))
+                elif start == end - 1:
+                    options.append((s + unknown, n - len(w[start].encode()), parts + (w[start],)))
+            top = max(o[:2] for o in options)
+            at.append(next(o for o in options if o[:2] == top))
+        return at[-1]
+
+    for _ in range(token_counts.ROUNDS):
+        found = Counter()
+        for w, n in words.items():
+            for p in best(w, score)[2]:
+                found[p] += n
+        total = sum(found[p] for p in score) + 0.5 * len(score)
+        score = {p: round(1e6 * math.log((found[p] + 0.5) / total)) for p in score}
+    model = token_counts.fitted(docs)
+    assert model.score == score
+    got = Counter((r.doc_id, r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(docs, model).collect())
+    want = Counter()
+    for i, t in enumerate(texts):
+        parts = token_counts.pretokens(t or "")
+        want[(i, len(parts), sum(-best(w, score)[1] for w in parts))] += 1
+    assert got == want
+    assert token_counts.count_tokens(make([])).count() == 0
+
+
 def plain_rules(t):
     t = t or ""
     w = [x for x in re.split(f"[{SPACES}]+", t) if x]
@@ -82,13 +123,24 @@ def plain_rules(t):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(marked)
 
 
+def plain_kept(t):
+    n, chars, symbols, dup, repeat = plain_rules(t)
+    t = t or ""
+    w = [x for x in re.split(f"[{SPACES}]+", t) if x]
+    lines = [x for x in t.split("\n") if re.search(f"[^{SPACES}]", x)]
+    upper = sum(1 for x in w if re.search("[A-Z]", x) and not re.search("[a-z]", x))
+    shouts = 2 * upper > n and sum(c.isupper() for c in t) > 3 * sum(c.islower() for c in t)
+    return n >= 20 and 100 * repeat <= 30 * n and 2 * n <= chars <= 15 * n and 4 * symbols <= n and 10 * dup <= 3 * len(lines) and not shouts
+
+
 def test_quality_rules_against_brute_force(make, odd):
-    texts = [r[1] for r in odd] + ["a b c d e f g h " * 3 + "x", "l1 a\nl1 a\n\n \nl2|#", "one  two three\x1cfour"] + random_texts(200, "ab \n\t|#", 120, 4)
+    texts = [r[1] for r in odd] + ["a b c d e f g h " * 3 + "x", "l1 a\nl1 a\n\n \nl2|#", "one  two three\x1cfour"] + random_texts(200, "ab \n\t|#", 120, 4) + random_texts(300, "abcdefgh ijkl AB CD\nE", 400, 14) + random_texts(100, "ABCDE FGH\n", 300, 15)
     rows = quality_rules.cascade(make([(i, t) for i, t in enumerate(texts)]), measures=True).collect()
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows} == {i: plain_rules(t) for i, t in enumerate(texts)}
     for r in rows:
-        if r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words:
-            assert not r.kept
+        assert r.kept == plain_kept(texts[r.doc_id]), texts[r.doc_id]
+    alone = quality_rules.cascade(make([(i, t) for i, t in enumerate(texts)]).withColumn("kept", F.lit("clash"))).collect()
+    assert {r.doc_id: r.kept for r in alone} == {r.doc_id: r.kept for r in rows}
 
 
 def test_cascade_verdict_does_not_depend_on_order(make):

@@ -16,27 +16,27 @@ from priorkit.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go."""
+    """Documents scored toxic go. Each row is judged by its text; null ids, null and empty texts are kept where the score of no text is."""
     return drop_toxic(spark, docs, sf_dir)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by near-equal shingle sets stays: that with the smallest id."""
+    """One document of each group linked by near-equal shingle sets stays: that with the smallest id. Rows without words or without an id all stay."""
     return keep_one(spark, docs, sf_dir)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become tags."""
+    """Personal data become tags. Null texts stay null; no row goes."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, or left out, to the target weights of their sources, and shuffled."""
+    """Documents are repeated, or left out, to the target weights of their sources, and shuffled. A null source is one of its own; rows of one id draw alike."""
     return mix_sources(docs).drop(*OUT)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens) of every row."""
+    """(doc_id, ids, n_tokens) of every row; a null or empty text has the end id alone."""
     return encode_documents(docs)
 
 

@@ -46,6 +46,8 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 _BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _SPAN = "array<struct<start:int,end:int,score:double>>"
+#: Spans are gathered in runs of so many.
+RUN = 128
 
 
 def luhn(digits: Column) -> Column:
@@ -78,6 +80,19 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def pushed(acc: Column, item: Column, kind: str) -> dict[str, Column]:
+    """Fields `full` and `open` of the accumulator with one item more: arrays of RUN items, and the one being filled. Copies stay far below the square of the items."""
+    end = F.size(acc["open"]) >= RUN
+    return {
+        "full": F.when(end, F.concat(acc["full"], F.array(acc["open"]))).otherwise(acc["full"]).cast(f"array<{kind}>"),
+        "open": F.when(end, F.array(item)).otherwise(F.concat(acc["open"], F.array(item))).cast(kind),
+    }
+
+
+def all_of(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["full"], F.array(acc["open"])))
+
+
 def spans_of(kind: Kind, text: Column) -> Column:
     """array<struct<start,end,score>> of one kind, ascending."""
     pairs = F.arrays_zip(F.split(text, kind.pattern).alias("p"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"))
@@ -93,12 +108,11 @@ def spans_of(kind: Kind, text: Column) -> Column:
         if not kind.base:
             keep = keep & (score >= THRESHOLD)
         found = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"))
-        return F.struct(
-            F.coalesce(end, start).cast("int").alias("at"),
-            F.when(pair["m"].isNotNull() & keep, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).cast(_SPAN).alias("out"),
-        )
+        taken = pair["m"].isNotNull() & keep
+        return F.struct(F.coalesce(end, start).cast("int").alias("at"), *(F.when(taken, v).otherwise(acc[k]).alias(k) for k, v in pushed(acc, found, _SPAN).items()))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("full"), none.alias("open"))
+    walked = F.aggregate(pairs, empty, step, all_of)
     return F.when(text.rlike(kind.gate), walked).otherwise(none)
 
 
@@ -113,7 +127,8 @@ def count_of(kind: str) -> Column:
 def find_pii(docs: DataFrame) -> DataFrame:
     """`docs` with `pii`: array<struct<kind,start,end,score>> by kind in the order of KINDS, then start.
 
-    Null and empty texts have an empty array. A `pii` column in the input is replaced.
+    Null and empty texts have an empty array. A column `pii` in the input is replaced, a
+    rename away from being kept; `redact` keeps it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.drop("pii").withColumns({f"__pii_{k.name}": spans_of(k, text) for k in KINDS})
@@ -121,23 +136,24 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with every span of `text` replaced by its kind's tag; overlapping spans become the first one's tag.
+    """`docs`, all its columns in place, with every span of `text` replaced by its kind's tag; overlapping spans become the first one's tag.
 
     n_chars, where present, is brought up to date. Null texts stay null.
     """
     span = "array<struct<start:int,end:int,kind:string>>"
-    found = find_pii(docs)
+    found = find_pii(docs.withColumnRenamed("pii", "__pii_own"))
     order = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def join_up(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))),
-        )
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), grown).otherwise(F.concat(acc, F.array(s))).cast(span)
-
-    found = found.withColumn("__pii_cut", F.aggregate(order, F.array().cast(span), join_up))
+        last = acc["last"]
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        over = F.coalesce(last["end"] > s["start"], F.lit(False))
+        done = {k: F.when(over | last.isNull(), acc[k]).otherwise(v).alias(k) for k, v in pushed(acc, last, span).items()}
+        return F.struct(*done.values(), F.when(over, grown).otherwise(s).alias("last"))
+
+    empty = F.struct(F.array().cast(f"array<{span}>").alias("full"), F.array().cast(span).alias("open"), F.lit(None).cast("struct<start:int,end:int,kind:string>").alias("last"))
+    joined_up = F.aggregate(order, empty, join_up, lambda acc: F.when(acc["last"].isNull(), F.array().cast(span)).otherwise(F.concat(all_of(acc), F.array(acc["last"]))))
+    found = found.withColumn("__pii_cut", joined_up)
     tag = lambda k: F.coalesce(*[F.when(k == x.name, F.lit(x.tag)) for x in KINDS])
     cut = F.col("__pii_cut")
     pieces = F.transform(
@@ -149,7 +165,7 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     tail = F.substring(F.col("text"), F.element_at(cut, -1)["end"] + 1, F.length("text"))
     clean = F.when(F.size(cut) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
-    out = found.withColumn("text", clean).drop("pii", "__pii_cut")
+    out = found.withColumn("text", clean).drop("pii", "__pii_cut").withColumnRenamed("__pii_own", "pii")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -41,7 +41,7 @@ def check(spark, texts):
 def test_known_cases(spark):
     check(spark, [
         None, "", "mail a@b.c_d@e.f, x@y", "a@b.c@d.e", "..@a.b", "1.2.3.4.5.6.7.8", "256.1.1.1 0255.1.1.1 00000.0.0.1", "1.2.3", "4539 1488 0343 6467 and 4539148803436468",
-        "+1 (974) 555-3436, +12, ++49 30 1234567-", "😀 ü a.b+c@d-e.fg 😀 10.0.0.1", "1 2 3 4 5 6 7 8 9 0", "a" * 20_000 + "@b.c", "1" * 20_000, "1-" * 20_000, "a@" + "b." * 10_000,
+        "+1 (974) 555-3436, +12, ++49 30 1234567-", "😀 ü a.b+c@d-e.fg 😀 10.0.0.1", "1 2 3 4 5 6 7 8 9 0", "a" * 20_000 + "@b.c", "1" * 20_000, "1-" * 20_000, "a@" + "b." * 10_000, "a@b.cd 10.0.0.1 " * 1_000,
     ])
 
 
@@ -61,9 +61,18 @@ def test_added_kinds_and_context(spark):
 
 def test_redaction(make, odd):
     docs = make([(1, "write to a@b.cd or +1 (974) 555-3436."), (2, None), (3, ""), (4, "10.0.0.1"), (5, "x 4539 1488 0343 6467 y"), *[(100 + i, r[1]) for i, r in enumerate(odd)]])
-    out = {r.doc_id: r for r in redact(docs.withColumn("pii", F.lit("clash")).drop("pii")).collect()}
+    redacted = redact(docs.withColumn("pii", F.lit("clash")))
+    assert redacted.columns == [*docs.columns, "pii"]
+    out = {r.doc_id: r for r in redacted.collect()}
+    assert {r.pii for r in out.values()} == {"clash"}
     assert out[1].text == "write to [EMAIL] or [PHONE]." and out[1].n_chars == len(out[1].text)
     assert out[2].text is None and out[3].text == "" and out[4].text == "[IP]"
     assert out[5].text == "x [CARD] y"
     assert out[104].text == odd[4][1]
     assert redact(make([])).count() == 0
+
+
+def test_many_spans_are_redacted_whole(make):
+    text = "write a@b.cd or 10.0.0.1, " * 700
+    row = redact(make([(1, text), (2, "x a@b.cd")])).orderBy("doc_id").collect()
+    assert row[0].text == "write [EMAIL] or [IP], " * 700 and row[1].text == "x [EMAIL]"

@@ -80,13 +80,36 @@ GAP_SQL = """SELECT season, l_linestatus, round(sum((p - target) ** 2 - (base -
 GRID = (50.0, 200.0, 800.0)
 
 
+def prior_cells(spark, d, width: int = WIDTH) -> DataFrame:
+    """(season, KEYS, n, hits, ps, pn, rate): a cell's lines and outcomes, its residual sums and lines of the years before, and the year's prior rate.
+
+    A prediction is one number for a cell, so scores at any strength need no more than
+    this table: one scan and one shuffle of the lines.
+    """
+    cells = facts(spark, d).groupBy(*KEYS, "season").agg(F.count("*").alias("n"), F.sum("target").alias("hits"))
+    years = cells.groupBy("season").agg(F.sum("n").alias("yn"), F.sum("hits").alias("yh"))  # a row for each year
+    past = Window.orderBy("season").rangeBetween(Window.unboundedPreceding, -1)
+    years = years.select("season", (F.col("yh") / F.col("yn")).alias("mean"), F.coalesce(F.sum("yh").over(past) / F.sum("yn").over(past), F.lit(0.5)).alias("rate"))
+    w = Window.partitionBy(*KEYS).orderBy("season").rangeBetween(-width, -1)
+    j = cells.join(F.broadcast(years), "season").withColumn("s", F.col("hits") - F.col("n") * F.col("mean"))
+    return j.select("season", *KEYS, "n", "hits", F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("ps"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("pn"), "rate")
+
+
+def moved(k: float):
+    """The prior rate of a cell moved by its effect at strength k."""
+    return X.clip(F.col("rate") + F.col("ps") / (F.col("pn") + k), 0.0, 1.0)
+
+
+def cell_loss(p):
+    """Squared errors of one prediction summed over the lines of a cell."""
+    return F.col("hits") * F.pow(1 - p, 2) + (F.col("n") - F.col("hits")) * F.pow(p, 2)
+
+
 def candidate_selection(spark, d):
-    """For each year the smoothing of the best worst-year Brier over earlier years, and its Brier this year."""
-    scores = None
-    for i, k in enumerate(GRID):
-        one = predictions(spark, d, k).groupBy("season").agg(F.round(F.avg(F.pow(F.col("p") - F.col("target"), 2)), 9).alias("brier")).withColumns({"k": F.lit(k), "ix": F.lit(i)})
-        scores = one if scores is None else scores.unionByName(one)
-    return metrics.select_by_prior(scores)
+    """For each year the smoothing of the best worst-year Brier over earlier years, and its Brier this year; all strengths from one scan."""
+    losses = prior_cells(spark, d).groupBy("season").agg(*[F.round(F.sum(cell_loss(moved(k))) / F.sum("n"), 9).alias(f"b{i}") for i, k in enumerate(GRID)])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("ix"), F.col(f"b{i}").alias("brier")) for i, k in enumerate(GRID)]))
+    return metrics.select_by_prior(losses.select("season", rows.alias("c")).select("season", "c.*"))
 
 
 def _selection_sql() -> str:

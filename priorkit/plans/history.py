@@ -157,16 +157,16 @@ def ar_rho(spark, d):
 
 
 def ar_forecast(spark, d):
-    """A supplier's state carried to each of its years: rho to the power of the gap times the latest earlier state."""
+    """A supplier's state carried to each of its years: rho to the power of the gap times the latest earlier state; 0 in its first year."""
     z = latent_states(spark, d)
     rows = z.select("season", "l_suppkey")
-    j = states.asof(rows, z.select("l_suppkey", "season", "theta"), "l_suppkey").join(F.broadcast(persistence(spark, d)), "season")
+    j = states.asof(rows, z.select("l_suppkey", "season", "theta"), "l_suppkey").join(F.broadcast(persistence(spark, d)), "season", "left")
     value = F.pow(F.col("rho"), F.col("season") - F.col("state_season")) * F.col("state_theta")
     return rounded(j.select("season", "l_suppkey", F.coalesce(value, F.lit(0.0)).alias("forecast")), "forecast")
 
 
 FORECAST_SQL = f"""WITH {RHO} SELECT a.season, a.l_suppkey, round(coalesce(rho ** (a.season - b.season) * b.theta, 0), 6) AS forecast
-FROM z a ASOF LEFT JOIN z b ON b.l_suppkey = a.l_suppkey AND a.season > b.season JOIN rho ON rho.season = a.season"""
+FROM z a ASOF LEFT JOIN z b ON b.l_suppkey = a.l_suppkey AND a.season > b.season LEFT JOIN rho ON rho.season = a.season"""
 
 
 def seen_unseen(spark, d):
@@ -182,32 +182,32 @@ SELECT season, first < season AS seen, count(*)::BIGINT AS lines, count(DISTINCT
 
 
 def denominators(spark, d):
-    """Least common denominator, at most 60, that explains both of a supplier's yearly rates over lines numbered 7, as written with six digits.
+    """Least common denominator, at most 180, that explains both of a supplier's rates of a quarter over all its lines, as written with six digits.
 
-    `denominators_all_lines` takes all lines.
+    `denominators_all_lines` takes whole years and no bound; plans/recovered.py has windows of several quarters.
     """
-    return _denominators(facts(spark, d, "l_discount").where("l_linenumber = 7"), F.lit(60))
+    return _denominators(facts(spark, d, "l_discount").withColumn("quarter", F.quarter("l_shipdate")), F.lit(180), ["season", "quarter"])
 
 
 def denominators_all_lines(spark, d):
     """Least common denominator that explains both of a supplier's yearly rates over all its lines, as written with six digits: at most the number of lines, which always does."""
-    return _denominators(facts(spark, d, "l_discount"), F.col("n"))
+    return _denominators(facts(spark, d, "l_discount"), F.col("n"), ["season"])
 
 
-def _denominators(f, most):
-    y = f.groupBy("l_suppkey", "season").agg(F.avg("target").alias("a"), F.avg((F.col("l_discount") >= 0.05).cast("int")).alias("b"), F.count("*").alias("n"))
+def _denominators(f, most, periods):
+    y = f.groupBy("l_suppkey", *periods).agg(F.avg("target").alias("a"), F.avg((F.col("l_discount") >= 0.05).cast("int")).alias("b"), F.count("*").alias("n"))
     six = lambda c: F.format_string("%.6f", c).cast("double")
-    pairs = y.select("l_suppkey", "season", six(F.col("a")).alias("a"), six(F.col("b")).alias("b"), most.cast("int").alias("most"))
+    pairs = y.select("l_suppkey", *periods, six(F.col("a")).alias("a"), six(F.col("b")).alias("b"), most.cast("int").alias("most"))
     distinct = pairs.groupBy("a", "b").agg(F.min("most").alias("most")).withColumn("m", F.explode(F.sequence(F.lit(1), F.col("most"))))
     fits = lambda c: six(F.rint(F.col(c) * F.col("m")) / F.col("m")) == F.col(c)
     least = distinct.where(fits("a") & fits("b")).groupBy("a", "b").agg(F.min("m").alias("m"))
-    return pairs.join(least, ["a", "b"], "left").select("l_suppkey", "season", "a", "b", "m")
+    return pairs.join(least, ["a", "b"], "left").select("l_suppkey", *periods, "a", "b", "m")
 
 
-DENOMINATOR_SQL = f"""WITH {FACTS}, y AS (SELECT l_suppkey, season, printf('%.6f', avg(target))::DOUBLE AS a, printf('%.6f', avg((l_discount >= 0.05)::INTEGER))::DOUBLE AS b FROM f WHERE l_linenumber = 7 GROUP BY 1, 2),
-m AS (SELECT a, b, min(m)::INTEGER AS m FROM (SELECT DISTINCT a, b FROM y), (SELECT unnest(range(1, 61)) AS m)
+DENOMINATOR_SQL = f"""WITH {FACTS}, y AS (SELECT l_suppkey, season, quarter(l_shipdate)::INTEGER AS quarter, printf('%.6f', avg(target))::DOUBLE AS a, printf('%.6f', avg((l_discount >= 0.05)::INTEGER))::DOUBLE AS b FROM f GROUP BY 1, 2, 3),
+m AS (SELECT a, b, min(m)::INTEGER AS m FROM (SELECT DISTINCT a, b FROM y), (SELECT unnest(range(1, 181)) AS m)
   WHERE printf('%.6f', round_even(a * m, 0) / m)::DOUBLE = a AND printf('%.6f', round_even(b * m, 0) / m)::DOUBLE = b GROUP BY 1, 2)
-SELECT l_suppkey, season, a, b, m FROM y LEFT JOIN m USING (a, b)"""
+SELECT l_suppkey, season, quarter, a, b, m FROM y LEFT JOIN m USING (a, b)"""
 ALL_LINES_SQL = f"""WITH {FACTS}, y AS (SELECT l_suppkey, season, printf('%.6f', avg(target))::DOUBLE AS a, printf('%.6f', avg((l_discount >= 0.05)::INTEGER))::DOUBLE AS b, count(*) AS n FROM f GROUP BY 1, 2),
 m AS (SELECT a, b, min(m)::INTEGER AS m FROM (SELECT a, b, unnest(range(1, max(n) + 1)) AS m FROM y GROUP BY a, b)
   WHERE printf('%.6f', round_even(a * m, 0) / m)::DOUBLE = a AND printf('%.6f', round_even(b * m, 0) / m)::DOUBLE = b GROUP BY 1, 2)

@@ -10,7 +10,7 @@ from ..functions import exprs as X
 from ..operators import linalg, states
 from ..sources.io import table
 from .base import FACTS, facts, rounded
-from .effects import KEYS, predictions, predictions_sql
+from .effects import KEYS, moved, predictions, predictions_sql, prior_cells
 
 CONTEXTS = list(range(14))
 RANK = 2
@@ -61,22 +61,25 @@ def _two_way_sql(rounds: int) -> str:
 
 
 def candidates(spark, d) -> DataFrame:
-    """Line items with four predictions: half, the prior rate, and effects at two strengths; one scan for each strength's states."""
+    """Line items with four predictions: half, the prior rate, and effects at two strengths."""
     f = facts(spark, d)
-    rows = states.demeaned(f, "target", "residual")
-    weak, strong = (states.prior_effects(rows, KEYS, F.col("residual"), k, 3).select(*KEYS, "season", F.col("effect").alias(n)) for k, n in ((50.0, "weak"), (800.0, "strong")))
-    joined = rows.join(weak, [*KEYS, "season"], "left").join(strong, [*KEYS, "season"], "left").join(F.broadcast(states.prior_rate(f, F.col("target"))), "season")
-    move = lambda c: X.clip(F.col("rate") + F.coalesce(c, F.lit(0.0)), 0.0, 1.0)
-    return joined.select("season", "l_suppkey", "target", F.lit(0.5).alias("p1"), F.col("rate").alias("p2"), move("weak").alias("p3"), move("strong").alias("p4"))
+    cells = prior_cells(spark, d).select("season", *KEYS, F.col("rate").alias("p2"), moved(50.0).alias("p3"), moved(800.0).alias("p4"))
+    return f.join(cells, ["season", *KEYS]).select("season", "l_suppkey", "target", F.lit(0.5).alias("p1"), "p2", "p3", "p4")
 
 
 NAMES = ["p1", "p2", "p3", "p4"]
 
 
+def mean_products(spark, d) -> DataFrame:
+    """One row: the mean product of the errors of each two of the candidates, from cells of equal predictions."""
+    p = {"p1": F.lit(0.5), "p2": F.col("rate"), "p3": moved(50.0), "p4": moved(800.0)}
+    product = lambda a, b: F.col("hits") * (p[a] - 1) * (p[b] - 1) + (F.col("n") - F.col("hits")) * p[a] * p[b]
+    return prior_cells(spark, d).agg(*[(F.sum(product(a, b)) / F.sum("n")).alias(f"{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[i:]])
+
+
 def error_gram(spark, d):
     """Mean products of the errors of the four candidates."""
-    e = candidates(spark, d).select(*[(F.col(p) - F.col("target")).alias(p) for p in NAMES])
-    row = e.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[i:]])
+    row = mean_products(spark, d)
     return row.unpivot([], row.columns, "pair", "product").withColumn("product", F.round("product", 6))
 
 
@@ -92,9 +95,10 @@ ERROR_SQL = f"WITH {ERRORS} " + " UNION ALL ".join(f"SELECT '{a}_{b}' AS pair, r
 
 def frank_wolfe_blend(spark, d):
     """Weights of the four candidates on the simplex with the least Brier score, and the certified gap."""
-    c = candidates(spark, d)
-    e = c.select(*[(F.col(p) - F.col("target")).alias(p) for p in NAMES])
-    g = linalg.gram(e, NAMES) / max(1, c.count())
+    row = mean_products(spark, d).first()
+    if row[0] is None:  # no line
+        return spark.createDataFrame([], "candidate string, weight double, brier double, certified boolean")
+    g = np.array([[row[f"{min(a, b)}_{max(a, b)}"] for b in NAMES] for a in NAMES])
     w, gap = linalg.frank_wolfe(g)
     return spark.createDataFrame([(n, round(float(x), 6), round(float(w @ g @ w), 9), float(gap) < 1e-6) for n, x in zip(NAMES, w)], "candidate string, weight double, brier double, certified boolean")
 
@@ -202,6 +206,12 @@ def isotonic_bins(spark, d):
     return out.select("bin", F.round("label", 6).alias("effect"), F.round(F.col("prediction") - mean, 6).alias("monotone"))
 
 
+ISOTONIC_SQL = f"""WITH {FACTS}, c AS (SELECT floor(l_quantity / 5)::INTEGER AS bin, sum(residual) / (count(*) + 100.0) AS label, count(*) AS w FROM (SELECT *, target - avg(target) OVER (PARTITION BY season) AS residual FROM f) GROUP BY 1),
+r AS (SELECT a.bin AS i, b.bin AS j, (SELECT sum(w * label) / sum(w) FROM c x WHERE x.bin BETWEEN a.bin AND b.bin) AS mean FROM c a JOIN c b ON b.bin >= a.bin),
+l AS (SELECT k.bin, i, min(mean) AS low FROM c k JOIN r ON i <= k.bin AND j >= k.bin GROUP BY 1, 2), q AS (SELECT bin, max(low) AS fitted FROM l GROUP BY 1)
+SELECT bin, round(label, 6) AS effect, round(fitted - (SELECT sum(w * fitted) / sum(w) FROM q JOIN c USING (bin)), 6) AS monotone FROM q JOIN c USING (bin)"""
+
+
 def kmeans_archetypes(spark, d):
     """Sizes and spreads of clusters of embeddings."""
     from pyspark.ml.clustering import KMeans
@@ -213,7 +223,7 @@ def kmeans_archetypes(spark, d):
 
 
 def archetype_assignment(spark, d):
-    """Each vector's nearest label centre, over centres broadcast as one short array, and its soft weight."""
+    """Each vector's nearest label centre, over centres as one short array; `soft_archetypes` has the soft weights."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
     size = F.posexplode("x").alias("i", "v")
     centres = e.select("label", size).groupBy("label", "i").agg(F.avg("v").alias("c")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
@@ -236,5 +246,5 @@ QUERIES = {
 }
 ORACLES = {
     "effect_matrix": f"WITH {MATRIX} SELECT l_suppkey, context, round(effect, 6) AS effect, n::BIGINT AS n FROM e", "context_gram": GRAM_SQL, "two_way_bias": _two_way_sql(3),
-    "error_gram": ERROR_SQL, "additive_sweep": SWEEP_SQL, "block_sums": BLOCK_SQL, "archetype_assignment": ASSIGN_SQL,
+    "error_gram": ERROR_SQL, "additive_sweep": SWEEP_SQL, "block_sums": BLOCK_SQL, "isotonic_bins": ISOTONIC_SQL, "archetype_assignment": ASSIGN_SQL,
 }

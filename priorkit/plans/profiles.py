@@ -50,28 +50,54 @@ SELECT l_suppkey, round(sum(w * m) / nullif(sum(w) FILTER (m IS NOT NULL), 0), 4
 FROM w LEFT JOIN p USING (l_linenumber) GROUP BY 1"""
 
 
+RAKING = 4
+
+
 def raked_weights(spark, d):
-    """Line-number weights within a supplier, raked so that status totals meet fixed shares of 0.6 and 0.4."""
-    f = facts(spark, d)
-    cells = f.groupBy("l_suppkey", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"))
+    """Weights of a supplier's cells of status and line number, raked in RAKING rounds to fixed shares of either: .6 and .4 of the statuses, a seventh of each number; and how far the statuses are off."""
+    cells = facts(spark, d).groupBy("l_suppkey", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"))
     share = F.when(F.col("l_linestatus") == "O", 0.6).otherwise(0.4)
-    w = Window.partitionBy("l_suppkey", "l_linestatus")
-    return cells.select("l_suppkey", "l_linestatus", "l_linenumber", F.round(F.col("n") / F.sum("n").over(w) * share, 6).alias("weight"))
+    w = cells.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy("l_suppkey")))
+    for _ in range(RAKING):
+        w = w.withColumn("weight", F.col("weight") * share / F.sum("weight").over(Window.partitionBy("l_suppkey", "l_linestatus")))
+        w = w.withColumn("weight", F.col("weight") / 7.0 / F.sum("weight").over(Window.partitionBy("l_suppkey", "l_linenumber")))
+    off = F.abs(F.sum("weight").over(Window.partitionBy("l_suppkey", "l_linestatus")) - share)
+    return rounded(w.select("l_suppkey", "l_linestatus", "l_linenumber", "weight", off.alias("off")), "weight", "off")
+
+
+def _raked_sql() -> str:
+    share = "CASE WHEN l_linestatus = 'O' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END"
+    parts = ["w0 AS (SELECT l_suppkey, l_linestatus, l_linenumber, count(*) / sum(count(*)) OVER (PARTITION BY l_suppkey) AS weight FROM lineitem GROUP BY 1, 2, 3)"]
+    for i in range(RAKING):
+        parts.append(f"v{i} AS (SELECT * REPLACE (weight * {share} / sum(weight) OVER (PARTITION BY l_suppkey, l_linestatus) AS weight) FROM w{i})")
+        parts.append(f"w{i + 1} AS (SELECT * REPLACE (weight / 7.0 / sum(weight) OVER (PARTITION BY l_suppkey, l_linenumber) AS weight) FROM v{i})")
+    return f"WITH {', '.join(parts)} SELECT l_suppkey, l_linestatus, l_linenumber, round(weight, 6) AS weight, round(abs(sum(weight) OVER (PARTITION BY l_suppkey, l_linestatus) - {share}), 6) AS off FROM w{RAKING}"
 
 
-RAKED_SQL = """SELECT l_suppkey, l_linestatus, l_linenumber, round(n / sum(n) OVER (PARTITION BY l_suppkey, l_linestatus) * CASE WHEN l_linestatus = 'O' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END, 6) AS weight
-FROM (SELECT l_suppkey, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)"""
+RAKED_SQL = _raked_sql()
+
+
+def counted_quantiles(rows, key: str, value: str, shares: dict[str, float]):
+    """(key, quantiles): exact ones, interpolated, from counted values and running sums: no group is held in memory. Nulls do not count; a key without values has nulls."""
+    w = Window.partitionBy(key).orderBy(value)
+    c = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__m")).withColumn("__upto", F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = rows.groupBy(key).agg((F.count(value) - 1).alias("__last"))
+    at = lambda share: F.lit(share) * F.col("__last")
+    ends = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col(value)))
+    found = n.join(c, key, "left").groupBy(key).agg(F.first("__last").alias("__last"), *[ends(F.floor(at(s))).alias(f"__lo_{k}") for k, s in shares.items()], *[ends(F.ceil(at(s))).alias(f"__hi_{k}") for k, s in shares.items()])
+    part = lambda s: at(s) - F.floor(at(s))
+    return found.select(key, *[(F.col(f"__lo_{k}") + part(s) * (F.col(f"__hi_{k}") - F.col(f"__lo_{k}"))).alias(k) for k, s in shares.items()])
 
 
 def profile(spark, d):
-    """Mean, spread, exact quantiles, distinct parts, mode and last line number of each supplier in one aggregation."""
+    """Mean, spread, exact quantiles, distinct parts and mode of the line number of each supplier: values are counted first, so that no supplier's lines are held at once."""
     f = facts(spark, d, "l_extendedprice", "l_quantity", "l_partkey", "l_orderkey")
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = f.groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("sd"), F.stddev_pop("l_quantity").alias("sd_pop"), q.alias("q"),
-        F.count_distinct("l_partkey").alias("parts"), F.mode("l_linenumber", True).alias("common_line"), F.median("l_quantity").alias("middle"),
-    )
-    out = g.select("l_suppkey", "n", "mean", "sd", "sd_pop", "parts", "common_line", "middle", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q90"), (F.col("q")[2] - F.col("q")[0]).alias("width"))
+    g = f.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("sd"), F.stddev_pop("l_quantity").alias("sd_pop"))
+    parts = f.select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("parts"))
+    lines = f.groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("m")).groupBy("l_suppkey").agg(F.max_by("l_linenumber", F.struct("m", -F.col("l_linenumber"))).alias("common_line"))
+    prices = counted_quantiles(f, "l_suppkey", "l_extendedprice", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    middle = counted_quantiles(f, "l_suppkey", "l_quantity", {"middle": 0.5})
+    out = g.join(parts, "l_suppkey").join(lines, "l_suppkey").join(prices, "l_suppkey").join(middle, "l_suppkey").withColumn("width", F.col("q90") - F.col("q10"))
     return out.withColumns({c: F.round(c, 3) for c in ("mean", "sd", "sd_pop", "q10", "q50", "q90", "width")})
 
 

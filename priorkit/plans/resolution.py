@@ -13,34 +13,44 @@ def _days(spark, d):
     return e.withColumn("day", F.to_date("ts").cast("string"))
 
 
+def other_side(spark, d):
+    """The events as a second source might log them: users under other ids, some events dropped, some typed otherwise, some logged twice."""
+    e = _days(spark, d).select((F.col("user_id") * 7 + 1000003).alias("alias_id"), "ts", "event_id", F.lit(0).alias("extra"), "event_type")
+    read = e.where("event_id % 101 != 7").withColumn("event_type", F.when(F.col("event_id") % 97 == 3, "view").otherwise(F.col("event_type")))
+    return read.unionByName(e.where("event_id % 89 = 5").withColumn("extra", F.lit(1)))
+
+
+OTHER = """o AS (SELECT user_id * 7 + 1000003 AS alias_id, ts, event_id, 0 AS extra, CASE WHEN event_id % 97 = 3 THEN 'view' ELSE event_type END AS event_type FROM events WHERE event_id % 101 != 7
+  UNION ALL SELECT user_id * 7 + 1000003, ts, event_id, 1, event_type FROM events WHERE event_id % 89 = 5)"""
+
+
 def exact_sequence_match(spark, d):
-    """Users and renamed copies matched by the ordered types of their events; ambiguous sequences match nothing."""
-    e = _days(spark, d)
-    left = resolve.sequence_key(e, ["user_id"], ["ts", "event_id"], F.col("event_type"))
-    copy = e.select((F.col("user_id") * 7 + 1000003).alias("alias_id"), "ts", "event_id", "event_type")
-    right = resolve.sequence_key(copy, ["alias_id"], ["ts", "event_id"], F.col("event_type"))
-    return resolve.unique_matches(left, right, ["n", "sequence"], "user_id", "alias_id")
+    """Users of either side matched by the day and the ordered types of its events; sequences of several users match nothing, nor do those of fewer than three events."""
+    left = resolve.sequence_key(_days(spark, d), ["user_id", "day"], ["ts", "event_id"], F.col("event_type")).where("n >= 3")
+    right = resolve.sequence_key(other_side(spark, d).withColumn("day", F.to_date("ts").cast("string")), ["alias_id", "day"], ["ts", "event_id", "extra"], F.col("event_type")).where("n >= 3")
+    return resolve.unique_matches(left, right, ["day", "n", "sequence"], "user_id", "alias_id").groupBy("user_id", "alias_id").agg(F.count("*").alias("days"))
 
 
-EXACT_SQL = """WITH s AS (SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY ts, event_id) AS q FROM events GROUP BY 1),
-u AS (SELECT min(user_id) AS user_id FROM s GROUP BY n, q HAVING count(*) = 1)
-SELECT user_id, user_id * 7 + 1000003 AS alias_id FROM u"""
+EXACT_SQL = f"""WITH {OTHER}, l AS (SELECT user_id, ts::DATE AS day, count(*) AS n, string_agg(event_type, ',' ORDER BY ts, event_id) AS q FROM events GROUP BY 1, 2 HAVING count(*) >= 3),
+r AS (SELECT alias_id, ts::DATE AS day, count(*) AS n, string_agg(event_type, ',' ORDER BY ts, event_id, extra) AS q FROM o GROUP BY 1, 2 HAVING count(*) >= 3),
+lu AS (SELECT day, n, q, min(user_id) AS user_id FROM l GROUP BY 1, 2, 3 HAVING count(*) = 1), ru AS (SELECT day, n, q, min(alias_id) AS alias_id FROM r GROUP BY 1, 2, 3 HAVING count(*) = 1)
+SELECT user_id, alias_id, count(*) AS days FROM lu JOIN ru USING (day, n, q) GROUP BY 1, 2"""
 
 
 def position_zip(spark, d):
-    """Events of matched users and copies side by side by position: how often their types agree."""
+    """Events of both sides of a user side by side by their position in the day: how often their types agree, and how often one side has none."""
     from pyspark.sql import Window
 
-    m = exact_sequence_match(spark, d)
-    e = _days(spark, d)
-    left = e.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("user_id", "pos", "event_type")
-    right = left.select((F.col("user_id") * 7 + 1000003).alias("alias_id"), "pos", F.col("event_type").alias("other"))
-    return left.join(m, "user_id").join(right, ["alias_id", "pos"]).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == F.col("other")).alias("agree"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy("alias_id", "day").orderBy(*keys)).alias("pos")
+    left = _days(spark, d).withColumn("alias_id", F.col("user_id") * 7 + 1000003).select("alias_id", "day", place("ts", "event_id"), "event_type")
+    right = other_side(spark, d).withColumn("day", F.to_date("ts").cast("string")).select("alias_id", "day", place("ts", "event_id", "extra"), F.col("event_type").alias("other"))
+    both = left.join(right, ["alias_id", "day", "pos"], "full")
+    return both.groupBy(F.coalesce("event_type", F.lit("none")).alias("event_type")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == F.col("other")).alias("agree"), F.count_if(F.col("other").isNull()).alias("alone"))
 
 
-ZIP_SQL = """WITH s AS (SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY ts, event_id) AS q FROM events GROUP BY 1),
-u AS (SELECT min(user_id) AS user_id FROM s GROUP BY n, q HAVING count(*) = 1)
-SELECT event_type, count(*)::BIGINT AS n, count(*)::BIGINT AS agree FROM events JOIN u USING (user_id) GROUP BY 1"""
+ZIP_SQL = f"""WITH {OTHER}, l AS (SELECT user_id * 7 + 1000003 AS alias_id, ts::DATE AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS pos, event_type FROM events),
+r AS (SELECT alias_id, ts::DATE AS day, row_number() OVER (PARTITION BY alias_id, ts::DATE ORDER BY ts, event_id, extra) AS pos, event_type AS other FROM o)
+SELECT coalesce(event_type, 'none') AS event_type, count(*) AS n, count(*) FILTER (event_type = other) AS agree, count(*) FILTER (other IS NULL) AS alone FROM l FULL JOIN r USING (alias_id, day, pos) GROUP BY 1"""
 
 
 def majority_mapping(spark, d):

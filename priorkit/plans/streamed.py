@@ -10,15 +10,15 @@ from ..streaming import streams
 
 
 def stream_scores(spark, d):
-    """Events with odd ids scored, as a stream, with the mean value of their type among even event ids. `stream_scores_by_day` scores all events."""
+    """All events scored, as a stream, with the mean value of their type as the batch table has it; `stream_scores_by_day` freezes the state before each day."""
     events = table(spark, d, "events")
-    state = events.where("event_id % 2 = 0").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("value_of_state"))
-    stream = streams.read_stream(spark, events, f"{d}/events*.parquet").where("event_id % 2 = 1")
+    state = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("value_of_state"))
+    stream = streams.read_stream(spark, events, f"{d}/events*.parquet")
     return streams.run_to_end(streams.scored(stream, F.broadcast(state), ["event_type"], 0.0).select("event_id", "event_type", "score"), spark)  # a row for each type
 
 
-SCORES_SQL = """WITH s AS (SELECT event_type, round(avg(value), 6) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1)
-SELECT event_id, event_type, coalesce(v, 0.0)::DOUBLE AS score FROM events LEFT JOIN s USING (event_type) WHERE event_id % 2 = 1"""
+SCORES_SQL = """WITH s AS (SELECT event_type, round(avg(value), 6) AS v FROM events GROUP BY 1)
+SELECT event_id, event_type, coalesce(v, 0.0)::DOUBLE AS score FROM events LEFT JOIN s USING (event_type)"""
 
 
 def stream_scores_by_day(spark, d):

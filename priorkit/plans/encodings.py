@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import linalg
 from ..sources.io import table
-from .base import FACTS, facts, rounded
+from .base import FACTS, facts, rounded, small
 from .models import NAMES, candidates
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -34,7 +34,7 @@ def frozen_codes(spark, d):
     """Dense codes of the part types among small parts, in order; other parts get the code of their type, or null where it was not seen."""
     p = table(spark, d, "part", ["p_partkey", "p_type", "p_size"])
     vocabulary = p.where("p_size <= 2").groupBy("p_type").count().select("p_type", (F.dense_rank().over(Window.orderBy("p_type")) - 1).alias("code"))
-    return p.join(F.broadcast(vocabulary), "p_type", "left").select("p_partkey", "code")  # a column's vocabulary: 150 types
+    return p.join(small(vocabulary), "p_type", "left").select("p_partkey", "code")
 
 
 FROZEN_SQL = """WITH v AS (SELECT p_type, (dense_rank() OVER (ORDER BY p_type) - 1)::INTEGER AS code FROM (SELECT DISTINCT p_type FROM part WHERE p_size <= 2))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators.quantiles import counted_quantiles
 from ..sources.io import table
-from .base import FACTS, facts, rounded
+from .base import FACTS, facts, rounded, small
 
 FEATURES = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -120,7 +121,7 @@ def dense_codes(spark, d):
     """Brands in dense codes frozen on parts of the first half by key; parts with unseen brands get -1."""
     parts = table(spark, d, "part", ["p_partkey", "p_brand", "p_size"])
     codes = parts.where("p_size <= 25").select("p_brand").distinct().select("p_brand", (F.dense_rank().over(Window.orderBy("p_brand")) - 1).alias("code"))
-    return parts.join(F.broadcast(codes), "p_brand", "left").select("p_partkey", F.coalesce("code", F.lit(-1)).alias("code"))  # brands are a fixed domain
+    return parts.join(small(codes), "p_brand", "left").select("p_partkey", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
 CODES_SQL = """WITH c AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part WHERE p_size <= 25))
@@ -145,7 +146,7 @@ SELECT f.season, count(*)::BIGINT AS n, count(*) FILTER (l_extendedprice < lo OR
 def standardised(spark, d):
     """Median-imputed, centred and scaled discount by year, with a missing flag; discounts of 0 count as missing."""
     f = facts(spark, d, "l_orderkey", "l_discount").withColumn("x", F.when(F.col("l_discount") > 0, F.col("l_discount")))
-    stats = f.groupBy("season").agg(F.percentile("x", F.lit(0.5)).alias("m"), F.avg("x").alias("a"), F.stddev_pop("x").alias("s"))
+    stats = counted_quantiles(f, "season", "x", {"m": 0.5}).join(f.groupBy("season").agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("s")), "season")  # a row for each year
     return rounded(f.join(F.broadcast(stats), "season").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate", ((F.coalesce("x", "m") - F.col("a")) / F.nullif(F.col("s"), F.lit(0.0))).alias("scaled"), F.col("x").isNull().cast("int").alias("missing")
     ), "scaled")

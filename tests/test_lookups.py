@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorkit.functions import exprs as X
-from priorkit.plans import fits, lookups, profiles, recovered, rows
+from priorkit.operators.quantiles import counted_quantiles
+from priorkit.plans import fits, lookups, recovered, rows
 
 
 def test_fallback_and_cap(spark):
@@ -124,7 +125,7 @@ def test_stored_trees_route_missing_values(spark):
 def test_counted_quantiles(spark):
     rng = random.Random(3)
     data = [(k, rng.choice([None, *range(30)])) for k in "ab" for _ in range(101 if k == "a" else 40)] + [("c", 5), ("d", None)]
-    got = {r.k: r for r in profiles.counted_quantiles(spark.createDataFrame(data, "k string, v int"), "k", "v", {"q": 0.1, "m": 0.5}).collect()}
+    got = {r.k: r for r in counted_quantiles(spark.createDataFrame(data, "k string, v int"), "k", "v", {"q": 0.1, "m": 0.5}).collect()}
     for k in "abc":
         v = [x for key, x in data if key == k and x is not None]
         assert abs(got[k].q - np.quantile(v, 0.1)) < 1e-9 and abs(got[k].m - np.quantile(v, 0.5)) < 1e-9

@@ -289,21 +289,21 @@ def components(edges: DataFrame, scope: Scope) -> DataFrame:
             return labels
 
 
-def in_reach(n: str, pos: str, m: str, at: str, percent: int) -> Column:
+def in_reach(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
     """Whether sets of n and m whose first common shingle is at these positions may link."""
-    n, pos, m, at = map(F.col, (n, pos, m, at))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - pos, m - at) >= needed(n, m, percent))
 
 
-def apart(x: str, y: str, percent: int) -> Column:
-    """Whether the answers of entries x and y to their common pivot leave a link possible; true without a common pivot or an answer."""
-    both, other, n, m = (F.col(f"{side}.{k}") for k in ("both", "n") for side in (x, y))
-    upper = F.least(both, other) + F.least(n - both, m - other)
-    return (F.col(f"{x}.pivot") != F.col(f"{y}.pivot")) | F.coalesce(upper >= needed(n, m, percent), F.lit(True))
+def may_link(x: Column, y: Column, percent: int) -> Column:
+    """Whether two entries of a list are of different components, in reach, and not told apart by their answers to a common pivot."""
+    n, m = x["n"], y["n"]
+    upper = F.least(x["both"], y["both"]) + F.least(n - x["both"], m - y["both"])
+    apart = (x["pivot"] == y["pivot"]) & F.coalesce(upper < needed(n, m, percent), F.lit(False))
+    return (x["label"] != y["label"]) & in_reach(n, x["pos"], m, y["pos"], percent) & ~apart
 
 
 def met_in_blocks(entries: DataFrame, scope: Scope, percent: int) -> DataFrame:
-    """Pairs of entries of long lists, of different components and in reach: columns as of two entries, named x.* and y.*.
+    """Pairs (x, y) of entries of long lists that may link.
 
     Blocks of a list hold about BLOCK entries with one length cell, component (or none), pivot and eighth of overlap with it.
     """
@@ -338,8 +338,9 @@ def met_in_blocks(entries: DataFrame, scope: Scope, percent: int) -> DataFrame:
         & (~full | (upper >= needed(c("x.least"), c("y.least"), percent)))
     )
     met = x.join(y, (c("x.token") == c("y.token")) & (c("x.low") == c("y.low")) & (c("x.high") == c("y.high")) & may)
-    met = met.select(c("x.held").alias("hx"), c("y.held").alias("hy")).select(F.explode("hx").alias("x"), "hy").select("x", F.explode("hy").alias("y"))
-    return met.where(c("x.label") != c("y.label"))
+    met = met.select(F.explode(c("x.held")).alias("x"), c("y.held").alias("held"))
+    # what is told apart never becomes a row
+    return met.select("x", F.explode(F.filter("held", lambda y: may_link(F.col("x"), y, percent))).alias("y"))
 
 
 def links_of(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, Scope]:
@@ -383,7 +384,7 @@ def links_of(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tu
 
     shared_lists = scope(
         lists.where("id != pivot").groupBy("id", "pivot")
-        .agg(F.count("*").alias("lists"), F.max(in_reach("n", "pos", "pivot_n", "pivot_pos", percent)).alias("reach")).where("reach")
+        .agg(F.count("*").alias("lists"), F.max(in_reach(*map(F.col, ("n", "pos", "pivot_n", "pivot_pos")), percent)).alias("reach")).where("reach")
     )
     linked = F.col("both") >= needed(F.col("n_a"), F.col("n_b"), percent)
     nearest = shared_lists.groupBy(F.col("id").alias("b")).agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("a"))
@@ -411,8 +412,8 @@ def links_of(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tu
     # a short list has at most BLOCK entries
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")))
     pair = lambda k: F.struct(*(F.col(f"{k}.{c}") for c in ("id", "n", "pos", "both", "label", "pivot"))).alias(k)
-    met = met.select(pair("x"), pair("y")).unionByName(met_in_blocks(mixed.where(F.col("listed") > BLOCK), scope, percent))
-    met = met.where(in_reach("x.n", "x.pos", "y.n", "y.pos", percent) & apart("x", "y", percent))
+    met = met.select(pair("x"), pair("y")).where(may_link(F.col("x"), F.col("y"), percent))
+    met = met.unionByName(met_in_blocks(mixed.where(F.col("listed") > BLOCK), scope, percent))
     least = needed(F.col("x.n"), F.col("y.n"), percent)
     through = F.when(F.col("x.pivot") == F.col("y.pivot"), F.col("x.both") + F.col("y.both"))
     left = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("x.pivot").alias("id"), (through - least).alias("spare")).distinct()

@@ -41,13 +41,21 @@ def low_rank(cells: DataFrame, entity: str, context: str, value: str, contexts:
     return wide.select(entity, F.explode(items).alias("x")).select(entity, "x.*")
 
 
+#: The small side of a two-way fit has at most so many values.
+MOST_CONTEXTS = 10_000
+
+
 def two_way_bias(cells: DataFrame, a: str, b: str, s: str, n: str, ka: float, kb: float, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Ridge biases of both sides after a fixed number of alternating exact updates, as (a, bias_a) and (b, bias_b).
 
     b is the small side (contexts): its biases ride along as literals of a map, a's are
     recomputed from the cells, so each round is one aggregation of the cells by b.
     """
-    biases = {r[0]: 0.0 for r in cells.select(b).distinct().collect()}
+    cells = cells.persist()  # read in each round
+    known = cells.select(b).distinct().limit(MOST_CONTEXTS + 1).collect()
+    if len(known) > MOST_CONTEXTS:
+        raise ValueError(f"{b} has more than {MOST_CONTEXTS} values: put the larger side first")
+    biases = {r[0]: 0.0 for r in known}
     at_b = lambda: F.coalesce(*[F.when(F.col(b) == F.lit(k), F.lit(v)) for k, v in biases.items()])
 
     def side_a() -> DataFrame:

@@ -113,7 +113,20 @@ def hierarchical_rates(rows: DataFrame, levels: Sequence[tuple[Sequence[str], fl
     return out
 
 
-def running_before(rows: DataFrame, entity: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Adds n_before and s_before: count and sum of an entity's earlier rows."""
-    w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({"n_before": F.count("*").over(w), "s_before": F.coalesce(F.sum(value).over(w), F.lit(0))})
+def running_before(rows: DataFrame, entity: Sequence[str], order: Sequence[str], value: str, period: str | None = None) -> DataFrame:
+    """Adds n_before and s_before: count and sum of an entity's earlier rows.
+
+    With a `period` that rises along `order`, rows are ordered within entity and period
+    only, on top of the sums of the periods before, so that an entity's whole history
+    need not pass through one task.
+    """
+    keys = [*entity, *([period] if period else [])]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    n, s = F.count("*").over(w), F.coalesce(F.sum(value).over(w), F.lit(0))
+    if period is None:
+        return rows.withColumns({"n_before": n, "s_before": s})
+    past = Window.partitionBy(*entity).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum(value).alias("__s"))
+    sums = sums.select(*keys, F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__n"), F.coalesce(F.sum("__s").over(past), F.lit(0)).alias("__s"))
+    joined = rows.join(sums, keys)
+    return joined.withColumns({"n_before": F.col("__n") + n, "s_before": F.col("__s") + s}).drop("__n", "__s")

@@ -112,7 +112,7 @@ ROUNDS = 3
 
 def weighted_factors(spark, d):
     """One factor of suppliers and contexts fitted to their mean residuals, each cell weighted by its lines: ROUNDS exact solves for either side in turn, with a ridge."""
-    cells = effect_matrix(spark, d).select("l_suppkey", "context", (F.col("s") / F.col("n")).alias("m"), "n")
+    cells = effect_matrix(spark, d).select("l_suppkey", "context", (F.col("s") / F.col("n")).alias("m"), "n").persist()  # read in each round
     b = cells.select("context").distinct().withColumn("v", 1.0 + F.col("context") / 10.0)  # 14 contexts
     for _ in range(ROUNDS):
         a = cells.join(F.broadcast(b), "context").groupBy("l_suppkey").agg((F.sum(F.col("n") * F.col("m") * F.col("v")) / (F.sum(F.col("n") * F.col("v") * F.col("v")) + 25.0)).alias("u"))
@@ -133,17 +133,18 @@ def _factors_sql() -> str:
 def pair_factors(spark, d):
     """The leading factors of the sparse matrix of suppliers and parts after ROUNDS power steps, and the product looked up for pairs, 0 where a side is unseen: by supplier, and its singular value."""
     f = states.demeaned(facts(spark, d, "l_partkey"), "target", "r")
-    cells = f.groupBy("l_suppkey", "l_partkey").agg((F.sum("r") / (F.count("*") + 2.0)).alias("m"))
+    cells = f.groupBy("l_suppkey", "l_partkey").agg((F.sum("r") / (F.count("*") + 2.0)).alias("m")).persist()  # read in each round
     v = cells.select("l_partkey").distinct().withColumn("v", 1.0 + F.col("l_partkey") % 3)
-    norm = lambda df, c: df.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias("norm"))  # noqa: E731  one row
-    for _ in range(ROUNDS):
-        u = cells.join(v, "l_partkey").groupBy("l_suppkey").agg(F.sum(F.col("m") * F.col("v")).alias("u"))
-        u = u.crossJoin(F.broadcast(norm(u, "u"))).select("l_suppkey", (F.col("u") / F.col("norm")).alias("u"))
-        v = cells.join(u, "l_suppkey").groupBy("l_partkey").agg(F.sum(F.col("m") * F.col("u")).alias("v"))
-    sigma = norm(v, "v").withColumnRenamed("norm", "sigma")
+    for _ in range(ROUNDS):  # lengths are set at the end: rounds are few
+        u = cells.join(v, "l_partkey").groupBy("l_suppkey").agg(F.sum(F.col("m") * F.col("v")).alias("u")).persist()
+        v = cells.join(u, "l_suppkey").groupBy("l_partkey").agg(F.sum(F.col("m") * F.col("u")).alias("v")).persist()
+    length = lambda df, c, name: df.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(name))  # noqa: E731  one row
+    one = length(u, "u", "lu").crossJoin(length(v, "v", "lv"))
+    u = u.crossJoin(F.broadcast(one)).select("l_suppkey", (F.col("u") / F.col("lu")).alias("u"), (F.col("lv") / F.col("lu")).alias("sigma"))
+    v = v.crossJoin(F.broadcast(one)).select("l_partkey", (F.col("v") / F.col("lu")).alias("v"))
     product = cells.join(u, "l_suppkey", "left").join(v, "l_partkey", "left").withColumn("fit", F.coalesce(F.col("u") * F.col("v"), F.lit(0.0)))
-    out = product.groupBy("l_suppkey").agg(F.abs(F.first("u")).alias("left"), F.sum(F.pow(F.col("m") - F.col("fit"), 2)).alias("rest"), F.count("*").alias("cells"))
-    return rounded(out.crossJoin(F.broadcast(sigma)), "left", "rest", "sigma")
+    out = product.groupBy("l_suppkey").agg(F.abs(F.first("u")).alias("left"), F.sum(F.pow(F.col("m") - F.col("fit"), 2)).alias("rest"), F.count("*").alias("cells"), F.first("sigma").alias("sigma"))
+    return rounded(out, "left", "rest", "sigma")
 
 
 def _pair_sql() -> str:

@@ -15,7 +15,7 @@ ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedpri
 def running(spark, d) -> DataFrame:
     """Each line with its supplier's count and successes before it, over all years, and the rate in six digits."""
     f = facts(spark, d, "l_orderkey", "l_partkey", "l_extendedprice")
-    r = states.running_before(f, ["l_suppkey"], ORDER, "target")
+    r = states.running_before(f, ["l_suppkey"], ORDER, "target", "season")
     return r.withColumn("rate_before", F.when(F.col("n_before") > 0, F.col("s_before") / F.col("n_before")))
 
 

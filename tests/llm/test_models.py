@@ -147,3 +147,99 @@ def test_ftrl_is_sparse_and_calibrated():
     z = np.array([[5.0, 0.0]] * 80 + [[0.0, 5.0]] * 20)
     t = language.best_temperature(z, np.zeros(100, int))
     assert abs(language.softmax(z[:1] / t)[0, 0] - 0.8) < 0.02
+
+
+CLASHES = ("score", "label", "x", "at", "share", "unit", "units", "th", "word", "n", "part", "lang_pred", "predicted", "kept")
+
+
+def test_clashing_columns_change_nothing(make, odd, spark):
+    """Input columns with the names of results and intermediate columns are not read, and survive a filter."""
+    docs = make(odd)
+    wide = docs
+    for c in CLASHES:
+        wide = wide.withColumn(c, F.lit("clash"))
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    for module in (toxicity, quality):
+        assert rows(module.score_documents(docs, module.train(docs, labels, never()))) == rows(module.score_documents(wide, module.train(wide, labels, never())))
+    assert rows(language.predict(docs, language.train_model(docs, never()))) == rows(language.predict(wide, language.train_model(wide, never())))
+
+
+def test_drop_toxic_keeps_columns_of_any_type(make, odd, spark, tmp_path):
+    make(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    wide = make(odd).withColumn("tags", F.array(F.lit("a"), F.lit(None))).withColumn("more", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("score", F.lit(2.5)).withColumn("day", F.lit("2024-01-01").cast("date"))
+    out = toxicity.drop_toxic(spark, wide, str(tmp_path))
+    assert out.schema == wide.schema and sorted(map(str, out.collect())) == sorted(map(str, wide.collect()))
+    assert toxicity.drop_toxic(spark, wide.limit(0), str(tmp_path)).count() == 0
+
+
+def test_sentence_margins_equal_explicit_kernels():
+    """A sentence's margin is the sum of its units' answers over the root of its length, and a unit's answer its kernel with the landmarks."""
+    toxic = [["you", "idiot"], ["such", "scum", "here"], ["trash"]]
+    clean = [["the", "house", "tree"], ["stone", "water"], ["river", "such", "here"], ["you", "the"]]
+    model = toxicity.fit_svm(toxic, clean)
+    sentences = [*toxic, *clean, ["1d10t"], ["the", "id-iot", "of", "river"]]
+    margins, answers = model.sentence_margins(sentences, {})
+    units = [u for s in sentences for u in s]
+    assert np.allclose(answers, toxicity.dot(units, model.weights))
+    at = 0
+    for s, m in zip(sentences, margins):
+        assert abs(m - (answers[at : at + len(s)].sum() / len(s) ** 0.5 + model.bias)) < 1e-6
+        at += len(s)
+    by = dict(zip(map(tuple, sentences), margins))
+    assert min(by["you", "idiot"], by["trash",], by["1d10t",]) > max(by["the", "house", "tree"], by["stone", "water"], by["you", "the"])
+    assert toxicity.sentences_of("One two. Three!\n\n four") == [["one", "two"], ["three"], ["four"]]
+    assert [len(s) for s in toxicity.sentences_of("w " * 60)] == [24, 24, 12, 1][: len(toxicity.sentences_of("w " * 60))]
+
+
+def test_quality_scores_equal_plain_averages():
+    """A text's score is the softmax of the average over its words' and character n-grams' vectors, counted plainly."""
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.normal(size=quality.BUCKETS), 0.3)
+    texts = ["the häuser 日本 of", "", " \n", "a", "the the THE x" * 3]
+    got = model.scores(texts, {})
+    for t, g in zip(texts, got):
+        total, n = 0.0, 0
+        for w in t.encode().split():
+            at, _ = quality.buckets_of([w])
+            word = "<" + w.decode() + ">"
+            assert len(at) == 1 + sum(max(0, len(word) - k + 1) for k in quality.GRAMS)
+            total += model.by_bucket[at].sum()
+            n += len(at)
+        assert abs(g - 1 / (1 + np.exp(-(total / n if n else 0) - 0.3))) < 1e-9
+
+
+def test_language_vectors_and_steps_equal_plain_ones():
+    """TF-IDF of a text and one step of the regularised leader, written out."""
+    idf = np.linspace(1, 2, language.BUCKETS)
+    model = language.Model([], idf, np.zeros((language.BUCKETS, 0)), np.zeros(0))
+    counts = language.counts_of("aBa")
+    assert counts.sum() == 5 + 4 + 3  # one, two and three characters of " aba "
+    at, x = model.vector("aBa")
+    plain = np.log1p(counts[at]) * idf[at]
+    assert np.allclose(x, plain / np.sqrt((plain**2).sum())) and (counts[at] > 0).all()
+    v = [(np.array([3]), np.array([1.0])), (np.array([5]), np.array([1.0]))]
+    before = language.EPOCHS
+    language.EPOCHS = 1
+    try:
+        w, _ = language.ftrl(v, np.array([0, 1]), 2)
+    finally:
+        language.EPOCHS = before
+    g = 0.5  # both classes start at one half; the gradient is one half less the outcome
+    z = -g if g > language.L1 else 0.0
+    want = (abs(z) - language.L1) / ((language.BETA + g) / language.ALPHA + language.L2)
+    assert abs(w[3, 0] - want) < 1e-9 and abs(w[3, 1] + want) < 1e-9 and abs(w[5, 1] - want) < 1e-9 and w[4, 0] == 0
+
+
+def test_many_languages_are_all_learned(make, spark):
+    """No cap on languages: each of 230 is predicted for its own text."""
+    rows = [(i, f"{chr(0x4E00 + 7 * k)}{chr(0x5000 + 11 * k)} " * 20, f"l{k:03}", None) for k in range(230) for i in (k, 1000 + k)]
+    docs = make(rows)
+    model = language.train_model(docs, never())
+    assert len(model.languages) == 230
+    out = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert sum(out[i] == lang for i, _, lang, _ in rows) / len(rows) > 0.5

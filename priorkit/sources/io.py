@@ -58,8 +58,19 @@ def save_state(state: DataFrame, path: str, through: int) -> None:
     state.withColumn("through_period", F.lit(through)).write.mode("overwrite").parquet(path)
 
 
-def load_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """A frozen state; with `before`, an error unless all of it was seen before that period."""
+    state = spark.read.parquet(path)
+    if before is not None and state.where(F.coalesce(F.col("through_period") >= before, F.lit(True))).limit(1).count():
+        raise ValueError(f"the state at {path} has seen period {before} or later")
+    return state
+
+
+def load_candidates(spark: SparkSession, path: str, season: int) -> DataFrame:
+    """(row_id, candidate, p) of one season's stored predictions: only that season's folders are read; a prediction outside [0, 1] is an error."""
+    stored = spark.read.parquet(path).where(F.col("season") == season)
+    wild = F.raise_error(F.concat(F.lit("prediction out of range: "), F.coalesce(F.col("p").cast("string"), F.lit("null"))))
+    return stored.select("row_id", "candidate", F.when(F.coalesce(F.col("p").between(0.0, 1.0), F.lit(False)), F.col("p")).otherwise(wild).alias("p"))
 
 
 def write_predictions(template: DataFrame, predictions: DataFrame, key: str, value: str, path: str, position: str | None = None) -> None:

@@ -118,17 +118,25 @@ def test_alike_sequences_equal_all_pairs(spark):
 
 
 def test_solvers():
-    g = np.array([[2.0, 0.0], [0.0, 1.0]])
-    w, gap = linalg.frank_wolfe(g)
-    assert np.allclose(w, [1 / 3, 2 / 3], atol=1e-4) and gap < 1e-4
-    w = linalg.bounded_weights(np.eye(4), np.array([3.0, 2.0, -1.0, 1.0]), 4.0)
-    assert (w >= 0).all() and w.sum() <= 4 + 1e-9 and abs(w[0] - w[1] - 1) < 1e-6
+    rng = np.random.default_rng(11)
+    for k in (2, 3, 4):
+        e = rng.normal(size=(60, k)) * [1.0, 1.3, 0.9, 1.1][:k] + 0.2
+        g = e.T @ e / 60
+        w, gap = linalg.frank_wolfe(g)
+        steps = [p for p in itertools.product(range(21), repeat=k) if sum(p) == 20]
+        best = min(np.array(p) / 20 @ g @ (np.array(p) / 20) for p in steps)
+        assert abs(w.sum() - 1) < 1e-9 and (w >= -1e-12).all() and w @ g @ w <= best + 1e-9 and gap < 1e-3
+    wanted = np.array([1.7, 0.6, -2.2])
+    w = linalg.bounded_weights(np.diag([1.0, 1.0, 1.0]), wanted, 1.5)
+    assert np.allclose(w, [1.3, 0.2, 0.0], atol=1e-6)  # the projection on the bounded part
 
 
 def test_ridge_and_low_rank(spark):
-    x = spark.createDataFrame([(1.0, 0.0, 0.4), (0.0, 1.0, -0.2), (1.0, 1.0, 0.2)], "a double, b double, y double")
-    assert np.allclose(linalg.ridge(x, ["a", "b"], "y", 1e-12), [0.4, -0.2], atol=1e-10)
     rng = np.random.default_rng(2)
+    a, y = rng.normal(size=(30, 2)), rng.normal(size=30)
+    x = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(a, y)], "a double, b double, y double")
+    for alpha in (1e-9, 2.5):
+        assert np.allclose(linalg.ridge(x, ["a", "b"], "y", alpha), np.linalg.solve(a.T @ a + alpha * np.eye(2), a.T @ y), atol=1e-9)
     m = rng.normal(size=(6, 2)) @ rng.normal(size=(2, 4))
     cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(6) for j in range(4)], "e int, c int, v double")
     r = linalg.low_rank(cells, "e", "c", "v", list(range(4)), 2).collect()
@@ -155,6 +163,9 @@ def test_frozen_state_round_trip(spark, tmp_path):
     state = spark.createDataFrame([(1, 3)], "e int, n int")
     io.save_state(state, str(tmp_path / "s"), 2024)
     assert io.load_state(spark, str(tmp_path / "s")).first().asDict() == {"e": 1, "n": 3, "through_period": 2024}
+    assert io.load_state(spark, str(tmp_path / "s"), before=2025).count() == 1
+    with pytest.raises(ValueError):
+        io.load_state(spark, str(tmp_path / "s"), before=2024)
 
 
 def test_majority_and_sequences(spark):
@@ -194,3 +205,6 @@ def test_prediction_sinks(spark, tmp_path):
             io.write_predictions(template, spark.createDataFrame(bad, "row_id string, p double"), "row_id", "p", str(tmp_path / f"bad{i}"))
     io.write_candidates(good.selectExpr("row_id", "p", "'one' AS candidate", "2024 AS season"), str(tmp_path / "stored"))
     assert spark.read.parquet(str(tmp_path / "stored")).where("candidate = 'one' AND season = 2024").count() == 3
+    with pytest.raises(Exception, match="out of range"):
+        io.load_candidates(spark, str(tmp_path / "stored"), 2024).collect()
+    assert io.load_candidates(spark, str(tmp_path / "stored"), 2023).count() == 0

@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,21 +42,31 @@ class Unigram:
             model.ParseFromString(f.read())
         pieces = sorted((p for p in model.pieces if p.type == NORMAL), key=lambda p: -p.score)
         self.score = {p.piece: -round(1e6 * math.log(rank + 2)) for rank, p in enumerate(pieces)}
-        self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10_000_000
 
     def reestimated(self, counts: dict[str, int]) -> "Unigram":
         """The same pieces, scored by their counts plus one half."""
         out = copy(self)
+        out.__dict__.pop("endings", None)
         total = sum(counts.values()) + 0.5 * len(self.score)
         out.score = {p: round(1e6 * math.log((counts.get(p, 0) + 0.5) / total)) for p in self.score}
         out.unknown = min(out.score.values()) - 10_000_000
         return out
 
-    def segmentations(self, words: list[str]) -> Iterator[tuple[str, int, list[tuple[int, int, int]]]]:
-        """(word, tokens of its best segmentation, path) of each of the distinct `words`; path[end] is (best score, -tokens, start of the last piece)."""
-        score, longest = self.score, self.longest
-        path: list[tuple[int, int, int]] = [(0, 0, 0)]  # at each node from the root to here
+    @cached_property
+    def endings(self) -> dict[str, int | None]:
+        """Every ending of a piece: with the score of the piece it is, or None."""
+        out: dict[str, int | None] = {}
+        for p in self.score:
+            for k in range(1, len(p)):
+                out.setdefault(p[k:], None)
+        out.update(self.score)
+        return out
+
+    def segmentations(self, words: list[str]) -> Iterator[tuple[str, int, list[int]]]:
+        """(word, tokens of its best segmentation, starts) of each of the distinct `words`; starts[end] is where the last piece of the best segmentation up to `end` begins."""
+        find, unknown = self.endings.get, self.unknown
+        score, tokens, starts = [0], [0], [0]  # the best of each node from the root to here
         before = ""
         for w in sorted(words):
             shared = 0
@@ -63,21 +74,32 @@ class Unigram:
                 if a != b:
                     break
                 shared += 1
-            del path[shared + 1 :]
+            del score[shared + 1 :], tokens[shared + 1 :], starts[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
-                s, n, _ = path[end - 1]
-                c = w[end - 1]
-                piece = score.get(c)
-                best = (s + piece, n - 1, end - 1) if piece is not None else (s + self.unknown, n - len(c.encode("utf-8", "replace")), end - 1)
-                for start in range(max(0, end - longest), end - 1):
-                    piece = score.get(w[start:end])
-                    if piece is not None:
-                        s, n, _ = path[start]
-                        if (s + piece, n - 1) > best[:2]:
-                            best = (s + piece, n - 1, start)
-                path.append(best)
+                at = end - 1
+                c = w[at]
+                piece = find(c)
+                if piece is not None:
+                    best, n = score[at] + piece, tokens[at] + 1
+                else:
+                    best, n = score[at] + unknown, tokens[at] + len(c.encode("utf-8", "replace"))
+                for start in range(end - 2, -1, -1):
+                    piece = find(w[start:end], 0)
+                    if piece is None:
+                        continue
+                    if piece == 0:  # no piece ends so
+                        break
+                    s = score[start] + piece
+                    if s > best or (s == best and tokens[start] + 1 < n):
+                        best, n, at = s, tokens[start] + 1, start
+                score.append(best)
+                tokens.append(n)
+                starts.append(at)
             before = w
-            yield w, -path[len(w)][1], path
+            yield w, tokens[len(w)], starts
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "endings"}  # built again where it is used
 
     def counts(self, words: list[str]) -> dict[str, int]:
         """Tokens of the best segmentation of each of the distinct `words`."""
@@ -86,10 +108,10 @@ class Unigram:
     def piece_counts(self, words: dict[str, int]) -> Counter:
         """How often each piece stands in the best segmentations of `words`, which occur so many times."""
         found: Counter = Counter()
-        for w, _, path in self.segmentations(list(words)):
+        for w, _, starts in self.segmentations(list(words)):
             end, times = len(w), words[w]
             while end:
-                start = path[end][2]
+                start = starts[end]
                 found[w[start:end]] += times
                 end = start
         return found

@@ -279,22 +279,29 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.bounds, self.used = np.zeros(1 << 16, np.int64), [0], 0
+        # ids of all segments and their bounds, in arrays that double when they are full
+        self.flat, self.bounds = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.count = 0
 
     def _add(self, segments: list[str], long: bool) -> None:
         ids, bounds = self.v.encode_segments(segments, long)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + len(ids), np.int64)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        start = len(self.bounds) - 1
-        self.known.update(zip(segments, range(start, start + len(segments))))
-        self.bounds.extend((self.used + bounds[1:]).tolist())
-        self.used += len(ids)
+        n, m = self.used + len(ids), self.count + len(segments)
+        if n > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(n, np.int64)])
+        if m >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds[: self.count + 1], np.zeros(m, np.int64)])
+        self.flat[self.used : n] = ids
+        self.bounds[self.count + 1 : m + 1] = self.used + bounds[1:]
+        self.known.update(zip(segments, range(self.count, m)))
+        self.used, self.count = n, m
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        parts = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        parts = [[x for s in p for x in (self.v.cut(s) if len(s) > LONG else (s,))] for p in parts]
+        parts = []
+        for t in texts:
+            t = SPACE + t.replace(" ", SPACE) if t else ""
+            p = _SEGMENT.findall(t)
+            parts.append([x for s in p for x in (self.v.cut(s) if len(s) > LONG else (s,))] if max(map(len, p), default=0) > LONG else p)
         if len(self.known) > MOST_CACHED:
             self.forget()
         new = list({s for p in parts for s in p if s not in self.known})
@@ -302,11 +309,11 @@ class Encoder:
         short = [s for s in new if len(s) <= LONG] if long else new
         if short:
             self._add(short, False)
-        used, kept = self.used, len(self.bounds)
+        used, count = self.used, self.count
         if long:
             self._add(long, True)
         out = []
-        end, bounds = np.array([self.v.end]), np.array(self.bounds)
+        end, bounds = np.array([self.v.end]), self.bounds
         for p in parts:
             at = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
             low, sizes = bounds[at], bounds[at + 1] - bounds[at]
@@ -314,8 +321,7 @@ class Encoder:
             out.append(np.concatenate([self.flat[steps], end]))
         for s in long:
             del self.known[s]
-        self.used = used
-        del self.bounds[kept:]
+        self.used, self.count = used, count
         return out
 
 
@@ -360,6 +366,12 @@ def sha(data: bytes) -> str:
 
 
 def op8_sentencepiece(spark, sf_dir):
+    """Ids and decoded text of every row as digests. Null and empty texts have the end id alone.
+
+    Rows with a null id and repeated rows are encoded like others; texts of any length,
+    with or without spaces, are read whole; an empty table gives an empty one; other
+    columns are not read.
+    """
     return map_ids(
         table(spark, sf_dir, "documents"),
         {

@@ -1,19 +1,16 @@
-"""Vectorised word and shingle hashes over a batch of texts.
+"""Word and shingle hashes over a batch of texts.
 
-Words are `[^\\x20\\x09-\\x0D]+`. A word's 64-bit hash is a polynomial in random
-byte values, taken from prefix sums, then mixed; equal words have equal hashes.
+Words are `[^\\x20\\x09-\\x0D]+`. A word's 64-bit hash is the blake2b digest of its
+bytes, taken once for each distinct word and looked up for the others; hashes of
+windows are sums of them with odd factors, then mixed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_DELIM = np.zeros(256, bool)
-_DELIM[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C2B5D6F0E1A7E13]
 
 
@@ -24,38 +21,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTE_LOWER = _BYTE[_LOWER]
-
-
-def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 class WordHasher:
-    """Keeps the tables of powers between calls."""
+    """Keeps the hashes of words between calls: at most MOST_KEPT words of at most LONGEST_KEPT bytes; others are hashed anew."""
+
+    MOST_KEPT, LONGEST_KEPT = 300_000, 64
 
     def __init__(self, lower: bool = True):
-        self.values = _BYTE_LOWER if lower else _BYTE
-        self.up = self.down = powers(0, 1)
+        self.lower, self.known = lower, {}
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > self.MOST_KEPT:
+                self.known.clear()
+            for i, h in enumerate(found):
+                if h is None:
+                    w = words[i]
+                    found[i] = h = self.known.get(w) or word_hash(w)
+                    if len(w) <= self.LONGEST_KEPT and len(self.known) <= self.MOST_KEPT:
+                        self.known[w] = h
+        return np.fromiter(found, np.uint64, len(words))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words, bounds): text i has the words bounds[i]:bounds[i+1]."""
-        blobs = [t.encode("utf-8", "replace") for t in texts]
-        buf = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
-        ends_of_text = np.cumsum([len(b) + 1 for b in blobs])
-        if len(self.up) < len(buf):
-            self.up, self.down = powers(len(buf), _BASE), powers(len(buf), _INVERSE)
-        gap = _DELIM[buf]
-        edge = np.flatnonzero(np.diff(gap, prepend=True))
-        starts, ends = edge[0::2], edge[1::2]
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.values[buf] * self.up[: len(buf)], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * self.down[starts])
-        return hashes, np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
+        found, bounds = [np.zeros(0, np.uint64)], [0]
+        for t in texts:
+            blob = t.encode("utf-8", "replace")
+            words = (blob.lower() if self.lower else blob).split()  # bytes: A-Z alone are lowered, [\x20\x09-\x0D] alone split
+            found.append(self.hashes(words))
+            bounds.append(bounds[-1] + len(words))
+        return np.concatenate(found), np.array(bounds)
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:

@@ -169,3 +169,11 @@ def test_whole_table_equals_all_pairs(spark):
     want = sorted(brute(rows), key=str)
     assert sum(1 for d, _, c in want if d != c) > 50
     assert sorted(map(tuple, ngram_join.op10_ngram_join(spark, "/root/testdata/sf0.01").collect()), key=str) == want
+
+
+def test_words_alike_to_a_polynomial_do_not_link(make):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} {word} x y z"), (4, f"{other} {word} x y z"), (5, word)]
+    got = [tuple(r) for r in ngram_join.link_components(make(rows)).collect()]
+    assert sorted(got) == sorted(brute(rows))

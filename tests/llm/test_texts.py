@@ -169,6 +169,33 @@ def test_word_and_shingle_hashes():
     assert len(windows(words[:3], 5)) == 0
 
 
+def thue_morse(bits: int) -> tuple[str, str]:
+    """A word over a and b, and the word with the two exchanged: alike to any polynomial modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_alike_to_a_polynomial_have_hashes_of_their_own(make):
+    for bits in (9, 10, 11, 12):
+        a, b = thue_morse(bits)
+        hashes, _ = WordHasher()([f"{a} {b} {a}", b.upper()])
+        assert hashes[0] != hashes[1] and hashes[0] == hashes[2] and hashes[1] == hashes[3]
+    a, b = thue_morse(10)
+    doc = quality_rules.Doc(f"{a} c d e f g h i {b} c d e f g h i", WordHasher(lower=False))
+    assert doc.n_repeat_words == 0
+    assert quality_rules.Doc(f"{a} c d e f g h i {a} c d e f g h i", WordHasher(lower=False)).n_repeat_words == 16
+    prints = {r.doc_id: r.fingerprint for r in spotsigs.fingerprints(make([(1, f"the {a} cat sat"), (2, f"the {b} cat sat")])).collect()}
+    assert spotsigs.jaccard(*map(spotsigs.from_text, prints.values())) == 0.0
+
+
+def test_the_table_of_word_hashes_is_bounded():
+    small = WordHasher()
+    small.MOST_KEPT = 3
+    text = " ".join(f"w{i % 5}" for i in range(20)) + " " + "x" * 100
+    assert small([text])[0].tolist() == WordHasher()([text])[0].tolist()
+    assert len(small.known) <= 4
+
+
 def plain_signatures(text):
     """SpotSigs in plain Python: tuples of words instead of hashes."""
     words = [w for w in re.split(f"[{SPACES}]+", (text or "").translate(FOLD)) if w]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("toxicity", "language", "mixing", "pii", "quality_rules", "quality", "spotsigs", "sentencepiece_bpe", "token_counts", "ngram_join")
+MODULES = ("toxicity", "language", "mixing", "pii", "quality_rules", "quality", "spotsigs", "sentencepiece_bpe", "token_counts", "ngram_join", "resampling", "runs", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def expected_counts(observed: list[int], start: np.ndarray, move: np.ndarray, show: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions of one sequence, and its log likelihood, by a scaled forward and backward pass."""
+def expected_counts(observed: list[int | None], start: np.ndarray, move: np.ndarray, show: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions of one sequence, and its log likelihood, by a scaled forward and backward pass.
+
+    A period without an observation (None) says nothing of its state: all states show it alike, and it counts as no emission.
+    """
     n, k = len(observed), len(start)
-    seen = show[:, observed].T
+    seen = np.stack([np.ones(k) if o is None else show[:, o] for o in observed])
     forward, scale = np.zeros((n, k)), np.zeros(n)
     for t in range(n):
         a = seen[t] * (start if t == 0 else forward[t - 1] @ move)
@@ -28,7 +31,8 @@ def expected_counts(observed: list[int], start: np.ndarray, move: np.ndarray, sh
     moves = sum((forward[t][:, None] * move * (seen[t + 1] * backward[t + 1])[None, :] / scale[t + 1] for t in range(n - 1)), np.zeros((k, k)))
     shown = np.zeros_like(show)
     for t, o in enumerate(observed):
-        shown[:, o] += state[t]
+        if o is not None:
+            shown[:, o] += state[t]
     return state[0], moves, shown, float(np.log(scale).sum())
 
 
@@ -39,7 +43,7 @@ def updated(starts: np.ndarray, moves: np.ndarray, shown: np.ndarray, sticky: fl
 
 
 def fit(sequences: DataFrame, column: str, start, move, show, rounds: int, sticky: float = 4.0):
-    """(start, move, show, log likelihoods) after `rounds` over all rows with a non-empty array in `column`; states in ascending order of the last symbol's share."""
+    """(start, move, show, log likelihoods) after `rounds` over all rows with a non-empty array in `column`, whose nulls are periods without an observation; states in ascending order of the last symbol's share."""
     start, move, show = (np.array(x, float) for x in (start, move, show))
     k, m = show.shape
     told = []
@@ -50,7 +54,7 @@ def fit(sequences: DataFrame, column: str, start, move, show, rounds: int, stick
             for pdf in batches:
                 for x in pdf[column]:
                     if x is not None and len(x):
-                        s, t, e, ll = expected_counts([int(v) for v in x], start, move, show)
+                        s, t, e, ll = expected_counts([None if v is None or v != v else int(v) for v in x], start, move, show)
                         total += np.concatenate([s, t.ravel(), e.ravel(), [ll]])
             yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 

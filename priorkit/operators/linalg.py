@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import Stage
+
 
 def gram(df: DataFrame, columns: Sequence[str], weight: Column | None = None) -> np.ndarray:
     """Weighted sums of products of all pairs of columns, in one aggregation."""
@@ -41,32 +43,22 @@ def low_rank(cells: DataFrame, entity: str, context: str, value: str, contexts:
     return wide.select(entity, F.explode(items).alias("x")).select(entity, "x.*")
 
 
-#: The small side of a two-way fit has at most so many values.
-MOST_CONTEXTS = 10_000
-
-
 def two_way_bias(cells: DataFrame, a: str, b: str, s: str, n: str, ka: float, kb: float, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Ridge biases of both sides after a fixed number of alternating exact updates, as (a, bias_a) and (b, bias_b).
 
-    b is the small side (contexts): its biases ride along as literals of a map, a's are
-    recomputed from the cells, so each round is one aggregation of the cells by b.
+    Cells are staged once; a round is a join and a grouping for each side, whatever their sizes. Null keys have no bias.
     """
-    cells = cells.persist()  # read in each round
-    known = cells.select(b).distinct().limit(MOST_CONTEXTS + 1).collect()
-    if len(known) > MOST_CONTEXTS:
-        raise ValueError(f"{b} has more than {MOST_CONTEXTS} values: put the larger side first")
-    biases = {r[0]: 0.0 for r in known}
-    at_b = lambda: F.coalesce(*[F.when(F.col(b) == F.lit(k), F.lit(v)) for k, v in biases.items()])
+    stage = Stage(cells.sparkSession)  # what is returned reads it
+    cells = stage(cells.select(a, b, F.col(s).alias("__s"), F.col(n).alias("__n")))
 
-    def side_a() -> DataFrame:
-        return cells.groupBy(a).agg((F.sum(F.col(s) - F.col(n) * at_b()) / (F.sum(n) + ka)).alias("bias_a"))
+    def side(key: str, other: str, biases: DataFrame, k: float) -> DataFrame:
+        rest = F.sum(F.col("__s") - F.col("__n") * F.col(f"bias_{other}"))
+        return cells.join(biases, b if key == a else a).groupBy(key).agg((rest / (F.sum("__n") + k)).alias("bias_a" if key == a else "bias_b"))
 
+    at_b = cells.select(b).distinct().withColumn("bias_b", F.lit(0.0))
     for _ in range(rounds):
-        joined = cells.join(side_a(), a)
-        found = joined.groupBy(b).agg((F.sum(F.col(s) - F.col(n) * F.col("bias_a")) / (F.sum(n) + kb)).alias("v")).collect()
-        biases = {r[b]: r["v"] for r in found}
-    spark = cells.sparkSession
-    return side_a(), spark.createDataFrame(list(biases.items()), f"{b} {cells.schema[b].dataType.simpleString()}, bias_b double")
+        at_b = stage(side(b, "a", stage(side(a, "b", at_b, ka)), kb))
+    return side(a, "b", at_b, ka), at_b
 
 
 def frank_wolfe(g: np.ndarray, steps: int = 2000, gap: float = 1e-12) -> tuple[np.ndarray, float]:

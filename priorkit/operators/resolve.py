@@ -104,14 +104,32 @@ def symbols_of(sequence: Column) -> Column:
 
 
 def alike_sequences(rows: DataFrame, block: Sequence[str], key: str, sequence: str, ratio: float) -> DataFrame:
-    """(a, b, ratio): pairs of keys in a block whose ordered sequences match to `ratio`, by longest matching blocks.
+    """(a, b, ratio): all pairs of keys in a block whose ordered sequences match to `ratio`. Quadratic in the keys of one sequence: `alike_classes` has a row for each."""
+    block = list(block)
+    classes, members = _matched(rows, block, key, sequence, ratio)
+    sides = [members.select(*block, F.col("class").alias(f"class_{k}"), F.col("key").alias(k)) for k in "ab"]
+    same = sides[0].withColumn("class_b", F.col("class_a")).join(sides[1], [*block, "class_b"]).where("a < b").withColumn("ratio", F.lit(1.0))
+    unlike = classes.withColumnsRenamed({"a": "class_a", "b": "class_b"}).join(sides[0], [*block, "class_a"]).join(sides[1], [*block, "class_b"]).where("a < b")
+    return same.select("a", "b", "ratio").unionByName(unlike.select("a", "b", "ratio"))
+
+
+def alike_classes(rows: DataFrame, block: Sequence[str], key: str, sequence: str, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(block, a, b, ratio) and (block, class, key): classes of keys of a block with one sequence, under their smallest key, and pairs of classes, a < b, whose sequences match to `ratio` by longest matching blocks.
+
+    Null keys, blocks and sequences are left out.
+    """
+    pairs, members = _matched(rows, list(block), key, sequence, ratio)
+    return pairs.where("a < b"), members
+
+
+def _matched(rows: DataFrame, block: list[str], key: str, sequence: str, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes in both orders, as the matcher's ratio depends on it, and the members.
 
     Sequences are compared once for each distinct pair of texts, whatever the number of keys and blocks
     that hold them. A pair reaches the matcher if its characters, their order aside, allow the ratio: texts with
     the same characters make one kind, and a block's kinds meet on their rarest symbols, one of which a partner has to share.
     """
-    block = list(block)
-    members = rows.select(*block, F.col(key).alias("key"), F.col(sequence).alias("s")).where("s IS NOT NULL")
+    members = rows.select(*block, F.col(key).alias("key"), F.col(sequence).alias("s")).where("s IS NOT NULL AND key IS NOT NULL")
     members = members.withColumn("kind", F.array_join(F.array_sort(F.split("s", "")), ""))
     held = members.select(*block, "kind", "s").distinct()
     kinds = held.select("kind").distinct().withColumns({"n": F.length("kind"), "symbols": symbols_of(F.col("kind"))})
@@ -138,8 +156,14 @@ def alike_sequences(rows: DataFrame, block: Sequence[str], key: str, sequence: s
             out = pdf.assign(ratio=r)
             yield out[out["ratio"] >= ratio]
 
+    first = held_classes(members, block)
+    ends = [first.select(*block, F.col("s").alias(f"s{k}"), F.col("class").alias(k)) for k in "ab"]
+    near = near.join(ends[0], [*block, "sa"]).join(ends[1], [*block, "sb"])
     alike = near.select("sa", "sb").distinct().mapInPandas(match, "sa string, sb string, ratio double")
-    a, b = (named(members.drop("kind"), "key", k) for k in "ab")
-    unlike = near.join(alike, ["sa", "sb"]).join(a, [*block, "sa"]).join(b, [*block, "sb"])
-    same = a.withColumn("sb", F.col("sa")).join(b, [*block, "sb"]).withColumn("ratio", F.lit(1.0))
-    return same.unionByName(unlike).where("a < b").select("a", "b", "ratio")
+    pairs = near.join(alike, ["sa", "sb"]).select(*block, "a", "b", "ratio")
+    return pairs, members.join(first, [*block, "s"]).select(*block, "class", "key")
+
+
+def held_classes(members: DataFrame, block: list[str]) -> DataFrame:
+    """(block, s, class): the smallest key of each sequence of a block."""
+    return members.where(F.col("key").isNotNull()).groupBy(*block, "s").agg(F.min("key").alias("class"))

@@ -72,22 +72,28 @@ def history_state(rows: DataFrame, entity: str, keys: Sequence[str], value: str,
     return own, cells.select("mapped", *keys, ((F.col("s") + k * F.col("fallback")) / (F.col("n") + k)).alias("value"))
 
 
+#: A supplier is mapped from its year on with at least so many lines before.
+MAPPED = 40
+
+
 def clipped_lookup(spark, d):
-    """Lines of 1998 moved by their supplier's context (number and status), learned through 1997, else by the supplier, within .03; suppliers of every tenth key are unmapped."""
+    """Lines of each year moved by their supplier's context (number and status), learned through the year before, else by the supplier, within .03; suppliers with fewer than MAPPED lines before are unmapped."""
     f = facts(spark, d)
-    past = guarded(f.where("season <= 1997"), 1997)
-    own, context = history_state(past.withColumn("y", F.col("target").cast("double")), "l_suppkey", ["l_linenumber", "l_linestatus"], "y", 100.0)
-    mapping = past.select("l_suppkey", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_suppkey")).alias("mapped")).distinct().where("mapped IS NOT NULL")
-    base = past.agg(F.avg("target").alias("base"))  # one row
-    rows = f.where("season = 1998").crossJoin(F.broadcast(base))
-    out = fallback_correction(rows, mapping, context, own, ["l_linenumber", "l_linestatus"], 0.03, F.col("base"))
-    return rounded(out.groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum("correction").alias("correction")), "correction")
-
-
-CLIPPED_SQL = f"""WITH {FACTS}, past AS (SELECT * FROM f WHERE season <= 1997), o AS (SELECT l_suppkey, avg(target) AS fb FROM past GROUP BY 1),
-c AS (SELECT l_suppkey, l_linenumber, l_linestatus, (sum(target) + 100.0 * any_value(fb)) / (count(*) + 100.0) AS v FROM past JOIN o USING (l_suppkey) GROUP BY 1, 2, 3)
-SELECT f.l_suppkey, f.l_linenumber, count(*) AS n, round(sum(CASE WHEN f.l_suppkey % 10 = 0 THEN 0 ELSE coalesce(least(greatest(coalesce(v, fb) - (SELECT avg(target) FROM past), -0.03), 0.03), 0) END), 6) AS correction
-FROM f LEFT JOIN c USING (l_suppkey, l_linenumber, l_linestatus) LEFT JOIN o ON o.l_suppkey = f.l_suppkey WHERE season = 1998 GROUP BY 1, 2"""
+    keys, at = ["l_linenumber", "l_linestatus"], F.struct("l_suppkey", "season")
+    own = states.prior_sums(f, ["l_suppkey"], F.col("target"))
+    known = own.where("n > 0").select(at.alias("mapped"), (F.col("s") / F.col("n")).alias("fallback"))
+    cells = states.prior_sums(f, ["l_suppkey", *keys], F.col("target")).where("n > 0").withColumn("mapped", at).join(known, "mapped")
+    context = cells.select("mapped", *keys, ((F.col("s") + 100.0 * F.col("fallback")) / (F.col("n") + 100.0)).alias("value"))
+    mapping = own.where(F.col("n") >= MAPPED).select(at.alias("at"), at.alias("mapped"))
+    rows = f.withColumn("at", at).join(F.broadcast(states.prior_rate(f, F.col("target"))), "season")  # a row for each year
+    out = fallback_correction(rows, mapping, context, known, keys, 0.03, F.col("rate"))
+    return rounded(out.groupBy("season", "l_suppkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum("correction").alias("correction")), "correction")
+
+
+CLIPPED_SQL = f"""WITH {RATE}, o AS (SELECT l_suppkey, season, coalesce(sum(s) OVER w, 0) AS s, coalesce(sum(n) OVER w, 0) AS n FROM (SELECT l_suppkey, season, sum(target) AS s, count(*) AS n FROM f GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_suppkey {PRIOR})),
+c AS (SELECT l_suppkey, l_linenumber, l_linestatus, season, sum(s) OVER w AS s, sum(n) OVER w AS n FROM (SELECT l_suppkey, l_linenumber, l_linestatus, season, sum(target) AS s, count(*) AS n FROM f GROUP BY 1, 2, 3, 4) WINDOW w AS (PARTITION BY l_suppkey, l_linenumber, l_linestatus {PRIOR})),
+v AS (SELECT f.*, rate, o.n AS own, o.s / nullif(o.n, 0) AS fb, c.s AS cs, c.n AS cn FROM f JOIN rate USING (season) JOIN o USING (l_suppkey, season) JOIN c USING (l_suppkey, l_linenumber, l_linestatus, season))
+SELECT season, l_suppkey, l_linenumber, count(*) AS n, round(sum(CASE WHEN own < {MAPPED} THEN 0 ELSE least(greatest(coalesce((cs + 100.0 * fb) / (cn + 100.0), fb) - rate, -0.03), 0.03) END), 6) AS correction FROM v GROUP BY 1, 2, 3"""
 
 
 def cell_runner_lookup(spark, d):

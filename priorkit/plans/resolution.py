@@ -84,12 +84,14 @@ def assignment(spark, d):
 
 
 def fuzzy_sequence_match(spark, d):
-    """Orders of one customer whose sequences of line numbers match to 0.8 or more, but not wholly by position."""
+    """Orders of one customer whose sequences of line numbers match to 0.8 or more: each order in the class of the smallest with its sequence ('member'), and the pairs of classes that match ('alike')."""
     o = table(spark, d, "orders", ["o_orderkey", "o_custkey"])
     li = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey"])
     s = resolve.sequence_key(li, ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey"], F.col("l_linenumber"))
     rows = s.join(o, s["l_orderkey"] == o["o_orderkey"])
-    return resolve.alike_sequences(rows, ["o_custkey"], "o_orderkey", "sequence", 0.8)
+    pairs, members = resolve.alike_classes(rows, ["o_custkey"], "o_orderkey", "sequence", 0.8)
+    own = members.select("o_custkey", F.lit("member").alias("kind"), F.col("class").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("ratio"))
+    return own.unionByName(pairs.withColumn("kind", F.lit("alike")))
 
 
 def key_contract(spark, d):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import shared_folder
+
 
 def read_stream(spark: SparkSession, like: DataFrame, path: str, files: int = 1000) -> DataFrame:
     """A file stream of the same schema as the batch table `like`; `path` may be a glob."""
@@ -46,9 +47,8 @@ def season_states(stream: DataFrame, entity: str, period: str, target: str) -> D
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for a drained stream in the shared one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="priorkit-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a drained stream in the shared one; an error on a cluster that names none."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_end(stream: DataFrame, spark: SparkSession) -> DataFrame:

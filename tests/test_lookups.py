@@ -165,3 +165,20 @@ def test_hidden_state_rounds_equal_enumeration(spark):
     a, m, b, told = hidden.fit(spark.createDataFrame(rows_, "i int, o array<int>"), "o", *HIDDEN_START, rounds=6, sticky=0.0)
     assert all(y > x - 1.0 for x, y in zip(told, told[1:])) and told[-1] > told[0]
     assert b[0, 2] < b[1, 2] and m[0, 0] > 0.5 and abs(a.sum() - 1) < 1e-12
+
+
+def test_hidden_states_of_missing_periods(spark):
+    from priorkit.operators import hidden
+
+    start, move, show = (np.array(x) for x in HIDDEN_START)
+    total, shown = 0.0, np.zeros((2, 3))
+    for path in product(range(2), repeat=4):
+        p = start[path[0]] * math.prod(move[a, b] for a, b in zip(path, path[1:])) * show[path[0], 0] * show[path[3], 2]
+        total += p
+        shown[path[0], 0] += p
+        shown[path[3], 2] += p
+    got = hidden.expected_counts([0, None, None, 2], start, move, show)
+    assert np.allclose(got[2], shown / total) and abs(got[3] - math.log(total)) < 1e-12
+    rows_ = [(1, [0, None, 2]), (2, [None]), (3, []), (4, None), (5, [1, 1, None])]
+    told = hidden.fit(spark.createDataFrame(rows_, "i int, o array<int>"), "o", *HIDDEN_START, rounds=3)[3]
+    assert all(math.isfinite(x) for x in told)

@@ -208,3 +208,30 @@ def test_prediction_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="out of range"):
         io.load_candidates(spark, str(tmp_path / "stored"), 2024).collect()
     assert io.load_candidates(spark, str(tmp_path / "stored"), 2023).count() == 0
+
+
+def test_alike_classes_have_a_row_for_each_key(spark):
+    rows = spark.createDataFrame([(i, 1, "1,2") for i in range(2000)] + [(5000, 1, "1,2,3"), (5001, 1, "9"), (5002, None, "9"), (None, 1, "1,2")], "k int, g int, s string")
+    pairs, members = resolve.alike_classes(rows, ["g"], "k", "s", 0.7)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 0, 5000, 0.75)]
+    got = {r.key: r["class"] for r in members.collect()}
+    assert len(got) == 2002 and {got[i] for i in range(2000)} == {0} and got[5000] == 5000 and got[5001] == 5001
+
+
+def test_two_way_biases_of_any_number_of_contexts(spark):
+    rng = np.random.default_rng(8)
+    cells = [(int(a), int(b), float(s), int(n)) for a, b, s, n in zip(rng.integers(0, 30, 900), rng.integers(0, 400, 900), rng.normal(size=900), rng.integers(1, 9, 900))]
+    got_a, got_b = linalg.two_way_bias(spark.createDataFrame(cells, "a int, b int, s double, n int"), "a", "b", "s", "n", 3.0, 2.0, 3)
+    bias_b = {c[1]: 0.0 for c in cells}
+
+    def solved(own, other, k, values):
+        out = {}
+        for key in {c[own] for c in cells}:
+            mine = [c for c in cells if c[own] == key]
+            out[key] = sum(c[2] - c[3] * values[c[other]] for c in mine) / (sum(c[3] for c in mine) + k)
+        return out
+
+    for _ in range(3):
+        bias_b = solved(1, 0, 2.0, solved(0, 1, 3.0, bias_b))
+    assert all(abs(r.bias_b - bias_b[r.b]) < 1e-9 for r in got_b.collect())
+    assert all(abs(r.bias_a - v) < 1e-9 for r, v in zip(got_a.orderBy("a").collect(), [x for _, x in sorted(solved(0, 1, 3.0, bias_b).items())]))

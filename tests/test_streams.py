@@ -36,3 +36,19 @@ def test_gap_sessions(spark, tmp_path):
     like = spark.read.parquet(str(tmp_path / "in"))
     got = streams.run_to_end(streams.gap_sessions(streams.read_stream(spark, like, str(tmp_path / "in")), "u", "ts", "6 hours", "1 hour"), spark)
     assert sorted(r.n for r in got.where(F.col("start") < "2024-01-10").collect()) == [2, 3]
+
+
+def test_a_cluster_has_to_name_the_shared_folder():
+    import pytest
+
+    from priorkit.sources.io import shared_folder
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)

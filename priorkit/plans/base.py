@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import table
+from ..sources.io import BROADCAST_ROWS, small, table  # noqa: F401
 
 PLACES = 6
 
@@ -24,12 +24,3 @@ FACTS = "f AS (SELECT *, year(l_shipdate)::INTEGER AS season, (l_returnflag = 'R
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Sums of doubles depend on their order in the last digits; results are compared after rounding."""
     return df.withColumns({c: F.round(c, PLACES) for c in columns})
-
-
-#: A side is broadcast only when a count shows at most so many narrow rows.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `bound` rows, by a count that stops beyond them; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

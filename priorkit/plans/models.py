@@ -149,49 +149,58 @@ def ridge_residual(spark, d):
     return spark.createDataFrame([(c, round(float(b), 9)) for c, b in zip(FEATURES, beta)], "feature string, coefficient double")
 
 
-def _assembled(spark, d):
+#: Years up to this one are fitted on, later ones scored.
+LAST_FITTED = 1999
+
+
+def weighted_rows(cells: DataFrame) -> DataFrame:
+    """Two rows of each cell of fields: its hits under the label 1, the others under 0, as weights; the fields as a vector."""
     from pyspark.ml.feature import VectorAssembler
 
-    f = facts(spark, d, *FEATURES, "l_extendedprice", "l_orderkey").withColumn("label", (F.col("l_extendedprice") / F.col("l_quantity") > 1000).cast("double"))
-    split = F.when(F.col("season") <= 1999, "train").otherwise("test")
-    return VectorAssembler(inputCols=[*FEATURES, "l_extendedprice"], outputCol="features").transform(f).select("season", split.alias("part"), "label", "features")
+    from .learners import FIELDS
 
+    each = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("hits").alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("hits")).alias("weight"))))
+    rows = cells.select("season", "offset", *FIELDS, each.alias("e")).select("season", "offset", *FIELDS, "e.*").where("weight > 0")
+    return VectorAssembler(inputCols=list(FIELDS), outputCol="features").transform(rows)
 
-def _score(model, data) -> DataFrame:
+
+def scored_later(estimator, cells: DataFrame) -> DataFrame:
+    """Of each year after LAST_FITTED: lines, Brier score of the earlier rate and of the model fitted on the years up to it, and the rate."""
     from pyspark.ml.functions import vector_to_array
 
-    p = model.transform(data.where("part = 'test'")).withColumn("p", vector_to_array("probability")[1])
-    return p.groupBy("season").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("label"), 2)), 4).alias("brier"), F.round(F.avg("label"), 4).alias("rate"))
+    rows = weighted_rows(cells)
+    model = estimator.setWeightCol("weight").fit(rows.where(F.col("season") <= LAST_FITTED))
+    p = model.transform(rows.where(F.col("season") > LAST_FITTED)).withColumn("p", vector_to_array("probability")[1])
+    mean = lambda v: F.sum(F.col("weight") * v) / F.sum("weight")
+    loss = lambda q: F.round(mean(F.pow(q - F.col("label"), 2)), 4)
+    return p.groupBy("season").agg(F.sum("weight").cast("long").alias("n"), loss(X.expit(F.col("offset"))).alias("base"), loss(F.col("p")).alias("brier"), F.round(mean(F.col("label")), 4).alias("rate"))
 
 
 def logistic(spark, d):
+    """A logistic fit of the outcome on the binned fields of a line."""
     from pyspark.ml.classification import LogisticRegression
 
-    data = _assembled(spark, d)
-    return _score(LogisticRegression(maxIter=50, regParam=1e-3).fit(data.where("part = 'train'")), data)
+    from .learners import field_cells
+
+    return scored_later(LogisticRegression(maxIter=50, regParam=1e-3), field_cells(spark, d))
 
 
 def boosted_trees(spark, d):
+    """Boosted trees of the outcome on the binned fields of a line."""
     from pyspark.ml.classification import GBTClassifier
 
-    data = _assembled(spark, d)
-    return _score(GBTClassifier(maxIter=10, maxDepth=4, seed=7).fit(data.where("part = 'train'")), data)
+    from .learners import field_cells
+
+    return scored_later(GBTClassifier(maxIter=10, maxDepth=4, seed=7), field_cells(spark, d))
 
 
 def random_forest(spark, d):
+    """A random forest of the outcome on the binned fields of a line."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    data = _assembled(spark, d)
-    return _score(RandomForestClassifier(numTrees=20, maxDepth=6, seed=7).fit(data.where("part = 'train'")), data)
-
-
-def factorisation_machine(spark, d):
-    from pyspark.ml.classification import FMClassifier
-    from pyspark.ml.feature import StandardScaler
+    from .learners import field_cells
 
-    data = _assembled(spark, d)
-    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data.where("part = 'train'")).transform(data).drop("features").withColumnRenamed("scaled", "features")
-    return _score(FMClassifier(factorSize=4, maxIter=40, stepSize=0.05, seed=7).fit(scaled.where("part = 'train'")), scaled)
+    return scored_later(RandomForestClassifier(numTrees=20, maxDepth=6, seed=7), field_cells(spark, d))
 
 
 def isotonic_bins(spark, d):
@@ -241,7 +250,7 @@ SELECT label, g AS assigned, count(*)::BIGINT AS n FROM r WHERE r = 1 GROUP BY 1
 QUERIES = {
     "effect_matrix": effect_cells, "lowrank_context": lowrank_context, "context_gram": context_gram, "two_way_bias": two_way_bias, "error_gram": error_gram,
     "frank_wolfe_blend": frank_wolfe_blend, "additive_sweep": additive_sweep, "block_sums": block_sums, "block_bootstrap": block_bootstrap, "ridge_residual": ridge_residual,
-    "logistic": logistic, "boosted_trees": boosted_trees, "random_forest": random_forest, "factorisation_machine": factorisation_machine, "isotonic_bins": isotonic_bins,
+    "logistic": logistic, "boosted_trees": boosted_trees, "random_forest": random_forest, "isotonic_bins": isotonic_bins,
     "kmeans_archetypes": kmeans_archetypes, "archetype_assignment": archetype_assignment,
 }
 ORACLES = {

@@ -5,10 +5,11 @@ SentencePiece. The pieces are those of a public vocabulary and stay as they are;
 their scores are log probabilities in whole millionths, so that sums are exact,
 estimated from the documents: starting from a Zipf law of their rank, ROUNDS times the
 best segmentation of every distinct pre-token is counted with the number of times the
-pre-token occurs. The distinct pre-tokens of a task are walked in sorted order, which
-is the depth-first order of their trie: the best scores of a prefix are computed once
-and kept on the path while longer words share it. At a terminal node the number of
-tokens of the best segmentation is stored.
+pre-token occurs. The distinct pre-tokens of the corpus are dealt to ranges and walked in
+sorted order, which is the depth-first order of their trie: the best scores of a prefix are
+computed once for each range and kept on the path while longer words share it, so no node of the
+trie is ever held but those of the path. At a terminal node the number of tokens of the best segmentation is
+stored. The pass that counts the tokens of documents walks the pre-tokens that are new to its task in the same way.
 
 Of segmentations with equal scores the one with fewer tokens counts.
 """
@@ -17,9 +18,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from copy import copy
 from functools import cached_property
+from itertools import tee
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,12 +65,16 @@ class Unigram:
         out.update(self.score)
         return out
 
-    def segmentations(self, words: list[str]) -> Iterator[tuple[str, int, list[int]]]:
-        """(word, tokens of its best segmentation, starts) of each of the distinct `words`; starts[end] is where the last piece of the best segmentation up to `end` begins."""
+    def segmentations(self, words: Iterable[str]) -> Iterator[tuple[str, int, list[int], int]]:
+        """(word, tokens of its best segmentation, starts, new nodes) of each of the distinct `words`, which come in sorted order.
+
+        starts[end] is where the last piece of the best segmentation up to `end` begins. The nodes of a prefix that the
+        word before has too are not computed again.
+        """
         find, unknown = self.endings.get, self.unknown
         score, tokens, starts = [0], [0], [0]  # the best of each node from the root to here
         before = ""
-        for w in sorted(words):
+        for w in words:
             shared = 0
             for a, b in zip(before, w):
                 if a != b:
@@ -96,25 +102,27 @@ class Unigram:
                 tokens.append(n)
                 starts.append(at)
             before = w
-            yield w, tokens[len(w)], starts
+            yield w, tokens[len(w)], starts, len(w) - shared
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "endings"}  # built again where it is used
 
     def counts(self, words: list[str]) -> dict[str, int]:
         """Tokens of the best segmentation of each of the distinct `words`."""
-        return {w: n for w, n, _ in self.segmentations(words)}
+        return {w: n for w, n, _, _ in self.segmentations(sorted(words))}
 
-    def piece_counts(self, words: dict[str, int]) -> Counter:
-        """How often each piece stands in the best segmentations of `words`, which occur so many times."""
+    def piece_counts(self, words: Iterable[tuple[str, int]]) -> tuple[Counter, int, int]:
+        """(pieces, nodes, characters): how often each piece stands in the best segmentations of the sorted `words`, which occur so many times; nodes of their trie, and the sum of their lengths."""
         found: Counter = Counter()
-        for w, _, starts in self.segmentations(list(words)):
-            end, times = len(w), words[w]
+        each, times = tee(words)
+        nodes = characters = 0
+        for (w, _, starts, new), (_, n) in zip(self.segmentations(w for w, _ in each), times):
+            nodes, characters, end = nodes + new, characters + len(w), len(w)
             while end:
                 start = starts[end]
-                found[w[start:end]] += times
+                found[w[start:end]] += n
                 end = start
-        return found
+        return found, nodes, characters
 
 
 def pretokens(text: str) -> list[str]:
@@ -138,23 +146,36 @@ def pretoken_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def sorted_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of all texts, in ranges of words that are sorted each: a prefix is in one range, or at the border of two. The order is that of UTF-8 bytes, which is that of code points."""
+    return pretoken_counts(docs).repartitionByRange("word").sortWithinPartitions("word")
+
+
+def piece_sums(words: DataFrame, model: Unigram) -> tuple[dict[str, int], int, int]:
+    """(pieces, nodes, characters) over all words of sorted_words: one pass over the trie of each range, whatever the batches."""
+
+    def use(batches):
+        rows = ((w, n) for pdf in batches for w, n in zip(pdf["word"], pdf["n"]))
+        found, nodes, characters = model.piece_counts(rows)
+        yield pd.DataFrame([(None, nodes, characters), *((p, n, 0) for p, n in found.items() if p in model.score)], columns=["piece", "n", "characters"])
+
+    sums = words.mapInPandas(use, "piece string, n long, characters long").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("characters").alias("c")).collect()  # as many as the vocabulary has
+    trie = next((r for r in sums if r["piece"] is None), None)
+    return {r["piece"]: r["n"] for r in sums if r["piece"] is not None}, trie["n"] if trie else 0, trie["c"] if trie else 0
+
+
 def fitted(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Unigram:
     """The vocabulary's pieces with scores from all texts of `docs`; no text leaves the scores of the ranks."""
     model = Unigram(path or model_path())
     scope = Scope(docs.sparkSession)
-    words = scope(pretoken_counts(docs))
-    for _ in range(rounds):
-
-        def use(batches, model=model):
-            found: Counter = Counter()
-            for pdf in batches:
-                found.update(model.piece_counts(dict(zip(pdf["word"], pdf["n"]))))
-            yield pd.DataFrame([x for x in found.items() if x[0] in model.score], columns=["piece", "n"])
-
-        found = words.mapInPandas(use, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
-        if found:
-            model = model.reestimated({r["piece"]: r["n"] for r in found})
-    scope.close()
+    try:
+        words = scope(sorted_words(docs))
+        for _ in range(rounds):
+            found, _, _ = piece_sums(words, model)
+            if found:
+                model = model.reestimated(found)
+    finally:
+        scope.close()
     return model
 
 

@@ -114,6 +114,29 @@ def test_scores_and_document_sums_equal_plain_estimation(make):
     assert token_counts.count_tokens(make([])).count() == 0
 
 
+def test_shared_prefixes_are_computed_once_in_a_range(make, spark):
+    texts = random_texts(300, "abcab é日 ", 200, 11)
+    docs = make([(i, t) for i, t in enumerate(texts)] + [(None, None), (1, ""), (9999, "x" * 30_000)])
+    words = {r.word: r.n for r in token_counts.pretoken_counts(docs).collect()}
+    assert words == Counter(w for t in texts + ["x" * 30_000] for w in token_counts.pretokens(t))
+    model = token_counts.Unigram(bpe.model_path())
+    few = sorted(w for w in words if len(w) < 100)
+    prefixes = len({w[:k] for w in few for k in range(1, len(w) + 1)})
+    found, nodes, characters = model.piece_counts((w, words[w]) for w in few)
+    assert nodes == prefixes < characters == sum(map(len, few))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # ranges of many batches
+    try:
+        table_ = token_counts.sorted_words(docs.where("doc_id IS NULL OR doc_id != 9999"))
+        sums, nodes, characters = token_counts.piece_sums(table_, model)
+        ranges = table_.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    plain, _, _ = model.piece_counts((w, words[w]) for w in sorted(words) if len(w) < 100)
+    assert sums == {k: v for k, v in plain.items() if k in model.score}
+    longest = max(map(len, few))
+    assert prefixes <= nodes <= prefixes + ranges * longest and characters == sum(map(len, few))
+
+
 def plain_rules(t):
     t = t or ""
     w = [x for x in re.split(f"[{SPACES}]+", t) if x]

@@ -13,7 +13,7 @@ from .models import effect_matrix
 
 RANK = 3
 #: Singular values are right to about the square of this share of the largest.
-TOLERANCE = 1e-3
+TOLERANCE = 1e-2
 #: Directions beyond the wanted ones that the iteration carries.
 EXTRA = 9
 

@@ -103,6 +103,20 @@ def frank_wolfe_blend(spark, d):
     return spark.createDataFrame([(n, round(float(x), 6), round(float(w @ g @ w), 9), float(gap) < 1e-6) for n, x in zip(NAMES, w)], "candidate string, weight double, brier double, certified boolean")
 
 
+def minimax_blend(spark, d):
+    """Weights of the four candidates on the simplex for each year, with the least Brier score in the worst of the years before it; that score, how far it may be from the least, and this year's."""
+    p = {"p1": F.lit(0.5), "p2": F.col("rate"), "p3": moved(50.0), "p4": moved(800.0)}
+    product = lambda a, b: F.col("hits") * (p[a] - 1) * (p[b] - 1) + (F.col("n") - F.col("hits")) * p[a] * p[b]
+    sums = prior_cells(spark, d).groupBy("season").agg(*[(F.sum(product(a, b)) / F.sum("n")).alias(f"{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[i:]])
+    grams = {r["season"]: np.array([[r[f"{min(a, b)}_{max(a, b)}"] for b in NAMES] for a in NAMES]) for r in sums.collect() if r["season"] is not None}  # a row for each year
+    rows = []
+    for year in sorted(grams)[1:]:
+        w, worst, gap = linalg.minimax_simplex(np.stack([g for y, g in grams.items() if y < year]))
+        rows.append((year, *map(float, w), worst, gap, float(w @ grams[year] @ w)))
+    out = spark.createDataFrame(rows, "season int, " + ", ".join(f"{n} double" for n in NAMES) + ", worst double, gap double, brier double")
+    return rounded(out, *NAMES, "worst", "brier").withColumn("gap", F.round("gap", 9))
+
+
 def additive_sweep(spark, d):
     """Brier scores of the base moved by a few weights of one correction, in one aggregation."""
     p = predictions(spark, d)
@@ -249,7 +263,7 @@ SELECT label, g AS assigned, count(*)::BIGINT AS n FROM r WHERE r = 1 GROUP BY 1
 
 QUERIES = {
     "effect_matrix": effect_cells, "lowrank_context": lowrank_context, "context_gram": context_gram, "two_way_bias": two_way_bias, "error_gram": error_gram,
-    "frank_wolfe_blend": frank_wolfe_blend, "additive_sweep": additive_sweep, "block_sums": block_sums, "block_bootstrap": block_bootstrap, "ridge_residual": ridge_residual,
+    "frank_wolfe_blend": frank_wolfe_blend, "minimax_blend": minimax_blend, "additive_sweep": additive_sweep, "block_sums": block_sums, "block_bootstrap": block_bootstrap, "ridge_residual": ridge_residual,
     "logistic": logistic, "boosted_trees": boosted_trees, "random_forest": random_forest, "isotonic_bins": isotonic_bins,
     "kmeans_archetypes": kmeans_archetypes, "archetype_assignment": archetype_assignment,
 }

@@ -235,3 +235,25 @@ def test_two_way_biases_of_any_number_of_contexts(spark):
         bias_b = solved(1, 0, 2.0, solved(0, 1, 3.0, bias_b))
     assert all(abs(r.bias_b - bias_b[r.b]) < 1e-9 for r in got_b.collect())
     assert all(abs(r.bias_a - v) < 1e-9 for r, v in zip(got_a.orderBy("a").collect(), [x for _, x in sorted(solved(0, 1, 3.0, bias_b).items())]))
+
+
+def test_minimax_weights_equal_a_grid_with_a_certified_gap():
+    rng = np.random.default_rng(13)
+    for years in (1, 2, 5):
+        e = rng.normal(size=(years, 50, 3)) * rng.uniform(0.5, 1.5, (years, 1, 3))
+        grams = np.einsum("yni,ynj->yij", e, e) / 50
+        w, worst, gap = linalg.minimax_simplex(grams)
+        steps = [np.array(p) / 60 for p in itertools.product(range(61), repeat=3) if sum(p) == 60]
+        best = min(float((grams @ p @ p).max()) for p in steps)
+        assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all() and 0 <= gap < 1e-6
+        assert worst <= best + 1e-9 and best <= worst + 0.01 and abs(worst - (grams @ w @ w).max()) < 1e-12
+    near = 0.22 + 1e-4 * rng.normal(size=(4, 1, 1)) + np.zeros((4, 4, 4))  # candidates that hardly differ
+    assert linalg.minimax_simplex(near + 1e-5 * np.eye(4))[2] < 1e-6
+
+
+def test_minimax_blend_of_every_later_year(spark):
+    from priorkit.plans import models
+
+    rows = models.minimax_blend(spark, "/root/testdata/sf0.001").collect()
+    assert {r.season for r in rows} == set(range(1996, 2002))
+    assert all(0 <= r.gap < 1e-6 and abs(r.p1 + r.p2 + r.p3 + r.p4 - 1) < 1e-5 for r in rows)

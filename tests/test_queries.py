@@ -5,9 +5,12 @@ import pandas as pd
 import pytest
 
 from priorkit import registry
+from priorkit.plans import learners, regimes
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Run whole by tests of their own.
+ELSEWHERE = {*regimes.QUERIES, *learners.QUERIES, "pair_svd", "minimax_blend"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +32,7 @@ def rows(df):
     return list(df.columns), sorted(tuple(map(text, r)) for r in df.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - ELSEWHERE))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     if name in registry.ORACLES:

@@ -105,3 +105,12 @@ def test_empty_cells_give_single_leaves(spark):
     assert [n["leaf"] for n in nodes] == [0.0, 0.0]
     cells = spark.createDataFrame(made(10), SCHEMA)
     assert trees.scored(cells, nodes, FIELDS, {1998: 2}).agg(F.sum("shift")).first()[0] == 0.0
+
+
+def test_queries_cover_the_later_years(spark):
+    from priorkit.plans import learners
+    from tests.conftest import SF
+
+    boosted = learners.residual_boosting(spark, SF).collect()
+    assert {r.season for r in boosted} == set(range(1996, 2002)) and all(0 <= r.trees <= learners.ROUNDS for r in boosted)
+    assert all(r.equal and r.nodes > r.leaves for r in learners.stored_ensemble(spark, SF).collect())

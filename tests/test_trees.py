@@ -113,4 +113,4 @@ def test_queries_cover_the_later_years(spark):
 
     boosted = learners.residual_boosting(spark, SF).collect()
     assert {r.season for r in boosted} == set(range(1996, 2002)) and all(0 <= r.trees <= learners.ROUNDS for r in boosted)
-    assert all(r.equal and r.nodes > r.leaves for r in learners.stored_ensemble(spark, SF).collect())
+    assert all(r.equal and r.nodes >= r.leaves for r in learners.stored_ensemble(spark, SF).collect())

@@ -107,7 +107,7 @@ class Unigram:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "endings"}  # built again where it is used
 
-    def counts(self, words: list[str]) -> dict[str, int]:
+    def counts(self, words: Iterable[str]) -> dict[str, int]:
         """Tokens of the best segmentation of each of the distinct `words`."""
         return {w: n for w, n, _, _ in self.segmentations(sorted(words))}
 
@@ -125,7 +125,7 @@ class Unigram:
         return found, nodes, characters
 
 
-def pretokens(text: str) -> list[str]:
+def pretokens(text: str | None) -> list[str]:
     return _SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
@@ -187,15 +187,12 @@ def count_tokens(docs: DataFrame, model: Unigram | None = None) -> DataFrame:
     def work(batches):
         known: dict[str, int] = {}
         for pdf in batches:
-            pre, tokens = [], []
-            for _, run in chunks(pdf["text"].tolist()):
-                parts = [pretokens(t) for t in run]
-                if len(known) > MOST_CACHED:
-                    known.clear()
-                known.update(model.counts(list({w for p in parts for w in p if w not in known})))
-                for p in parts:
-                    pre.append(len(p))
-                    tokens.append(sum(map(known.__getitem__, p)))
+            parts = [pretokens(t) for t in pdf["text"]]  # a batch is bounded in bytes
+            if len(known) > MOST_CACHED:
+                known.clear()
+            known.update(model.counts({w for p in parts for w in p if w not in known}))
+            pre = [len(p) for p in parts]
+            tokens = [sum(map(known.__getitem__, p)) for p in parts]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_pretokens": pre, "n_tokens": tokens})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -16,6 +16,8 @@ RANK = 3
 TOLERANCE = 1e-2
 #: Directions beyond the wanted ones that the iteration carries.
 EXTRA = 9
+#: At most so many rounds; the residual in the result says how far they came.
+ROUNDS = 12
 
 
 def pair_cells(spark, d) -> DataFrame:
@@ -33,7 +35,7 @@ def pair_svd(spark, d):
     """Of each supplier: its pairs, their squares, what the RANK leading directions of suppliers x parts leave of them; the singular values, and how far the iteration is from them."""
     stage = Stage(spark)  # the result reads it
     cells = stage(pair_cells(spark, d))
-    left, sigma, right, residual = factors.truncated_svd(cells, "l_suppkey", "l_partkey", RANK, stage, tolerance=TOLERANCE, extra=EXTRA)
+    left, sigma, right, residual = factors.truncated_svd(cells, "l_suppkey", "l_partkey", RANK, stage, rounds=ROUNDS, tolerance=TOLERANCE, extra=EXTRA)
     fit = factors.fitted_products(cells, left, right, "l_suppkey", "l_partkey", sigma)
     out = fit.groupBy("l_suppkey").agg(F.count("*").alias("cells"), F.sum(F.col("value") * F.col("value")).alias("squares"), F.sum(F.pow(F.col("value") - F.col("fit"), 2)).alias("rest"))
     return rounded(told(spark, out, sigma, residual), "squares", "rest", *[f"sigma{i}" for i in range(RANK)])
@@ -46,7 +48,7 @@ def interaction_svd(spark, d):
     a, b = linalg.two_way_bias(cells, "l_suppkey", "context", "s", "n", 200.0, 50.0, 3)
     rest = cells.join(small(a), "l_suppkey").join(small(b), "context")
     rest = stage(rest.select("l_suppkey", "context", "n", (F.col("s") / F.col("n")).alias("mean"), ((F.col("s") - F.col("n") * (F.col("bias_a") + F.col("bias_b"))) / (F.col("n") + 20.0)).alias("value")))
-    left, sigma, right, residual = factors.truncated_svd(rest.select("l_suppkey", "context", "value"), "l_suppkey", "context", 2, stage, tolerance=TOLERANCE, extra=EXTRA)
+    left, sigma, right, residual = factors.truncated_svd(rest.select("l_suppkey", "context", "value"), "l_suppkey", "context", 2, stage, rounds=ROUNDS, tolerance=TOLERANCE, extra=EXTRA)
     fit = factors.fitted_products(rest, left, right, "l_suppkey", "context", sigma)
     square = lambda c: F.sum(F.col("n") * F.pow(c, 2))
     out = fit.groupBy("context").agg(F.sum("n").alias("n"), square(F.col("mean")).alias("squares"), F.sum(F.pow("value", 2)).alias("interaction"), F.sum(F.pow(F.col("value") - F.col("fit"), 2)).alias("rest"))

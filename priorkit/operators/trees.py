@@ -7,7 +7,7 @@ nodes and codes, however many cells. Node tables are small: trees times nodes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -81,35 +81,50 @@ def codes_of(pdf: pd.DataFrame, fields: Sequence[str]) -> np.ndarray:
     return pdf[list(fields)].to_numpy(float)
 
 
+def pile(total: np.ndarray, x: np.ndarray, node: np.ndarray, values: np.ndarray, sizes: Sequence[int]) -> None:
+    """Add the rows' `values` to `total` (nodes, codes, 2) by node and by the code of each field; rows of a negative node are left out."""
+    on, start = node >= 0, 0
+    for k, s in enumerate(sizes):
+        code = np.where(np.isnan(x[:, k]) | (x[:, k] < 0) | (x[:, k] >= s), s, x[:, k]).astype(np.int64)
+        np.add.at(total, (node[on], start + code[on]), values[on])
+        start += s + 1
+
+
+def node_of(tree: list[dict], fields: Sequence[str], x: np.ndarray) -> np.ndarray:
+    """Slot of the open node each row reaches in a growing tree."""
+    return Ensemble(tree, fields).contributions(x)[:, 0].astype(np.int64) if tree else np.zeros(len(x), np.int64)
+
+
+def added_up(parts: DataFrame, key: str, keys: Sequence, width: int, sizes: Sequence[int]) -> dict:
+    """{key: (nodes, codes, 2)}: the sums of the tasks' histograms, rows of (`key`: place in `keys`, i, v)."""
+    wide = sum(s + 1 for s in sizes)
+    out = np.zeros((len(keys), width * wide * 2))
+    for r in parts.where("v != 0").groupBy(key, "i").agg(F.sum("v").alias("v")).toPandas().itertuples(index=False):
+        out[int(r[0]), r[1]] = r[2]
+    return {k: v.reshape(width, wide, 2) for k, v in zip(keys, out)}
+
+
 def histograms(cells: DataFrame, fields: Sequence[str], sizes: Sequence[int], period: str, growing: dict[int, list[dict]], ready: list[dict], depth: int) -> dict[int, np.ndarray]:
     """{fold: (nodes, codes, 2)}: lines and residuals, less what `ready` explains, by the node of the growing tree and the code of each field; the last code of a field is missing."""
-    starts = np.concatenate([[0], np.cumsum([s + 1 for s in sizes])])
-    width, wide = 2**depth, int(starts[-1])
-    frozen = ensembles(ready, fields, list(growing))
+    width, folds = 2**depth, list(growing)
+    frozen = ensembles(ready, fields, folds)
 
     def work(batches):
-        total = {f: np.zeros((width, wide, 2)) for f in growing}
+        total = np.zeros((len(folds), width, sum(s + 1 for s in sizes), 2))
         for pdf in batches:
             x, when = codes_of(pdf, fields), pdf[period].to_numpy(float)
             n, rest = pdf["n"].to_numpy(float), pdf["rest"].to_numpy(float)
-            for f, tree in growing.items():
+            for i, f in enumerate(folds):
                 seen = when < f
                 if not seen.any():
                     continue
                 y = x[seen]
                 left = rest[seen] - n[seen] * frozen[f].contributions(y).sum(axis=1)
-                node = Ensemble(tree, fields).contributions(y)[:, 0].astype(np.int64) if tree else np.zeros(len(y), np.int64)
-                on = node >= 0
-                for k, s in enumerate(sizes):
-                    code = np.where(np.isnan(y[:, k]) | (y[:, k] < 0) | (y[:, k] >= s), s, y[:, k]).astype(np.int64)
-                    np.add.at(total[f], (node[on], starts[k] + code[on]), np.column_stack([n[seen], left])[on])
-        for f, v in total.items():
-            yield pd.DataFrame({"fold": f, "i": np.arange(v.size), "v": v.ravel()})
+                pile(total[i], y, node_of(growing[f], fields, y), np.column_stack([n[seen], left]), sizes)
+        for i, v in enumerate(total):
+            yield pd.DataFrame({"fold": i, "i": np.arange(v.size), "v": v.ravel()})
 
-    out = {f: np.zeros(width * wide * 2) for f in growing}
-    for r in cells.mapInPandas(work, "fold int, i int, v double").where("v != 0").groupBy("fold", "i").agg(F.sum("v").alias("v")).toPandas().itertuples():
-        out[r.fold][r.i] = r.v
-    return {f: v.reshape(width, wide, 2) for f, v in out.items()}
+    return added_up(cells.mapInPandas(work, "fold int, i int, v double"), "fold", folds, width, sizes)
 
 
 def best_split(h: np.ndarray, sizes: Sequence[int], ridge: float, least: float) -> tuple[float, int, float, bool] | None:
@@ -130,6 +145,34 @@ def best_split(h: np.ndarray, sizes: Sequence[int], ridge: float, least: float)
     return found
 
 
+def grow(sums: Callable[[dict, int], dict], keys: Sequence, number: int, fields: Sequence[str], sizes: Sequence[int], depth: int, rate: float, ridge: float, least: float) -> list[dict]:
+    """Nodes of one tree for each key, level by level; `sums` gives the histograms of the growing trees at a level."""
+    trees: dict = {f: [] for f in keys}
+    growing: dict = {f: [] for f in keys}
+    open_: dict = {f: {0: 0} for f in keys}  # leaf of the growing tree: its node
+    for level in range(depth + 1):
+        found = sums(growing, level)
+        for f in keys:
+            place: dict[int, int] = {}
+            for slot, node in open_[f].items():
+                h = found[f][slot]
+                lines, left = h[: sizes[0] + 1].sum(axis=0)  # every field holds all lines of the node
+                split = best_split(h, sizes, ridge, least) if level < depth else None
+                if split is None:
+                    trees[f].append({"fold": f, "tree": number, "node": node, "leaf": float(rate * left / (lines + ridge))})
+                    continue
+                _, k, threshold, side = split
+                trees[f].append({"fold": f, "tree": number, "node": node, "feature": fields[k], "threshold": threshold, "missing_left": side, "left": 2 * node + 1, "right": 2 * node + 2})
+                place |= {len(place): 2 * node + 1, len(place) + 1: 2 * node + 2}
+            open_[f] = place
+            # the tree so far, with leaves that name the slot of an open node, or CLOSED
+            growing[f] = [n if "leaf" not in n else {**n, "leaf": CLOSED} for n in trees[f]]
+            growing[f] += [{"fold": f, "tree": number, "node": node, "leaf": float(slot)} for slot, node in place.items()]
+        if not any(open_.values()):
+            break
+    return [n for f in keys for n in trees[f]]
+
+
 def boost(cells: DataFrame, fields: Sequence[str], sizes: Sequence[int], folds: Sequence[int], period: str = "season", rounds: int = 10, depth: int = 2, rate: float = 0.3, ridge: float = 200.0, least: float = 20.0) -> list[dict]:
     """Nodes of `rounds` trees for each fold, each fitted to the residuals that those before leave in the cells of periods before the fold.
 
@@ -138,32 +181,9 @@ def boost(cells: DataFrame, fields: Sequence[str], sizes: Sequence[int], folds:
     """
     cells = cells.select(period, *fields, F.col("n").cast("double"), F.col("rest").cast("double"))
     ready: list[dict] = []
-    first = np.concatenate([[0], np.cumsum([s + 1 for s in sizes])])
     for t in range(rounds):
-        trees: dict[int, list[dict]] = {f: [] for f in folds}
-        growing: dict[int, list[dict]] = {f: [] for f in folds}
-        open_: dict[int, dict[int, int]] = {f: {0: 0} for f in folds}  # leaf of the growing tree: its node
-        for level in range(depth + 1):
-            sums = histograms(cells, fields, sizes, period, growing, ready, level)
-            for f in folds:
-                place: dict[int, int] = {}
-                for slot, node in open_[f].items():
-                    h = sums[f][slot]
-                    lines, left = h[first[0] : first[1]].sum(axis=0)  # every field holds all lines of the node
-                    split = best_split(h, sizes, ridge, least) if level < depth else None
-                    if split is None:
-                        trees[f].append({"fold": f, "tree": t, "node": node, "leaf": float(rate * left / (lines + ridge))})
-                        continue
-                    _, k, threshold, side = split
-                    trees[f].append({"fold": f, "tree": t, "node": node, "feature": fields[k], "threshold": threshold, "missing_left": side, "left": 2 * node + 1, "right": 2 * node + 2})
-                    place |= {len(place): 2 * node + 1, len(place) + 1: 2 * node + 2}
-                open_[f] = place
-                # the tree so far, with leaves that name the slot of an open node, or CLOSED
-                growing[f] = [n if "leaf" not in n else {**n, "leaf": CLOSED} for n in trees[f]]
-                growing[f] += [{"fold": f, "tree": t, "node": node, "leaf": float(slot)} for slot, node in place.items()]
-            if not any(open_.values()):
-                break
-        ready += [n for f in folds for n in trees[f]]
+        sums = lambda growing, level: histograms(cells, fields, sizes, period, growing, ready, level)
+        ready += grow(sums, folds, t, fields, sizes, depth, rate, ridge, least)
     return ready
 
 

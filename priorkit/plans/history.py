@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -102,14 +102,17 @@ CATEGORY_SQL = f"""WITH {FACTS}, r AS (SELECT *, lead(l_orderkey) OVER (PARTITIO
 SELECT l_returnflag, CASE WHEN known THEN CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END END::BIGINT AS class, count(*)::BIGINT AS n FROM r GROUP BY 1, 2"""
 
 
-def taxonomy(spark, d):
-    """Five disjoint classes of a line by its flags."""
-    f = facts(spark, d, "l_discount", "l_tax")
-    label = (
+def joint_class() -> Column:
+    """Number of the line's class, by its flags."""
+    return (
         F.when((F.col("target") == 1) & (F.col("l_discount") >= 0.05), 0).when(F.col("target") == 1, 1)
         .when((F.col("l_returnflag") == "A") & (F.col("l_tax") > F.col("l_discount")), 2).when(F.col("l_returnflag") == "A", 3).otherwise(4)
     )
-    return f.groupBy("season", label.alias("class")).agg(F.count("*").alias("n"))
+
+
+def taxonomy(spark, d):
+    """Five disjoint classes of a line by its flags."""
+    return facts(spark, d, "l_discount", "l_tax").groupBy("season", joint_class().alias("class")).agg(F.count("*").alias("n"))
 
 
 TAXONOMY_SQL = f"""WITH {FACTS} SELECT season, (CASE WHEN target = 1 AND l_discount >= 0.05 THEN 0 WHEN target = 1 THEN 1 WHEN l_returnflag = 'A' AND l_tax > l_discount THEN 2 WHEN l_returnflag = 'A' THEN 3 ELSE 4 END)::INTEGER AS class,

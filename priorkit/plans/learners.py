@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -16,9 +16,10 @@ from .base import facts, rounded
 FIELDS = {"effect": 8, "number": 7, "status": 2, "quantity": 5, "discount": 4, "quarter": 4}
 
 
-def field_cells(spark, d) -> DataFrame:
-    """(season, FIELDS, n, hits, offset): all lines by their binned fields; the offset is the logit of the rate of earlier years."""
-    f = states.demeaned(facts(spark, d, "l_quantity", "l_discount"), "target", "residual")
+def field_cells(spark, d, counts: dict[str, Column] | None = None, *columns: str) -> DataFrame:
+    """(season, FIELDS, n, hits, offset): all lines by their binned fields; the offset is the logit of the rate of earlier years. With the sums of `counts`, over `columns` too."""
+    counts = counts or {}
+    f = states.demeaned(facts(spark, d, "l_quantity", "l_discount", *columns), "target", "residual")
     effect = states.prior_effects(f, ["l_suppkey"], F.col("residual"), 200.0, 3)
     rate = states.prior_rate(f, F.col("target"))
     j = f.join(effect.drop("n"), ["l_suppkey", "season"], "left")
@@ -26,7 +27,8 @@ def field_cells(spark, d) -> DataFrame:
         "effect": X.truncated_bin(F.coalesce("effect", F.lit(0.0)), -0.06, 0.015, 7), "number": F.col("l_linenumber") - 1, "status": (F.col("l_linestatus") == "O").cast("int"),
         "quantity": X.truncated_bin(F.col("l_quantity"), 1.0, 10.0, 4), "discount": X.truncated_bin(F.col("l_discount"), 0.0, 0.03, 3), "quarter": F.quarter("l_shipdate") - 1,
     }
-    cells = j.select("season", "target", *[c.alias(k) for k, c in codes.items()]).groupBy("season", *codes).agg(F.count("*").cast("double").alias("n"), F.sum("target").cast("double").alias("hits"))
+    sums = [F.sum(c).cast("double").alias(c) for c in counts]
+    cells = j.select("season", "target", *[c.alias(k) for k, c in codes.items()], *[c.cast("int").alias(k) for k, c in counts.items()]).groupBy("season", *codes).agg(F.count("*").cast("double").alias("n"), F.sum("target").cast("double").alias("hits"), *sums)
     return cells.join(F.broadcast(rate), "season").withColumn("offset", X.logit(F.col("rate"), 1e-3)).drop("rate")  # a row for each year
 
 
@@ -115,9 +117,10 @@ ROUNDS = 10
 
 
 def boosted_cells(spark, d, stage: Stage) -> tuple[DataFrame, list[int]]:
-    """Cells with `rest`, the hits beyond those the offset expects, and all years but the first."""
+    """Cells with `rest`, the hits beyond those the offset expects, of all years but the first, whose offset no earlier year gives; and these years."""
     cells = stage(field_cells(spark, d).withColumn("rest", F.col("hits") - F.col("n") * X.expit(F.col("offset"))))
-    return cells, years_of(cells)
+    years = years_of(cells)
+    return cells.where(F.col("season").isin(years)), years
 
 
 def shifted_losses(scored: DataFrame) -> DataFrame:

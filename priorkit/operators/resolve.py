@@ -30,11 +30,11 @@ def majority_mapping(pairs: DataFrame, a: str, b: str, least_rows: int, purity:
     return best.where((F.col("total") >= least_rows) & (share >= purity)).select(a, F.col("m.b").alias(b), (-F.col("m.neg")).alias("n"), share.alias("share"))
 
 
-def mutual_best(scored: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Pairs that are each other's best; ties go to the smaller key. With the margin to a's runner-up."""
-    wa, wb = Window.partitionBy(a).orderBy(F.desc(score), b), Window.partitionBy(b).orderBy(F.desc(score), a)
+def mutual_best(scored: DataFrame, a: str, b: str, score: str, within: Sequence[str] = ()) -> DataFrame:
+    """Pairs that are each other's best, in each block of `within`; ties go to the smaller key. With the margin to a's runner-up."""
+    wa, wb = Window.partitionBy(*within, a).orderBy(F.desc(score), b), Window.partitionBy(*within, b).orderBy(F.desc(score), a)
     ranked = scored.withColumns({"__ra": F.row_number().over(wa), "__rb": F.row_number().over(wb), "__next": F.lead(score).over(wa)})
-    return ranked.where("__ra = 1 AND __rb = 1").select(a, b, score, (F.col(score) - F.col("__next")).alias("margin"))
+    return ranked.where("__ra = 1 AND __rb = 1").select(*within, a, b, score, (F.col(score) - F.col("__next")).alias("margin"))
 
 
 def least_cost(cost: np.ndarray) -> np.ndarray:
@@ -122,6 +122,21 @@ def alike_classes(rows: DataFrame, block: Sequence[str], key: str, sequence: str
     return pairs.where("a < b"), members
 
 
+def _met_kinds(left: DataFrame, right: DataFrame, block: list[str], ratio: float) -> DataFrame:
+    """(block, kind_a, kind_b): kinds of either side of a block whose symbols allow the ratio."""
+    kinds = left.select("kind").union(right.select("kind")).distinct().withColumns({"n": F.length("kind"), "symbols": symbols_of(F.col("kind"))})
+    each = kinds.select("kind", "n", "symbols", F.explode("symbols").alias("symbol"))
+    often = each.groupBy("symbol").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("often", "symbol"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(ratio / (2 - ratio)) - 1e-9) + 1  # of n symbols a partner shares the others at least
+    prefix = each.join(often, "symbol").withColumn("rank", rank).where(F.col("rank") <= first)
+    sides = [held.select(*block, "kind").distinct().join(prefix, "kind") for held in (left, right)]
+    x, y = (side.select(*block, "symbol", F.col("kind").alias(f"kind_{k}"), F.col("n").alias(f"n_{k}"), F.col("symbols").alias(f"symbols_{k}")) for k, side in zip("ab", sides))
+    shared = 2 * F.size(F.array_intersect("symbols_a", "symbols_b"))
+    met = x.join(y, [*block, "symbol"]).where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(ratio / (2 - ratio)) - 1e-9)
+    return met.where(shared >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio) - 1e-9).select(*block, "kind_a", "kind_b").distinct()
+
+
 def _matched(rows: DataFrame, block: list[str], key: str, sequence: str, ratio: float) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes in both orders, as the matcher's ratio depends on it, and the members.
 
@@ -132,17 +147,7 @@ def _matched(rows: DataFrame, block: list[str], key: str, sequence: str, ratio:
     members = rows.select(*block, F.col(key).alias("key"), F.col(sequence).alias("s")).where("s IS NOT NULL AND key IS NOT NULL")
     members = members.withColumn("kind", F.array_join(F.array_sort(F.split("s", "")), ""))
     held = members.select(*block, "kind", "s").distinct()
-    kinds = held.select("kind").distinct().withColumns({"n": F.length("kind"), "symbols": symbols_of(F.col("kind"))})
-    each = kinds.select("kind", "n", "symbols", F.explode("symbols").alias("symbol"))
-    often = each.groupBy("symbol").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("often", "symbol"))
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(ratio / (2 - ratio)) - 1e-9) + 1  # of n symbols a partner shares the others at least
-    prefix = each.join(often, "symbol").withColumn("rank", rank).where(F.col("rank") <= first)
-    prefix = held.select(*block, "kind").distinct().join(prefix, "kind")
-    x, y = (prefix.select(*block, "symbol", F.col("kind").alias(f"kind_{k}"), F.col("n").alias(f"n_{k}"), F.col("symbols").alias(f"symbols_{k}")) for k in "ab")
-    shared = 2 * F.size(F.array_intersect("symbols_a", "symbols_b"))
-    met = x.join(y, [*block, "symbol"]).where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(ratio / (2 - ratio)) - 1e-9)
-    met = met.where(shared >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio) - 1e-9).select(*block, "kind_a", "kind_b").distinct()
+    met = _met_kinds(held, held, block, ratio)
 
     named = lambda df, c, k: df.withColumnsRenamed({c: k, "s": f"s{k}", "kind": f"kind_{k}"})
     sides = [named(held.withColumn("x", F.lit(0)), "x", k).drop(k) for k in "ab"]
@@ -167,3 +172,54 @@ def _matched(rows: DataFrame, block: list[str], key: str, sequence: str, ratio:
 def held_classes(members: DataFrame, block: list[str]) -> DataFrame:
     """(block, s, class): the smallest key of each sequence of a block."""
     return members.where(F.col("key").isNotNull()).groupBy(*block, "s").agg(F.min("key").alias("class"))
+
+
+BLOCKS = "array<struct<i: int, j: int, n: int>>"
+
+
+def matching_blocks(pairs: DataFrame, ratio: float) -> DataFrame:
+    """(sa, sb, ratio, blocks): pairs of texts that match to `ratio`, with their longest matching blocks: n characters from i of the one and j of the other."""
+
+    def match(batches):
+        from difflib import SequenceMatcher
+
+        for pdf in batches:
+            rows = []
+            for a, b in zip(pdf["sa"], pdf["sb"]):
+                m = SequenceMatcher(None, a, b, autojunk=False)
+                r = m.ratio()
+                if r >= ratio:
+                    rows.append((a, b, r, [{"i": x.a, "j": x.b, "n": x.size} for x in m.get_matching_blocks() if x.size]))
+            yield pd.DataFrame(rows, columns=["sa", "sb", "ratio", "blocks"])
+
+    return pairs.select("sa", "sb").distinct().mapInPandas(match, f"sa string, sb string, ratio double, blocks {BLOCKS}")
+
+
+def aligned_classes(left: DataFrame, right: DataFrame, block: Sequence[str], ratio: float, size: float = 0.75, margin: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Rows of two sources aligned where the sequences of two keys are each other's best match in a block.
+
+    Either side has (block, key, pos, symbol): positions from 0 and one character for each. Keys of a block with one
+    sequence are a class under the smallest. Classes of both sides meet if their lengths' ratio is `size` or more
+    and their sequences match to `ratio`; a pair is kept if each is the other's best (ties: the smaller key) and the runner-up
+    of the left one lies `margin` behind or is not there. Returns (block, a, b, ratio, margin, pos_a, pos_b), a row for
+    each aligned position of the two representatives, and (block, side, class, key), as all keys of a class align alike.
+    Rows with a null in block, key, pos or symbol are left out.
+    """
+    block = list(block)
+    held, members = [], []
+    for side, rows in (("left", left), ("right", right)):
+        known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*block, "key", "pos", "symbol"]))
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "symbol"))), lambda s: s["symbol"]), "")
+        own = known.groupBy(*block, "key").agg(text.alias("s"))
+        first = held_classes(own, block)
+        members.append(own.join(first, [*block, "s"]).select(*block, F.lit(side).alias("side"), "class", "key"))
+        held.append(first.withColumn("kind", F.array_join(F.array_sort(F.split("s", "")), "")))
+    met = _met_kinds(*held, block, ratio)
+    a, b = (h.withColumnsRenamed({"s": f"s{k}", "class": k, "kind": f"kind_{k}"}) for h, k in zip(held, "ab"))
+    near = a.join(met, [*block, "kind_a"]).join(b, [*block, "kind_b"])
+    near = near.where(F.least(F.length("sa"), F.length("sb")) >= F.lit(size) * F.greatest(F.length("sa"), F.length("sb"))).select(*block, "a", "b", "sa", "sb")
+    found = near.join(matching_blocks(near, ratio), ["sa", "sb"])
+    best = mutual_best(found, "a", "b", "ratio", block).where(F.col("margin").isNull() | (F.col("margin") >= margin))
+    pieces = best.join(found.select(*block, "a", "b", "blocks"), [*block, "a", "b"]).select(*block, "a", "b", "ratio", "margin", F.inline("blocks"))
+    step = pieces.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return step.select(*block, "a", "b", "ratio", "margin", (F.col("i") + F.col("step")).alias("pos_a"), (F.col("j") + F.col("step")).alias("pos_b")), members[0].unionByName(members[1])

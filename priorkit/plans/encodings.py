@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import linalg
+from ..operators.quantiles import counted_quantiles
 from ..sources.io import table
 from .base import FACTS, facts, rounded, small
 from .models import NAMES, candidates
@@ -85,7 +86,8 @@ SELECT p_partkey, round(u ** 3, 6) AS b0, round(2 * (1 - x) ** 3 - 2 * u ** 3, 6
 def brand_stats(spark, d):
     """Each part beside the mean, median and deviation of its brand's prices; the groups are aggregated before they are joined back."""
     p = table(spark, d, "part", ["p_partkey", "p_brand", "p_retailprice"])
-    of = p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean"), F.median("p_retailprice").alias("median"), F.stddev_samp("p_retailprice").alias("deviation"))
+    of = p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean"), F.stddev_samp("p_retailprice").alias("deviation"))
+    of = of.join(counted_quantiles(p, "p_brand", "p_retailprice", {"median": 0.5}), "p_brand")
     return rounded(p.join(of, "p_brand").select("p_partkey", (F.col("p_retailprice") - F.col("mean")).alias("gap"), "median", "deviation"), "gap", "median", "deviation")
 
 

@@ -87,9 +87,11 @@ CONTEXT_SQL = f"""WITH {FACTS} SELECT (((l_linenumber - 1) * 2 + (l_linestatus =
 def peer_zscore(spark, d):
     """Price against its peers of year and status, within -5 and 5; peers without spread give null."""
     f = facts(spark, d, "l_orderkey", "l_extendedprice")
-    peers = f.groupBy("season", "l_linestatus", "l_linenumber").agg(F.median("l_extendedprice").alias("m"), F.stddev_samp("l_extendedprice").alias("s"))
+    keys = ["season", "l_linestatus", "l_linenumber"]
+    middle = counted_quantiles(f.withColumn("peer", F.struct(*keys)), "peer", "l_extendedprice", {"m": 0.5})
+    peers = f.groupBy(F.struct(*keys).alias("peer")).agg(F.stddev_samp("l_extendedprice").alias("s")).join(middle, "peer").select("peer.*", "m", "s")
     z = X.clip((F.col("l_extendedprice") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0)), -5.0, 5.0)
-    out = f.join(F.broadcast(peers), ["season", "l_linestatus", "l_linenumber"])  # at most years x 2 x 7 rows
+    out = f.join(F.broadcast(peers), keys)  # at most years x 2 x 7 rows
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", F.round(z, 6).alias("z"))
 
 

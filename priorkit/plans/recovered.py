@@ -143,14 +143,12 @@ def multi_rates(spark, d):
         ).where("n0 > 0")
         # counts read back from rates of six digits, as a frozen table would hold them
         read = lambda s, n: F.rint(F.round(F.col(s) / F.col(n), 6) * F.col(n))
-        n = F.col("n1") - F.col("n0")
-        for r in rates:
-            raw = read(f"s1_{r}", "n1") - read(f"s0_{r}", "n0")
-            held = F.least(F.greatest(raw, F.lit(0.0)), n)
-            one = cell.select(
-                "season", F.lit(group).alias("group"), F.lit(r).alias("rate"), n.alias("n"), ((held + CURRENT_K * F.col(f"s1_{r}") / F.col("n1")) / (n + CURRENT_K)).alias("p"), (raw != held).cast("int").alias("clipped")
-            ).groupBy("season", "group", "rate").agg(F.count("*").alias("entities"), F.sum("n").alias("lines"), F.avg("p").alias("mean"), F.sum("clipped").alias("clipped"))
-            out = one if out is None else out.unionByName(one)
+        each = F.array(*[F.struct(F.lit(r).alias("rate"), F.col(f"s1_{r}").alias("s1"), F.col(f"s0_{r}").alias("s0")) for r in rates])
+        raw, n = read("s1", "n1") - read("s0", "n0"), F.col("n1") - F.col("n0")
+        one = cell.select("season", "n1", "n0", F.inline(each)).withColumns({"raw": raw, "n": n, "held": F.least(F.greatest(raw, F.lit(0.0)), n)})
+        p = (F.col("held") + CURRENT_K * F.col("s1") / F.col("n1")) / (F.col("n") + CURRENT_K)
+        one = one.groupBy("season", F.lit(group).alias("group"), "rate").agg(F.count("*").alias("entities"), F.sum("n").alias("lines"), F.avg(p).alias("mean"), F.count_if(F.col("raw") != F.col("held")).alias("clipped"))
+        out = one if out is None else out.unionByName(one)
     return rounded(out, "mean")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import resolve
@@ -39,8 +40,6 @@ SELECT user_id, alias_id, count(*) AS days FROM lu JOIN ru USING (day, n, q) GRO
 
 def position_zip(spark, d):
     """Events of both sides of a user side by side by their position in the day: how often their types agree, and how often one side has none."""
-    from pyspark.sql import Window
-
     place = lambda *keys: F.row_number().over(Window.partitionBy("alias_id", "day").orderBy(*keys)).alias("pos")
     left = _days(spark, d).withColumn("alias_id", F.col("user_id") * 7 + 1000003).select("alias_id", "day", place("ts", "event_id"), "event_type")
     right = other_side(spark, d).withColumn("day", F.to_date("ts").cast("string")).select("alias_id", "day", place("ts", "event_id", "extra"), F.col("event_type").alias("other"))
@@ -94,6 +93,23 @@ def fuzzy_sequence_match(spark, d):
     return own.unionByName(pairs.withColumn("kind", F.lit("alike")))
 
 
+def _placed(rows, key: str, order: list[str]):
+    """(week, key, pos, symbol, id): each event's place in the week of its user and the first letter of its type, which no two types share."""
+    w = Window.partitionBy(key, "week").orderBy(*order)
+    rows = rows.withColumn("week", F.date_trunc("week", "ts").cast("date"))
+    return rows.select("week", F.col(key).alias("key"), (F.row_number().over(w) - 1).alias("pos"), F.substring("event_type", 1, 1).alias("symbol"), F.col("event_id").alias("id"))
+
+
+def partial_aligned_rows(spark, d):
+    """Events of both sides that stand for each other ('row'): users of either side whose weeks match to 0.9 and best, 0.05 ahead of the next; and the users of each class of equal weeks ('member', b the class)."""
+    left = _placed(_days(spark, d), "user_id", ["ts", "event_id"])
+    right = _placed(other_side(spark, d), "alias_id", ["ts", "event_id", "extra"])
+    rows, members = resolve.aligned_classes(left, right, ["week"], 0.9, margin=0.05)
+    ids = [side.select("week", F.col("key").alias(k), F.col("pos").alias(f"pos_{k}"), F.col("id").alias(f"id_{k}")) for side, k in ((left, "a"), (right, "b"))]
+    out = rows.join(ids[0], ["week", "a", "pos_a"]).join(ids[1], ["week", "b", "pos_b"]).select("week", F.lit("row").alias("kind"), "a", "b", "pos_a", "pos_b", "id_a", "id_b", F.round("ratio", 6).alias("ratio"), F.round("margin", 6).alias("margin"))
+    return out.unionByName(members.select("week", F.concat(F.lit("member "), "side").alias("kind"), F.col("key").alias("a"), F.col("class").alias("b")), allowMissingColumns=True)
+
+
 def key_contract(spark, d):
     """Counts of contract violations between orders and the order keys of line items."""
     from ..sources.io import contract_report
@@ -110,7 +126,7 @@ CONTRACT_SQL = """SELECT (SELECT count(*) FROM orders WHERE o_orderkey IS NULL):
 
 QUERIES = {
     "exact_sequence_match": exact_sequence_match, "position_zip": position_zip, "majority_mapping": majority_mapping, "mutual_best": mutual_best,
-    "assignment_min_cost": assignment, "fuzzy_sequence_match": fuzzy_sequence_match, "key_contract": key_contract,
+    "assignment_min_cost": assignment, "fuzzy_sequence_match": fuzzy_sequence_match, "partial_aligned_rows": partial_aligned_rows, "key_contract": key_contract,
 }
 ORACLES = {
     "exact_sequence_match": EXACT_SQL, "position_zip": ZIP_SQL, "majority_mapping": MAJORITY_SQL, "mutual_best": MUTUAL_SQL, "key_contract": CONTRACT_SQL,

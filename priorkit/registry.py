@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "eb_prior_years"
-MODULES = ("features", "effects", "ordered", "profiles", "history", "resolution", "models", "streamed", "encodings", "rows", "lookups", "recovered", "fits", "pools", "regimes", "learners", "lowrank", "taxonomies")
+MODULES = ("features", "effects", "ordered", "profiles", "history", "resolution", "models", "streamed", "encodings", "rows", "lookups", "recovered", "fits", "pools", "regimes", "learners", "lowrank", "taxonomies", "pipelines")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

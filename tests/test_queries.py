@@ -5,12 +5,12 @@ import pandas as pd
 import pytest
 
 from priorkit import registry
-from priorkit.plans import learners, regimes, taxonomies
+from priorkit.plans import learners, pipelines, regimes, taxonomies
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Run whole by tests of their own.
-ELSEWHERE = {*regimes.QUERIES, *learners.QUERIES, *taxonomies.QUERIES, "pair_svd", "minimax_blend"}
+ELSEWHERE = {*regimes.QUERIES, *learners.QUERIES, *taxonomies.QUERIES, *pipelines.QUERIES, "pair_svd", "minimax_blend"}
 
 
 @pytest.fixture(scope="module")

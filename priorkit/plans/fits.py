@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import states
+from ..sources.io import Stage
 from .base import FACTS, facts, rounded
 from .effects import predictions, predictions_sql
 from .lookups import MEANS, PRIOR, RATE
@@ -299,14 +300,19 @@ STAGES = ("l_linenumber", "discount", "quantity")
 
 def staged_effects(spark, d):
     """Effects of bins added one feature after the other, each on what is left of the years before; each year takes as many of them as did best on the year before."""
-    f = states.demeaned(facts(spark, d, "l_discount", "l_quantity"), "target", "r0")
+    f = facts(spark, d, "l_discount", "l_quantity")
     f = f.withColumns({"discount": F.floor(F.col("l_discount") * 100 + 0.5).cast("int"), "quantity": F.floor(F.col("l_quantity") / 10).cast("int")})
+    stage = Stage(spark)  # the result reads it
+    cells = stage(f.groupBy("season", *STAGES).agg(F.count("*").alias("n"), F.sum("target").alias("hits")))  # few bins a year
+    mean = cells.groupBy("season").agg((F.sum("hits") / F.sum("n")).alias("m"))
+    f = cells.join(F.broadcast(mean), "season").withColumn("p0", F.col("m"))
     for i, k in enumerate(STAGES):
-        own = f.groupBy("season", k).agg(F.sum(f"r{i}").alias("s"), F.count("*").alias("n"))  # few bins a year
+        own = f.groupBy("season", k).agg(F.sum(F.col("hits") - F.col("n") * F.col(f"p{i}")).alias("s"), F.sum("n").alias("n"))
         w = Window.partitionBy(k).orderBy("season").rangeBetween(-3, -1)
         e = own.select("season", k, (0.5 * F.coalesce(F.sum("s").over(w), F.lit(0.0)) / (F.coalesce(F.sum("n").over(w), F.lit(0)) + 100.0)).alias("e"))
-        f = f.join(F.broadcast(e), ["season", k]).withColumn(f"r{i + 1}", F.col(f"r{i}") - F.col("e")).drop("e")
-    losses = f.groupBy("season").agg(*[F.round(F.avg(F.col(f"r{i}") * F.col(f"r{i}")), 9).alias(f"l{i}") for i in range(len(STAGES) + 1)])
+        f = f.join(F.broadcast(e), ["season", k]).withColumn(f"p{i + 1}", F.col(f"p{i}") + F.col("e")).drop("e")
+    square = lambda p: F.sum(F.col("hits") * F.pow(1 - p, 2) + (F.col("n") - F.col("hits")) * F.pow(p, 2)) / F.sum("n")
+    losses = f.groupBy("season").agg(*[F.round(square(F.col(f"p{i}")), 9).alias(f"l{i}") for i in range(len(STAGES) + 1)])
     names = [f"l{i}" for i in range(len(STAGES) + 1)]
     last = Window.orderBy("season")
     before = F.array(*[F.struct(F.lag(c).over(last).alias("l"), F.lit(i).alias("i")) for i, c in enumerate(names)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import states
-from ..sources.io import table
+from ..sources.io import Stage, table
 from .base import FACTS, facts, rounded
 from .effects import predictions, predictions_sql
 
@@ -235,14 +235,21 @@ PARTS = (("l_suppkey", 200.0), ("l_suppkey, l_linenumber", 50.0), ("l_quantity",
 
 def residual_composition(spark, d):
     """Four effects taken from what the ones before leave of the residuals of one year: of supplier, supplier and number, quantity, quantity and status."""
-    f = states.demeaned(facts(spark, d, "l_quantity"), "target", "r0")
+    keys = ["l_suppkey", "l_linenumber", "l_quantity", "l_linestatus"]
+    cells = facts(spark, d, "l_quantity").groupBy("season", *keys).agg(F.count("*").alias("n"), F.sum("target").alias("hits"))
+    stage = Stage(spark)  # the result reads it
+    cells = stage(cells)
+    mean = cells.groupBy("season").agg((F.sum("hits") / F.sum("n")).alias("m"))
+    f = cells.join(F.broadcast(mean), "season").withColumn("r0", F.col("hits") / F.col("n") - F.col("m"))  # a mean for each year
     names = []
     for i, (keys, k) in enumerate(PARTS):
         keys = ["season", *keys.split(", ")]
-        e = f.groupBy(*keys).agg((F.sum(f"r{i}") / (F.count("*") + k)).alias(f"e{i}"))
+        e = f.groupBy(*keys).agg((F.sum(F.col("n") * F.col(f"r{i}")) / (F.sum("n") + k)).alias(f"e{i}"))
         f = f.join(e, keys).withColumn(f"r{i + 1}", F.col(f"r{i}") - F.col(f"e{i}"))
         names.append(f"r{i + 1}")
-    return rounded(f.groupBy("season").agg(F.count("*").alias("n"), *[F.avg(F.col(c) * F.col(c)).alias(c) for c in names]), *names)
+    p = lambda c: F.col("m") + F.col("r0") - F.col(c)  # noqa: E731  what the parts so far expect of a line of the cell
+    square = lambda c: F.sum(F.col("hits") * F.pow(1 - p(c), 2) + (F.col("n") - F.col("hits")) * F.pow(p(c), 2)) / F.sum("n")
+    return rounded(f.groupBy("season").agg(F.sum("n").alias("n"), *[square(c).alias(c) for c in names]), *names)
 
 
 def _composition_sql() -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import states
+from ..sources.io import Stage
 from .base import FACTS, facts, rounded
 from .history import RHO, latent_states, persistence
 
@@ -26,7 +27,8 @@ def fitting(pairs: DataFrame, a: str, b: str, most: int, m: str) -> DataFrame:
     distinct = pairs.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     tried = distinct.withColumn(m, F.explode(F.sequence(F.lit(1), F.lit(most))))
     fits = lambda c: six_digits(F.rint(F.col(c) * F.col(m)) / F.col(m)) == F.col(c)
-    return tried.where(fits(a) & fits(b))
+    near = lambda c: F.abs(F.rint(F.col(c) * F.col(m)) - F.col(c) * F.col(m)) <= 6e-6 * F.col(m)  # noqa: E731  six digits of 0 to 1 are off by 5e-6 at most: the cheap test leaves few to the exact one
+    return tried.where(near(a) & near(b) & fits(a) & fits(b))
 
 
 _SIX = "(CASE WHEN {x} > 0 THEN round_even({x} * 10.0 ** greatest(0, 5 - floor(log10({x}))), 0) / 10.0 ** greatest(0, 5 - floor(log10({x}))) ELSE 0.0 END)"
@@ -61,7 +63,7 @@ def _fit_sql(k: int, pairs: str = "wn") -> str:
 
 def window_denominators(spark, d):
     """The least denominator of each window on its own, where there is one within the bounds, and the greatest over growing windows."""
-    w = base = windows(spark, d)
+    w = base = Stage(spark)(windows(spark, d))  # the result reads it
     for k, most in MOST.items():
         least = fitting(base, f"a{k}", f"b{k}", most, f"m{k}").groupBy(f"a{k}", f"b{k}").agg(F.min(f"m{k}").alias(f"m{k}"))
         w = w.join(least, [f"a{k}", f"b{k}"], "left")
@@ -73,18 +75,25 @@ SELECT l_suppkey, quarter, n1, m1, n3, m3, n5, m5, greatest(m1, m3) AS most3, gr
 
 
 def joint_denominators(spark, d):
-    """The first triple of denominators, in order, that the three windows can have together: each longer window has two more at least, and no fewer of either count."""
-    w = windows(spark, d).where("n5 IS NOT NULL")
+    """The first triple of denominators, in order, that the three windows can have together: each longer window has two more at least, and no fewer of either count.
+
+    The denominators of a pair of rates are one sorted array, no longer than the bound, so triples are counted, not made: for each
+    denominator of the middle window those of the short one that fit below it times those of the long one that fit above.
+    """
+    w = Stage(spark)(windows(spark, d).where("n5 IS NOT NULL"))  # read five times, by the result too
     rates = [f"{x}{k}" for k in MOST for x in "ab"]
     one = w.select(*rates).distinct()
     for k, most in MOST.items():
-        one = one.join(fitting(w, f"a{k}", f"b{k}", most, f"m{k}"), [f"a{k}", f"b{k}"])
-        if k > 1:
-            j = k - 2
-            count = lambda x, i: F.rint(F.col(f"{x}{i}") * F.col(f"m{i}"))
-            one = one.where((F.col(f"m{k}") >= F.col(f"m{j}") + 2) & (count("a", k) >= count("a", j)) & (count("b", k) >= count("b", j)))
-    best = one.groupBy(*rates).agg(F.min(F.struct("m1", "m3", "m5")).alias("m"), F.count("*").alias("ways"))
-    return w.join(best, rates, "left").select("l_suppkey", "quarter", "n1", "n3", "n5", "m.*", F.coalesce("ways", F.lit(0)).alias("ways"))
+        a, b = f"a{k}", f"b{k}"
+        count = lambda x: F.rint(F.col(x) * F.col("m")).cast("int").alias(x[0])
+        found = fitting(w, a, b, most, "m").groupBy(a, b).agg(F.sort_array(F.collect_list(F.struct("m", count(a), count(b)))).alias(f"d{k}"))
+        one = one.join(found, [a, b])
+    fits = lambda less, more: (more["m"] >= less["m"] + 2) & (more["a"] >= less["a"]) & (more["b"] >= less["b"])
+    sides = lambda y: F.struct(y["m"].alias("m3"), F.filter("d1", lambda x: fits(x, y)).alias("below"), F.filter("d5", lambda z: fits(y, z)).alias("above"))
+    counted = F.transform(F.transform("d3", sides), lambda y: F.struct(F.get(y["below"], F.lit(0))["m"].alias("m1"), y["m3"].alias("m3"), F.get(y["above"], F.lit(0))["m"].alias("m5"), (F.size(y["below"]) * F.size(y["above"])).cast("long").alias("ways")))
+    best = one.select(*rates, F.filter(counted, lambda y: y["ways"] > 0).alias("c")).where(F.size("c") > 0)
+    best = best.select(*rates, F.array_min("c").alias("m"), F.aggregate("c", F.lit(0).cast("long"), lambda total, y: total + y["ways"]).alias("ways"))
+    return w.join(best, rates, "left").select("l_suppkey", "quarter", "n1", "n3", "n5", "m.m1", "m.m3", "m.m5", F.coalesce("ways", F.lit(0)).alias("ways"))
 
 
 JOINT_SQL = f"""WITH {WINDOWS}, w5 AS (SELECT * FROM wn WHERE n5 IS NOT NULL), {', '.join(_fit_sql(k, 'w5') for k in MOST)},

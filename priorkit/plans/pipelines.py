@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import frozen, states
-from ..sources.io import shared_folder, small, table
+from ..sources.io import Stage, shared_folder, small, table
 from .base import facts, rounded
 
 FEATURES = ["discount", "tax", "quantity", "effect", "number"]
@@ -35,6 +35,7 @@ def moved_losses(scored: DataFrame) -> DataFrame:
 
 def stored_run(spark, rows: DataFrame, features: list[str]) -> DataFrame:
     """Fit a pipeline for each year but the first two, whose rate no earlier year gives or that have no fold before them; store, read and apply it."""
+    rows = Stage(spark)(rows)  # read three times, by the result too
     years = sorted(r[0] for r in rows.select("season").distinct().collect() if r[0] is not None)[1:]
     path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     frozen.save(spark, frozen.fit(rows.where(F.col("season").isin(years)), features, "rest", years), path)

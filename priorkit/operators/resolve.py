@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 
 def sequence_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
@@ -122,77 +123,125 @@ def alike_classes(rows: DataFrame, block: Sequence[str], key: str, sequence: str
     return pairs.where("a < b"), members
 
 
+def shared_symbols(a: str, b: str) -> Column:
+    """How many characters two texts share, their order aside."""
+    times = lambda text, c: F.length(text) - F.length(F.replace(F.col(text), c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+
+
 def _met_kinds(left: DataFrame, right: DataFrame, block: list[str], ratio: float) -> DataFrame:
     """(block, kind_a, kind_b): kinds of either side of a block whose symbols allow the ratio."""
-    kinds = left.select("kind").union(right.select("kind")).distinct().withColumns({"n": F.length("kind"), "symbols": symbols_of(F.col("kind"))})
-    each = kinds.select("kind", "n", "symbols", F.explode("symbols").alias("symbol"))
+    kinds = left.select("kind").union(right.select("kind")).distinct().withColumn("n", F.length("kind"))
+    each = kinds.select("kind", "n", F.explode(symbols_of(F.col("kind"))).alias("symbol"))
     often = each.groupBy("symbol").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("often", "symbol"))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(ratio / (2 - ratio)) - 1e-9) + 1  # of n symbols a partner shares the others at least
     prefix = each.join(often, "symbol").withColumn("rank", rank).where(F.col("rank") <= first)
     sides = [held.select(*block, "kind").distinct().join(prefix, "kind") for held in (left, right)]
-    x, y = (side.select(*block, "symbol", F.col("kind").alias(f"kind_{k}"), F.col("n").alias(f"n_{k}"), F.col("symbols").alias(f"symbols_{k}")) for k, side in zip("ab", sides))
-    shared = 2 * F.size(F.array_intersect("symbols_a", "symbols_b"))
-    met = x.join(y, [*block, "symbol"]).where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(ratio / (2 - ratio)) - 1e-9)
-    return met.where(shared >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio) - 1e-9).select(*block, "kind_a", "kind_b").distinct()
+    x, y = (side.select(*block, "symbol", F.col("kind").alias(f"kind_{k}"), F.col("n").alias(f"n_{k}")) for k, side in zip("ab", sides))
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(ratio / (2 - ratio)) - 1e-9
+    met = x.join(y, [*block, "symbol"]).where(near).select(*block, "kind_a", "kind_b").distinct()
+    return met.where(2 * shared_symbols("kind_a", "kind_b") >= (F.length("kind_a") + F.length("kind_b")) * F.lit(ratio) - 1e-9)
 
 
 def _matched(rows: DataFrame, block: list[str], key: str, sequence: str, ratio: float) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes in both orders, as the matcher's ratio depends on it, and the members.
 
-    Sequences are compared once for each distinct pair of texts, whatever the number of keys and blocks
-    that hold them. A pair reaches the matcher if its characters, their order aside, allow the ratio: texts with
+    A pair reaches the matcher if `_near_texts` lets it: by segments, or if its characters, their order aside, allow the ratio. Texts with
     the same characters make one kind, and a block's kinds meet on their rarest symbols, one of which a partner has to share.
     """
     members = rows.select(*block, F.col(key).alias("key"), F.col(sequence).alias("s")).where("s IS NOT NULL AND key IS NOT NULL")
-    members = members.withColumn("kind", F.array_join(F.array_sort(F.split("s", "")), ""))
-    held = members.select(*block, "kind", "s").distinct()
-    met = _met_kinds(held, held, block, ratio)
+    first = held_classes(members, block)
+    near = _near_texts(first, first, block, ratio).where("sa != sb")
+    return matched(near, ratio).select(*block, "a", "b", "ratio"), members.join(first, [*block, "s"]).select(*block, "class", "key")
+
+
+def held_classes(members: DataFrame, block: list[str]) -> DataFrame:
+    """(block, s, class): the smallest key of each sequence of a block."""
+    return members.where(F.col("key").isNotNull()).groupBy(*block, "s").agg(F.min("key").alias("class"))
+
+
+#: Texts of this length at most meet on segments, if the ratio is high enough for segments of some letters; others on their rarest symbols.
+SEGMENTED, SEGMENT_RATIO = 48, 0.85
+
 
-    named = lambda df, c, k: df.withColumnsRenamed({c: k, "s": f"s{k}", "kind": f"kind_{k}"})
-    sides = [named(held.withColumn("x", F.lit(0)), "x", k).drop(k) for k in "ab"]
-    near = sides[0].join(met, [*block, "kind_a"]).join(sides[1], [*block, "kind_b"]).where("sa != sb").select(*block, "sa", "sb")
+def segment_plans(ratio: float, longest: int = SEGMENTED) -> tuple[list[tuple], list[tuple]]:
+    """Rows (n, other, i, at, size) of the left and of the right side: where a text of length n is cut for partners of length `other`.
+
+    Texts of lengths a and b that match to `ratio` are at most d = (1 - ratio) * (a + b) deletions and insertions apart, of the parity
+    of a - b. Of d + 1 segments of the left one some segment i is whole in the right one, with exactly i of them before it
+    and at most d - i behind: it is moved by -i, -i + 2, ... or i.
+    """
+    left, right = [], []
+    for a in range(1, longest + 1):
+        for b in range(int(a * ratio / (2 - ratio)), int(a * (2 - ratio) / ratio) + 2):
+            d = int((1 - ratio) * (a + b) + 1e-9)
+            d -= (d - abs(a - b)) % 2
+            if b < 1 or d < abs(a - b):
+                continue
+            for i in range(d + 1):
+                at, end = i * a // (d + 1), (i + 1) * a // (d + 1)
+                left.append((a, b, i, at, end - at))
+                right += [(b, a, i, at + m, end - at) for m in range(-i, i + 1, 2) if abs(b - a - m) <= d - i and 0 <= at + m <= b - (end - at)]
+    return left, right
+
+
+def _near_texts(left: DataFrame, right: DataFrame, block: list[str], ratio: float) -> DataFrame:
+    """(block, a, b, sa, sb): classes (block, class, s) of either side whose texts may match to `ratio`."""
+    named = [side.select(*block, F.col("class").alias(k), F.col("s").alias(f"s{k}")) for k, side in zip("ab", (left, right))]
+    longer = F.length("sa") > (SEGMENTED if ratio >= SEGMENT_RATIO else 0)
+    kinds = [side.withColumn("kind", F.array_join(F.array_sort(F.split(f"s{k}", "")), "")) for k, side in zip("ab", named)]
+    kinds[0] = kinds[0].where(longer)
+    if ratio >= SEGMENT_RATIO:
+        kinds[1] = kinds[1].where(F.length("sb") > int(SEGMENTED * ratio / (2 - ratio)))
+    met = _met_kinds(*kinds, block, ratio)
+    a, b = (h.withColumnRenamed("kind", f"kind_{k}") for h, k in zip(kinds, "ab"))
+    near = a.join(met, [*block, "kind_a"]).join(b, [*block, "kind_b"]).select(*block, "a", "b", "sa", "sb")
+    if ratio < SEGMENT_RATIO:
+        return near
+    cut = []
+    for k, side, plan in zip("ab", named, segment_plans(ratio)):
+        rows = side.sparkSession.createDataFrame(plan, "n int, other int, i int, at int, size int")
+        lengths = ("n", "other") if k == "a" else ("other", "n")
+        held = side.withColumn("n", F.length(f"s{k}")).join(F.broadcast(rows), "n")  # bounded by the lengths
+        cut.append(held.select(*block, k, f"s{k}", *[F.col(c).alias(x) for c, x in zip(lengths, ("na", "nb"))], "i", F.substring(F.col(f"s{k}"), F.col("at") + 1, F.col("size")).alias("piece")))
+    short = cut[0].join(cut[1], [*block, "na", "nb", "i", "piece"]).select(*block, "a", "b", "sa", "sb").distinct()
+    return near.unionByName(short)
+
+
+def matched(pairs: DataFrame, ratio: float) -> DataFrame:
+    """The rows of `pairs` whose texts sa and sb match to `ratio`, with it. A task keeps what it has found of pairs of texts that come again."""
 
     def match(batches):
         from difflib import SequenceMatcher
 
+        known: dict[tuple[str, str], float] = {}
         for pdf in batches:
-            r = [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(pdf["sa"], pdf["sb"])]
+            if len(known) > 200_000:
+                known.clear()
+            r = []
+            for pair in zip(pdf["sa"], pdf["sb"]):
+                if pair not in known:
+                    known[pair] = 1.0 if pair[0] == pair[1] else SequenceMatcher(None, *pair, autojunk=False).ratio()
+                r.append(known[pair])
             out = pdf.assign(ratio=r)
             yield out[out["ratio"] >= ratio]
 
-    first = held_classes(members, block)
-    ends = [first.select(*block, F.col("s").alias(f"s{k}"), F.col("class").alias(k)) for k in "ab"]
-    near = near.join(ends[0], [*block, "sa"]).join(ends[1], [*block, "sb"])
-    alike = near.select("sa", "sb").distinct().mapInPandas(match, "sa string, sb string, ratio double")
-    pairs = near.join(alike, ["sa", "sb"]).select(*block, "a", "b", "ratio")
-    return pairs, members.join(first, [*block, "s"]).select(*block, "class", "key")
-
-
-def held_classes(members: DataFrame, block: list[str]) -> DataFrame:
-    """(block, s, class): the smallest key of each sequence of a block."""
-    return members.where(F.col("key").isNotNull()).groupBy(*block, "s").agg(F.min("key").alias("class"))
-
-
-BLOCKS = "array<struct<i: int, j: int, n: int>>"
+    return pairs.mapInPandas(match, StructType([*pairs.schema.fields, StructField("ratio", DoubleType())]))
 
 
-def matching_blocks(pairs: DataFrame, ratio: float) -> DataFrame:
-    """(sa, sb, ratio, blocks): pairs of texts that match to `ratio`, with their longest matching blocks: n characters from i of the one and j of the other."""
+def with_blocks(pairs: DataFrame) -> DataFrame:
+    """`pairs` with the longest matching blocks of the texts sa and sb: n characters from i of the one and j of the other."""
 
     def match(batches):
         from difflib import SequenceMatcher
 
         for pdf in batches:
-            rows = []
-            for a, b in zip(pdf["sa"], pdf["sb"]):
-                m = SequenceMatcher(None, a, b, autojunk=False)
-                r = m.ratio()
-                if r >= ratio:
-                    rows.append((a, b, r, [{"i": x.a, "j": x.b, "n": x.size} for x in m.get_matching_blocks() if x.size]))
-            yield pd.DataFrame(rows, columns=["sa", "sb", "ratio", "blocks"])
+            found = (SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for a, b in zip(pdf["sa"], pdf["sb"]))
+            yield pdf.assign(blocks=[[{"i": x.a, "j": x.b, "n": x.size} for x in f if x.size] for f in found])
 
-    return pairs.select("sa", "sb").distinct().mapInPandas(match, f"sa string, sb string, ratio double, blocks {BLOCKS}")
+    piece = StructType([StructField(c, IntegerType()) for c in "ijn"])
+    return pairs.mapInPandas(match, StructType([*pairs.schema.fields, StructField("blocks", ArrayType(piece))]))
 
 
 def aligned_classes(left: DataFrame, right: DataFrame, block: Sequence[str], ratio: float, size: float = 0.75, margin: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -213,13 +262,11 @@ def aligned_classes(left: DataFrame, right: DataFrame, block: Sequence[str], rat
         own = known.groupBy(*block, "key").agg(text.alias("s"))
         first = held_classes(own, block)
         members.append(own.join(first, [*block, "s"]).select(*block, F.lit(side).alias("side"), "class", "key"))
-        held.append(first.withColumn("kind", F.array_join(F.array_sort(F.split("s", "")), "")))
-    met = _met_kinds(*held, block, ratio)
-    a, b = (h.withColumnsRenamed({"s": f"s{k}", "class": k, "kind": f"kind_{k}"}) for h, k in zip(held, "ab"))
-    near = a.join(met, [*block, "kind_a"]).join(b, [*block, "kind_b"])
-    near = near.where(F.least(F.length("sa"), F.length("sb")) >= F.lit(size) * F.greatest(F.length("sa"), F.length("sb"))).select(*block, "a", "b", "sa", "sb")
-    found = near.join(matching_blocks(near, ratio), ["sa", "sb"])
-    best = mutual_best(found, "a", "b", "ratio", block).where(F.col("margin").isNull() | (F.col("margin") >= margin))
-    pieces = best.join(found.select(*block, "a", "b", "blocks"), [*block, "a", "b"]).select(*block, "a", "b", "ratio", "margin", F.inline("blocks"))
+        held.append(first)
+    near = _near_texts(*held, block, ratio).where(F.least(F.length("sa"), F.length("sb")) >= F.lit(size) * F.greatest(F.length("sa"), F.length("sb")))
+    best = mutual_best(matched(near, ratio), "a", "b", "ratio", block).where(F.col("margin").isNull() | (F.col("margin") >= margin))
+    for k, h in zip("ab", held):
+        best = best.join(h.withColumnsRenamed({"s": f"s{k}", "class": k}), [*block, k])
+    pieces = with_blocks(best).select(*block, "a", "b", "ratio", "margin", F.inline("blocks"))
     step = pieces.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return step.select(*block, "a", "b", "ratio", "margin", (F.col("i") + F.col("step")).alias("pos_a"), (F.col("j") + F.col("step")).alias("pos_b")), members[0].unionByName(members[1])

@@ -77,3 +77,31 @@ def test_the_query_finds_the_other_sides_users(spark):
     assert n > 0 and right > 0.9 * n and same > 0.8 * n
     users = out.where("kind LIKE 'member%'").groupBy("kind").agg(F.countDistinct("a").alias("n")).collect()
     assert {r["kind"] for r in users} == {"member left", "member right"}
+
+
+def test_segments_lose_no_pair():
+    from itertools import product
+
+    texts = ["".join(t) for n in range(1, 8) for t in product("ab", repeat=n)]
+    for ratio in (0.85, 0.9):
+        plans = resolve.segment_plans(ratio)
+        cut = []
+        for k, plan in enumerate(plans):
+            held = {}
+            for n, other, i, at, size in plan:
+                held.setdefault(n, []).append((other, i, at, size))
+            cut.append({t: {((len(t), o) if k == 0 else (o, len(t)), i, t[at : at + size]) for o, i, at, size in held.get(len(t), [])} for t in texts})
+        for a, b in product(texts, texts):
+            if SequenceMatcher(None, a, b, autojunk=False).ratio() >= ratio:
+                assert cut[0][a] & cut[1][b]
+
+
+def test_many_texts_of_the_same_letters_reach_the_matcher_seldom(spark):
+    """Permutations all have the symbols of each other, so that letters alone keep every pair."""
+    rng = np.random.default_rng(0)
+    texts = [(0, k, "".join(rng.permutation(list("aaabbbcccdddee")))) for k in range(400)]
+    side = spark.createDataFrame(texts, "day int, class long, s string")
+    near = resolve._near_texts(side, side, ["day"], 0.9)
+    found = resolve.matched(near, 0.9)
+    want = sum(SequenceMatcher(None, x[2], y[2], autojunk=False).ratio() >= 0.9 for x in texts for y in texts)
+    assert found.count() == want and near.count() < 400 * 400 / 20

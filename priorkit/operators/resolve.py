@@ -129,6 +129,13 @@ def shared_symbols(a: str, b: str) -> Column:
     return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
 
 
+def _symbols_allow(ratio: float) -> Column:
+    """Whether lengths and characters of kind_a and kind_b, their order aside, allow the ratio."""
+    n = F.length("kind_a") + F.length("kind_b")
+    enough = n * F.lit(ratio) - 1e-9
+    return F.when(2 * F.least(F.length("kind_a"), F.length("kind_b")) < enough, False).otherwise(2 * shared_symbols("kind_a", "kind_b") >= enough)
+
+
 def _met_kinds(left: DataFrame, right: DataFrame, block: list[str], ratio: float) -> DataFrame:
     """(block, kind_a, kind_b): kinds of either side of a block whose symbols allow the ratio."""
     kinds = left.select("kind").union(right.select("kind")).distinct().withColumn("n", F.length("kind"))
@@ -140,15 +147,14 @@ def _met_kinds(left: DataFrame, right: DataFrame, block: list[str], ratio: float
     sides = [held.select(*block, "kind").distinct().join(prefix, "kind") for held in (left, right)]
     x, y = (side.select(*block, "symbol", F.col("kind").alias(f"kind_{k}"), F.col("n").alias(f"n_{k}")) for k, side in zip("ab", sides))
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(ratio / (2 - ratio)) - 1e-9
-    met = x.join(y, [*block, "symbol"]).where(near).select(*block, "kind_a", "kind_b").distinct()
-    return met.where(2 * shared_symbols("kind_a", "kind_b") >= (F.length("kind_a") + F.length("kind_b")) * F.lit(ratio) - 1e-9)
+    return x.join(y, [*block, "symbol"]).where(near).select(*block, "kind_a", "kind_b").distinct().where(_symbols_allow(ratio))
 
 
 def _matched(rows: DataFrame, block: list[str], key: str, sequence: str, ratio: float) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes in both orders, as the matcher's ratio depends on it, and the members.
 
     A pair reaches the matcher if `_near_texts` lets it: by segments, or if its characters, their order aside, allow the ratio. Texts with
-    the same characters make one kind, and a block's kinds meet on their rarest symbols, one of which a partner has to share.
+    the same characters make one kind; kinds of a large block meet on their rarest symbols, one of which a partner has to share.
     """
     members = rows.select(*block, F.col(key).alias("key"), F.col(sequence).alias("s")).where("s IS NOT NULL AND key IS NOT NULL")
     first = held_classes(members, block)
@@ -163,6 +169,8 @@ def held_classes(members: DataFrame, block: list[str]) -> DataFrame:
 
 #: Texts of this length at most meet on segments, if the ratio is high enough for segments of some letters; others on their rarest symbols.
 SEGMENTED, SEGMENT_RATIO = 48, 0.85
+#: Texts of a block with at most so many pairs are held against each other as they are.
+PAIRS_OF_A_BLOCK = 4096
 
 
 def segment_plans(ratio: float, longest: int = SEGMENTED) -> tuple[list[tuple], list[tuple]]:
@@ -194,9 +202,15 @@ def _near_texts(left: DataFrame, right: DataFrame, block: list[str], ratio: floa
     kinds[0] = kinds[0].where(longer)
     if ratio >= SEGMENT_RATIO:
         kinds[1] = kinds[1].where(F.length("sb") > int(SEGMENTED * ratio / (2 - ratio)))
+    sizes = [side.groupBy(*block).agg(F.count("*").alias(f"n_{k}")) for k, side in zip("ab", kinds)]
+    large = sizes[0].join(sizes[1], block).where(F.col("n_a") * F.col("n_b") > PAIRS_OF_A_BLOCK).select(*block)
+    a, b = (h.withColumnRenamed("kind", f"kind_{k}") for h, k in zip(kinds, "ab"))
+    few = a.join(large, block, "left_anti").join(b, block).where(_symbols_allow(ratio))
+    kinds = [side.join(large, block, "left_semi") for side in kinds]
     met = _met_kinds(*kinds, block, ratio)
     a, b = (h.withColumnRenamed("kind", f"kind_{k}") for h, k in zip(kinds, "ab"))
-    near = a.join(met, [*block, "kind_a"]).join(b, [*block, "kind_b"]).select(*block, "a", "b", "sa", "sb")
+    many = a.join(met, [*block, "kind_a"]).join(b, [*block, "kind_b"])
+    near = few.select(*block, "a", "b", "sa", "sb").unionByName(many.select(*block, "a", "b", "sa", "sb"))
     if ratio < SEGMENT_RATIO:
         return near
     cut = []

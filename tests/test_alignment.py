@@ -1,3 +1,4 @@
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -105,3 +106,18 @@ def test_many_texts_of_the_same_letters_reach_the_matcher_seldom(spark):
     found = resolve.matched(near, 0.9)
     want = sum(SequenceMatcher(None, x[2], y[2], autojunk=False).ratio() >= 0.9 for x in texts for y in texts)
     assert found.count() == want and near.count() < 400 * 400 / 20
+
+
+def test_small_and_large_blocks_give_one_result_and_a_hot_pair_of_texts_meets_nowhere(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(b, 100 * b + k, "".join(rng.choice(list("abc"), rng.integers(2, 6)))) for b in range(6) for k in range(12)]
+    rows += [(b, 10**6 + 2 * b + k, s) for b in range(300) for k, s in enumerate(("abca", "abcb"))]  # one pair of texts in many blocks
+    df = spark.createDataFrame(rows, "g int, k long, s string")
+    found = []
+    for bound in (4096, 0):
+        monkeypatch.setattr(resolve, "PAIRS_OF_A_BLOCK", bound)
+        pairs, members = resolve.alike_classes(df, ["g"], "k", "s", 0.7)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Join.*\(sa#\d+ = sa#\d+\)", plan)
+        found.append((sorted(map(tuple, pairs.collect())), sorted(map(tuple, members.collect()))))
+    assert found[0] == found[1] and len(found[0][0]) > 300

@@ -93,13 +93,18 @@ def maximised(model: Regimes, sums: np.ndarray, sticky: float) -> Regimes:
     return Regimes(model.upto, start / start.sum(), move / move.sum(axis=1, keepdims=True), mean, var, model.told, model.stalled)
 
 
+def packed(sequences: DataFrame, d: int) -> DataFrame:
+    """`sequences` with the numbers of all periods in one array, d for each, so that a task gets two flat arrays a row."""
+    whole = F.transform("values", lambda v: F.coalesce(v, F.array_repeat(F.lit(None).cast("double"), d)))
+    return sequences.withColumn("values", F.flatten(whole))
+
+
 def dense(pdf: pd.DataFrame, periods: int, d: int) -> np.ndarray:
-    """Sequences (periods array, values array of arrays) as (b, t, d), NaN where a period or a number is missing."""
+    """Packed sequences as (b, t, d), NaN where a period or a number is missing."""
     x = np.full((len(pdf), periods, d), np.nan)
-    for i, (at, values) in enumerate(zip(pdf["periods"], pdf["values"])):
-        for t, v in zip(at, values):
-            if v is not None:
-                x[i, t] = [np.nan if u is None else u for u in v]
+    if len(pdf):
+        row = np.repeat(np.arange(len(pdf)), [len(at) for at in pdf["periods"]])
+        x[row, np.concatenate(pdf["periods"].to_list()).astype(int)] = np.concatenate(pdf["values"].to_list()).astype(float).reshape(-1, d)
     return x
 
 
@@ -107,8 +112,13 @@ def blocks(pdf: pd.DataFrame, size: int = 2000) -> Iterator[pd.DataFrame]:
     return (pdf.iloc[i : i + size] for i in range(0, len(pdf), size))
 
 
-def summed(sequences: DataFrame, work, n: int) -> np.ndarray:
-    """`work(pdf)` gives an array of n numbers for some sequences; their sum over all of them."""
+def spread(sequences: DataFrame) -> DataFrame:
+    """`sequences` in as many parts as there are cores: they are few bytes, which Spark would leave to one task, and many rounds of work."""
+    return sequences.repartition(max(sequences.sparkSession.sparkContext.defaultParallelism, 1), "entity")
+
+
+def summed(sequences: DataFrame, work, n: int, d: int) -> np.ndarray:
+    """`work(pdf)` gives an array of n numbers for some packed sequences; their sum over all of them."""
 
     def each(batches):
         total = np.zeros(n)
@@ -118,7 +128,7 @@ def summed(sequences: DataFrame, work, n: int) -> np.ndarray:
         yield pd.DataFrame({"i": np.arange(n), "v": total})
 
     out = np.zeros(n)
-    for r in sequences.select("periods", "values").mapInPandas(each, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in packed(sequences, d).select("periods", "values").mapInPandas(each, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
@@ -138,16 +148,15 @@ def kmeans_centres(sequences: DataFrame, k: int, d: int, upto: int, periods: int
     for _ in range(rounds):
 
         def near(pdf, centres=centres):
-            y = np.nan_to_num(dense(pdf, periods, d)[:, :upto])
-            here = ~np.isnan(dense(pdf, periods, d)[:, :upto]).all(axis=2)
-            y = y[here]
+            y = dense(pdf, periods, d)[:, :upto]
+            y = np.nan_to_num(y[~np.isnan(y).all(axis=2)])
             out = np.zeros((starts, k, d + 1))
             for s in range(starts):
                 own = ((y[:, None] - centres[s]) ** 2).sum(axis=2).argmin(axis=1)
-                np.add.at(out[s], own, np.column_stack([y, np.ones(len(y))]))
+                out[s] += np.column_stack([np.bincount(own, w, k) for w in (*y.T, np.ones(len(y)))])
             return out.ravel()
 
-        sums = summed(sequences, near, starts * k * (d + 1)).reshape(starts, k, d + 1)
+        sums = summed(sequences, near, starts * k * (d + 1), d).reshape(starts, k, d + 1)
         moved = np.where(sums[..., -1:] > 0, sums[..., :-1] / np.maximum(sums[..., -1:], 1), centres)
         if np.abs(moved - centres).max() < 1e-6:
             break
@@ -177,7 +186,7 @@ def fit(sequences: DataFrame, k: int, d: int, periods: int, folds: Sequence[int]
             x = dense(pdf, periods, d)
             return np.concatenate([expected(m, x[:, : m.upto]) for m in models])
 
-        sums = summed(sequences, count, width * len(active)).reshape(len(active), width)
+        sums = summed(sequences, count, width * len(active), d).reshape(len(active), width)
         for i, s in zip(active, sums):
             told = s[-1] + models[i].log_prior(sticky)
             before = models[i].told[-1] if models[i].told else -np.inf
@@ -198,6 +207,10 @@ def posteriors(sequences: DataFrame, model: Regimes, periods: int) -> DataFrame:
         for pdf in batches:
             for part in blocks(pdf):
                 state = filtered(model, dense(part, periods, d))[0]
-                yield pd.DataFrame({"entity": np.repeat(part["entity"].to_numpy(), periods), "period": np.tile(np.arange(periods, dtype=np.int32), len(part)), "posterior": [list(v) for v in state.reshape(-1, state.shape[2])]})
+                yield pd.DataFrame({"entity": part["entity"].to_numpy(), "states": list(state.reshape(len(part), -1))})
 
-    return sequences.select("entity", "periods", "values").mapInPandas(walk, f"entity {kind}, period int, posterior array<double>")
+    # a row for each sequence leaves the task, in numbers one after the other
+    walked = packed(sequences, d).select("entity", "periods", "values").mapInPandas(walk, f"entity {kind}, states array<double>")
+    k = len(model.start)
+    each = walked.select("entity", F.explode(F.sequence(F.lit(0), F.lit(periods - 1))).alias("period"), "states") if periods > 0 else walked.select("entity", F.lit(0).alias("period"), "states").limit(0)
+    return each.select("entity", "period", F.slice("states", F.col("period") * k + 1, k).alias("posterior"))

@@ -30,7 +30,7 @@ def observed_quarters(spark, d) -> tuple[DataFrame, int, int]:
 def fitted(spark, d, stage: Stage) -> tuple[DataFrame, int, int, dict[int, regimes.Regimes]]:
     """Sequences, first year, periods and a model for each year but the first, fitted on the quarters before it."""
     sequences, first, periods = observed_quarters(spark, d)
-    sequences = stage(sequences)
+    sequences = stage(regimes.spread(sequences))
     return sequences, first, periods, regimes.fit(sequences, K, D, periods, range(4, periods, 4))
 
 

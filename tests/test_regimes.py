@@ -140,3 +140,16 @@ def test_queries_cover_every_year(spark, name):
         assert all(r.value >= -1e-6 for r in rows if r.kind == "least_rise")
     if name == "regime_posteriors":
         assert all(abs(r.p0 + r.p1 + r.p2 - 1) < 1e-5 for r in rows)
+
+
+def test_tasks_get_flat_arrays_and_every_core_a_part(spark):
+    rows = [(1, [0, 3], [[1.0, None], None]), (2, [], []), (3, [1], [[None, 2.0]])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    flat = regimes.packed(df, 2).orderBy("entity")
+    assert flat.schema["values"].dataType.simpleString() == "array<double>"
+    want = np.full((3, 4, 2), np.nan)
+    want[0, 0, 0], want[2, 1, 1] = 1.0, 2.0
+    assert np.array_equal(regimes.dense(flat.toPandas(), 4, 2), want, equal_nan=True)
+    assert regimes.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    got = regimes.posteriors(df, model(), 4)
+    assert got.count() == 12 and got.where("entity = 2 AND period = 3 AND abs(posterior[0] + posterior[1] - 1) < 1e-9").count() == 1

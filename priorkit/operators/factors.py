@@ -1,7 +1,7 @@
 """Low-rank factors of sparse matrices of cells (row, column, value): truncated singular values and weighted alternating least squares.
 
-Cells are staged once. A half round is a join of the cells with one side's vectors and a
-grouping by the other side's key, whatever the sizes of the sides; only r x r matrices come to the driver.
+Cells are staged once, for singular values in buckets of the larger side's key. A half round is a join of the cells with one side's
+vectors and a grouping by the other side's key, whatever the sizes of the sides; only r x r matrices come to the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import BROADCAST_ROWS, Stage, small
+from ..sources.io import Stage, small
 
 
 def parts(r: int, name: str = "x") -> list[str]:
@@ -43,15 +43,19 @@ def inverse_root(gram: np.ndarray) -> np.ndarray:
     return vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)
 
 
-def hinted(df: DataFrame, rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it is known to have few rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+#: A side's vectors are broadcast up to so many bytes of numbers.
+BROADCAST_BYTES = 64_000_000
+
+
+def hinted(df: DataFrame, rows: int, r: int) -> DataFrame:
+    """`rows` vectors of r numbers with a broadcast hint if they are small, else built up part by part, beside cells in buckets of their key."""
+    return F.broadcast(df) if rows * (r + 1) * 8 <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
 def multiplied(cells: DataFrame, vectors: DataFrame, rows: int, on: str, to: str, r: int) -> DataFrame:
     """(to, x0, ...): the matrix, or its transpose, times the `rows` vectors of one side."""
     x = parts(r)
-    return cells.join(hinted(vectors, rows), on).groupBy(to).agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in x])
+    return cells.join(hinted(vectors, rows, r), on).groupBy(to).agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in x])
 
 
 def seeded(side: DataFrame, key: str, r: int) -> DataFrame:
@@ -71,31 +75,33 @@ def truncated_svd(cells: DataFrame, row: str, column: str, rank: int, stage: Sta
     cells = stage(cells.groupBy(row, column).agg(F.sum("value").alias("value")))
     r = rank + extra
     x = parts(r)
-    right = stage(seeded(cells.select(column).distinct(), column, r))
-    n_right, n_left = right.count(), cells.select(row).distinct().count()
+    n_left, n_right = (cells.select(c).distinct().count() for c in (row, column))
+    key = column if n_right >= n_left else row
+    cells = stage.bucketed(cells, key)
+    kept_by = lambda df, k: stage.bucketed(df, k) if k == key else stage(df)
+    right = kept_by(seeded(cells.select(column).distinct(), column, r), column)
     right = turned(right, column, x, inverse_root(gram(right, x)[0]))
     residual, sigma = np.inf, np.zeros(r)
     z = [f"z{c}" for c in x]
     for _ in range(rounds):
-        left = stage(multiplied(cells, right, n_right, column, row, r))
+        left = kept_by(multiplied(cells, right, n_right, column, row, r), row)
         values, vectors = np.linalg.eigh(gram(left, x)[0])  # V' A'A V
         order = np.argsort(values)[::-1]
         sigma, rotate = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
         left, right = turned(left, row, x, rotate), turned(right, column, x, rotate)  # A V and V by falling length
-        again = multiplied(cells, left, n_left, row, column, r).withColumnsRenamed(dict(zip(x, z)))
-        both = stage(again.join(hinted(right, n_right), column))
-        right = both.select(column, *x)
-        zz, gaps = gram(both, z, *[F.pow(F.col(z[k]) - float(sigma[k]) ** 2 * F.col(x[k]), 2) for k in range(rank)])
+        again = kept_by(multiplied(cells, left, n_left, row, column, r).withColumnsRenamed(dict(zip(x, z))), column)
+        zz, gaps = gram(again.join(right, column), z, *[F.pow(F.col(z[k]) - float(sigma[k]) ** 2 * F.col(x[k]), 2) for k in range(rank)])
         residual = np.sqrt(max(gaps, default=0.0)) / max(sigma[0] ** 2, 1e-300)
         if residual <= tolerance:
             break
-        ahead = turned(both.select(column, *z), column, z, inverse_root(zz))
-        kept, right = right, ahead
+        kept, right = right, turned(again, column, z, inverse_root(zz))
     else:
         right = kept if rounds else right  # the vectors that `left` belongs to
     keep = np.eye(r)[:, :rank]
     unit = np.diag([1 / s if s > 0 else 0.0 for s in sigma])[:, :rank]
-    return stage(turned(left, row, x, unit)), sigma[:rank], stage(turned(right, column, x, keep)), float(residual)
+    found = stage(turned(left, row, x, unit)), sigma[:rank], stage(turned(right, column, x, keep)), float(residual)
+    stage.drop_tables()
+    return found
 
 
 def fitted_products(cells: DataFrame, left: DataFrame, right: DataFrame, row: str, column: str, sigma: np.ndarray, known: Column | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ class Stage:
     """Tables written to the shared folder and read back, which cuts lineage and survives lost executors; as a context, deleted at its end."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/stage-{uuid.uuid4().hex}"
@@ -38,10 +38,26 @@ class Stage:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Like a call, but kept in buckets of `key`: joins of two such tables on it, and groupings by it, move no rows. Read it before `drop_tables`."""
+        parts = 3 * max(self.spark.sparkContext.defaultParallelism, 1)
+        name, path = f"stage_{uuid.uuid4().hex}", f"{shared_folder(self.spark)}/stage-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        self.tables.append(name)
+        df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
+    def drop_tables(self) -> None:
+        """Take the names of bucketed tables from the catalog."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
+
     def __enter__(self) -> Stage:
         return self
 
     def __exit__(self, *_) -> None:
+        self.drop_tables()
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -89,3 +89,19 @@ def test_queries_equal_numpy_on_the_whole_table(spark):
     for i, key in enumerate(rows):
         assert abs(got[key].rest - (rest[i] ** 2).sum()) < 0.1 and np.allclose([got[key][f"sigma{k}"] for k in range(3)], s[:3], rtol=2e-4)
         assert got[key].residual <= lowrank.TOLERANCE
+
+
+def test_cells_in_buckets_stay_where_they_are(spark):
+    a, _ = matrix()
+    with Stage(spark) as stage:
+        cells = stage.bucketed(cells_of(spark, a).drop("weight"), "c")
+        side = stage.bucketed(factors.seeded(cells.select("c").distinct(), "c", 2), "c")
+        ahead = factors.multiplied(cells, side, 10**9, "c", "r", 2)
+        plan = ahead._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(r#" in plan  # the sums alone
+        back = factors.multiplied(cells, factors.seeded(cells.select("r").distinct(), "r", 2), 10, "r", "c", 2)
+        assert "Exchange hashpartitioning(c#" not in back._jdf.queryExecution().executedPlan().toString()
+        x = dense(side, "c", 25, 2)
+        assert np.allclose(dense(ahead, "r", 40, 2), a @ x)
+        names = list(stage.tables)
+    assert names and not any(spark.catalog.tableExists(n) for n in names)

@@ -1,6 +1,6 @@
 """Random slopes with a full covariance and two crossed intercepts, by blocks of a Gaussian variational fit.
 
-Rows become cells of (fold, entity, other, context) with sums of products, which is all the
+Rows become cells of (fold, entity, other, context) with sums of products, or stay cells of their own, which is all the
 blocks need. A block is a grouping of the cells by its key: the slopes of an entity are a small
 solve, the intercepts a shrunk mean. The covariance of the slopes, the variances of the intercepts and
 that of the noise are estimated again in each round. Means settle at those of the exact posterior.
@@ -70,32 +70,56 @@ def solved_slopes(sums: DataFrame, variances: dict[int, Variances], d: int) -> D
     return sums.mapInPandas(work, schema)
 
 
-def random_slopes(cells: DataFrame, d: int, stage: Stage, rounds: int = 12, settle: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, Variances], list[float]]:
+def product_rows(rows: DataFrame, period: str, entity: str, other: str, context: str, z: Sequence[str], y: str) -> DataFrame:
+    """Each whole row as a cell of its own, with `period` in place of a fold, for `random_slopes` with folds."""
+    whole = F.lit(True)
+    for c in (period, entity, other, context, *z, y):
+        whole = whole & F.col(c).isNotNull()
+    y, x = F.col(y).cast("double"), [F.col(c).cast("double") for c in z]
+    sums = [F.lit(1.0).alias("n"), y.alias("sy"), (y * y).alias("syy"), *[v.alias(f"z_{i}") for i, v in enumerate(x)], *[(v * y).alias(f"zy_{i}") for i, v in enumerate(x)]]
+    sums += [(x[i] * x[j]).alias(f"zz_{i}_{j}") for i, j in upper(len(z))]
+    return rows.where(whole).select(F.col(period).alias("period"), F.col(entity).alias("entity"), F.col(other).alias("other"), F.col(context).alias("context"), *sums)
+
+
+def random_slopes(cells: DataFrame, d: int, stage: Stage, rounds: int = 12, settle: int = 0, folds: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, Variances], list[float]]:
     """(slopes, others, contexts, variances by fold, largest change of a mean in each round) from product_cells.
 
     slopes(fold, entity, u_i, c_i_j), others(fold, other, a, va), contexts(fold, context, b, vb). After `rounds` the variances
     stay, and `settle` further rounds move the means alone. The first slope belongs to a constant 1.
+
+    With `folds`, cells have a period in place of a fold, and a fold sees those of the periods before it. If they are a table in buckets of the
+    entity, no round moves them: it moves the slopes, and sums by (fold, other, context), from which both intercepts and the noise follow.
     """
-    cells = stage(cells)
-    folds = [r[0] for r in cells.select("fold").distinct().collect()]
-    variances = {f: Variances(np.eye(d) * 0.01) for f in folds}
+    if folds is None:
+        cells = stage.bucketed(cells, "entity")
+        folds = [r[0] for r in cells.select("fold").distinct().collect()]
+        seen, sees = (lambda df: df), F.col("fold") == F.col("fold_")
+    else:
+        seen = lambda df: df.withColumn("fold", F.explode(F.filter(F.array(*[F.lit(int(f)) for f in folds]), lambda f: f > F.col("period"))))
+        sees = F.col("fold_") > F.col("period")
+    own = [c for c in cells.columns if c not in ("fold", "period")]
+    keys = lambda c: seen(cells.select(next(k for k in ("fold", "period") if k in cells.columns), c).distinct()).select("fold", c).distinct()
     zz = [f"zz_{i}_{j}" for i, j in upper(d)]
-    others = stage(cells.select("fold", "other").distinct().withColumns({"a": F.lit(0.0), "va": F.lit(0.0)}))
-    contexts = stage(cells.select("fold", "context").distinct().withColumns({"b": F.lit(0.0), "vb": F.lit(0.0)}))
+    others = stage(keys("other").withColumns({"a": F.lit(0.0), "va": F.lit(0.0)}))
+    contexts = stage(keys("context").withColumns({"b": F.lit(0.0), "vb": F.lit(0.0)}))
+    variances = {r[0]: Variances(np.eye(d) * 0.01) for r in contexts.select("fold").distinct().collect()}
     slopes, told = None, []
     linear = lambda: sum((F.col(f"u_{i}") * F.col(f"z_{i}") for i in range(d)), F.lit(0.0))
+    quad = sum(((1 if i == j else 2) * F.col(f"zz_{i}_{j}") * (F.col(f"u_{i}") * F.col(f"u_{j}") + F.col(f"c_{i}_{j}")) for i, j in upper(d)), F.lit(0.0))
     for k in range(rounds + settle):
         if slopes is not None:
             others, contexts = levelled(slopes, others, contexts, variances, d)
-        held = cells.join(small(others), ["fold", "other"]).join(small(contexts), ["fold", "context"])
+        held = seen(cells).join(small(others), ["fold", "other"]).join(small(contexts), ["fold", "context"])
         rest = F.col("a") + F.col("b")
         sums = held.groupBy("fold", "entity").agg(*[F.sum(c).alias(c) for c in zz], *[F.sum(F.col(f"zy_{i}") - rest * F.col(f"z_{i}")).alias(f"t_{i}") for i in range(d)])
-        before, slopes = slopes, stage(solved_slopes(sums, variances, d))
-        with_u = stage(cells.join(small(slopes), ["fold", "entity"]).withColumn("zu", linear()))
+        before, slopes = slopes, stage.bucketed(solved_slopes(sums, variances, d), "entity")
+        with_u = cells.join(slopes.withColumnRenamed("fold", "fold_").hint("shuffle_hash"), "entity").where(sees).select(F.col("fold_").alias("fold"), *own, *[c for c in slopes.columns if c not in ("fold", "entity")])
+        zy = sum((F.col(f"u_{i}") * F.col(f"zy_{i}") for i in range(d)), F.lit(0.0))
+        met = stage(with_u.groupBy("fold", "other", "context").agg(F.sum(F.col("sy") - linear()).alias("s"), F.sum("n").alias("n"), F.sum(F.col("syy") - 2 * zy + quad).alias("q")))
 
         def intercepts(key: str, mean: str, own: dict[int, float], beside: DataFrame, on: str, theirs: str) -> DataFrame:
             noise = by_fold({f: v.noise for f, v in variances.items()})
-            s = with_u.join(small(beside), ["fold", on]).groupBy("fold", key).agg(F.sum(F.col("sy") - F.col("zu") - F.col(theirs) * F.col("n")).alias("s"), F.sum("n").alias("n"))
+            s = met.join(small(beside), ["fold", on]).groupBy("fold", key).agg(F.sum(F.col("s") - F.col(theirs) * F.col("n")).alias("s"), F.sum("n").alias("n"))
             shrunk = F.col("n") + noise / by_fold(own)
             return stage(s.select("fold", key, (F.col("s") / shrunk).alias(mean), (noise / shrunk).alias(f"v{mean}")))
 
@@ -106,7 +130,7 @@ def random_slopes(cells: DataFrame, d: int, stage: Stage, rounds: int = 12, sett
             old = before.select("fold", "entity", *[F.col(f"u_{i}").alias(f"w_{i}") for i in range(d)])
             told.append(slopes.join(old, ["fold", "entity"]).agg(F.max(gap).alias("g")).first()["g"] or 0.0)
         if k < rounds:
-            variances = estimated(with_u, slopes, others, contexts, d)
+            variances = estimated(met, slopes, others, contexts, d)
     return slopes, others, contexts, variances, told
 
 
@@ -125,16 +149,14 @@ def levelled(slopes: DataFrame, others: DataFrame, contexts: DataFrame, variance
     return others.withColumn("a", F.col("a") + by_fold(up)), contexts.withColumn("b", F.col("b") + by_fold(down))
 
 
-def estimated(with_u: DataFrame, slopes: DataFrame, others: DataFrame, contexts: DataFrame, d: int) -> dict[int, Variances]:
+def estimated(met: DataFrame, slopes: DataFrame, others: DataFrame, contexts: DataFrame, d: int) -> dict[int, Variances]:
     """Variances of each fold from the present means and their uncertainty."""
     s = {r["fold"]: r for r in slopes.groupBy("fold").agg(*[F.avg(F.col(f"u_{i}") * F.col(f"u_{j}") + F.col(f"c_{i}_{j}")).alias(f"s_{i}_{j}") for i, j in upper(d)]).collect()}
     a = {r["fold"]: r["v"] for r in others.groupBy("fold").agg(F.avg(F.col("a") * F.col("a") + F.col("va")).alias("v")).collect()}
     b = {r["fold"]: r["v"] for r in contexts.groupBy("fold").agg(F.avg(F.col("b") * F.col("b") + F.col("vb")).alias("v")).collect()}
     m = F.col("a") + F.col("b")
-    quad = sum(((1 if i == j else 2) * F.col(f"zz_{i}_{j}") * (F.col(f"u_{i}") * F.col(f"u_{j}") + F.col(f"c_{i}_{j}")) for i, j in upper(d)), F.lit(0.0))
-    zy = sum((F.col(f"u_{i}") * F.col(f"zy_{i}") for i in range(d)), F.lit(0.0))
-    left = F.col("syy") - 2 * zy - 2 * m * F.col("sy") + quad + 2 * m * F.col("zu") + (m * m + F.col("va") + F.col("vb")) * F.col("n")
-    j = with_u.join(small(others), ["fold", "other"]).join(small(contexts), ["fold", "context"])
+    left = F.col("q") - 2 * m * F.col("s") + (m * m + F.col("va") + F.col("vb")) * F.col("n")
+    j = met.join(small(others), ["fold", "other"]).join(small(contexts), ["fold", "context"])
     e = {r["fold"]: r["v"] for r in j.groupBy("fold").agg((F.sum(left) / F.sum("n")).alias("v")).collect()}
     out = {}
     for f, r in s.items():  # a fold each

@@ -94,13 +94,12 @@ def slope_rows(spark, d) -> DataFrame:
 def random_slope_effects(spark, d):
     """Of each year: Brier score of the earlier rate, and moved by the slopes of suppliers with intercepts of brands and contexts, fitted on the years before; the fold's variances beside them."""
     stage = Stage(spark)
-    rows = stage(slope_rows(spark, d))
+    rows = stage.bucketed(slope_rows(spark, d), "l_suppkey")  # no round moves it
     years = sorted(r[0] for r in rows.select("season").distinct().collect() if r[0] is not None)[1:]
     if not years:
         return spark.createDataFrame([], "season int, n long, base double, brier double, noise double, slope_variance double, covariance double")
-    fold = F.explode(F.filter(F.array(*map(F.lit, years)), lambda y: y > F.col("season"))).alias("fold")
-    cells = mixed.product_cells(rows.select("*", fold), "fold", "l_suppkey", "p_brand", "context", SLOPES, "residual")
-    slopes, others, contexts, variances, _ = mixed.random_slopes(cells, len(SLOPES), stage, rounds=6)
+    cells = mixed.product_rows(rows, "season", "l_suppkey", "p_brand", "context", SLOPES, "residual")
+    slopes, others, contexts, variances, _ = mixed.random_slopes(cells, len(SLOPES), stage, rounds=6, folds=years)
     j = rows.withColumn("fold", F.col("season")).join(small(slopes.withColumnRenamed("entity", "l_suppkey")), ["fold", "l_suppkey"], "left")
     j = j.join(small(others.withColumnRenamed("other", "p_brand")), ["fold", "p_brand"], "left").join(small(contexts), ["fold", "context"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))  # noqa: E731  unseen keys

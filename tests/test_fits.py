@@ -89,3 +89,19 @@ def test_slopes_equal_a_dense_solve_and_variances_are_found(spark):
     assert np.allclose(got_a, exact[2 * entities : 2 * entities + others], atol=5e-3)
     assert np.allclose(got_b, exact[2 * entities + others :], atol=5e-3)
     assert abs(v.noise - 0.25) < 0.03 and np.allclose(v.slopes, cov, atol=0.12) and v.slopes[0, 1] > 0.02
+
+
+def test_rows_as_cells_add_up_to_cells_and_stay_in_their_buckets(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(p, e, o, 0, 1.0, 0.5 * e, 0.1 * p + o) for p in range(3) for e in range(4) for o in range(3)] + [(1, None, 1, 0, 1.0, 0.0, 9.0)]
+    df = spark.createDataFrame(rows, "p int, e int, o int, c int, one double, z double, y double")
+    with Stage(spark) as stage:
+        cells = mixed.product_rows(stage.bucketed(df, "e"), "p", "e", "o", "c", ["one", "z"], "y")
+        names = [c for c in cells.columns if c not in ("period", "entity", "other", "context")]
+        added = cells.groupBy("period", "entity", "other", "context").agg(*[F.sum(c).alias(c) for c in names])
+        want = mixed.product_cells(df, "p", "e", "o", "c", ["one", "z"], "y")
+        key = lambda r: (r[0], r[1], r[2])
+        assert cells.count() == 36 and np.allclose(sorted(map(tuple, added.collect()), key=key), sorted(map(tuple, want.withColumnRenamed("fold", "period").select(*added.columns).collect()), key=key))
+        slopes = stage.bucketed(cells.select("entity").distinct(), "entity")
+        assert "Exchange hashpartitioning" not in cells.join(slopes.hint("shuffle_hash"), "entity")._jdf.queryExecution().executedPlan().toString()

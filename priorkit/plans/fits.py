@@ -481,13 +481,17 @@ def soft_archetypes(spark, d):
     f = states.demeaned(facts(spark, d, "l_discount", "l_quantity"), "target", "r")
     p = f.groupBy("l_suppkey", "season").agg(F.avg((F.col("l_discount") - 0.05) / 0.03).alias("a"), F.avg((F.col("l_quantity") - 25.5) / 14.4).alias("b"), F.sum("r").alias("s"), F.count("*").alias("n"))
     far = F.array(*[F.pow(F.col("a") - x, 2) + F.pow(F.col("b") - y, 2) for x, y in CENTRES])
-    p = p.withColumn("far", far).withColumn("raw", F.transform("far", lambda v: F.exp(-v / (2 * TAU * TAU)))).withColumn("soft", F.transform("raw", lambda v: v / F.aggregate("raw", F.lit(0.0), lambda t, x: t + x)))
-    long = p.select("season", "s", "n", (F.array_position("far", F.array_min("far")) - 1).cast("int").alias("nearest"), F.posexplode("soft").alias("archetype", "weight"))
+    p = p.withColumn("far", far).withColumn("raw", F.transform("far", lambda v: F.exp(-v / (2 * TAU * TAU)))).withColumn("all", F.aggregate("raw", F.lit(0.0), lambda t, x: t + x))
+    p = p.withColumn("soft", F.transform("raw", lambda v: F.when(F.col("all") == 0, float("nan")).otherwise(v / F.col("all"))))  # too far from all centres: no number, as in SQL
+    near = F.transform("far", lambda v: F.coalesce(v <= F.array_min("far") + TIE, F.lit(True)))  # equally near, or none known: the first, whatever order the means were added up in
+    long = p.select("season", "s", "n", (F.array_position(near, True) - 1).cast("int").alias("nearest"), F.posexplode("soft").alias("archetype", "weight"))
     out = long.groupBy("season", "archetype").agg((F.sum(F.col("weight") * F.col("s")) / (F.sum(F.col("weight") * F.col("n")) + 50.0)).alias("effect"), F.sum("weight").alias("mass"), F.count_if(F.col("nearest") == F.col("archetype")).alias("hard"))
     return rounded(out, "effect", "mass")
 
 
 CENTRES, TAU = ((-0.1, 0.0), (0.0, 0.1), (0.1, -0.1)), 0.15
+#: Squared distances of means of hundredths and whole numbers are equal, or further apart than this, up to some 1e8 lines a profile.
+TIE = 1e-12
 SOFT_SQL = f"""WITH {MEANS}, p AS (SELECT l_suppkey, season, avg((l_discount - 0.05) / 0.03) AS a, avg((l_quantity - 25.5) / 14.4) AS b, sum(residual) AS s, count(*) AS n FROM fr GROUP BY 1, 2),
 q AS (SELECT *, [{', '.join(f'(a - ({x})) ** 2 + (b - ({y})) ** 2' for x, y in CENTRES)}] AS far FROM p), r AS (SELECT *, list_transform(far, lambda v: exp(-v / {2 * TAU * TAU})) AS raw FROM q),
 l AS (SELECT season, s, n, far, raw, i::INTEGER AS archetype, raw[i + 1] / list_sum(raw) AS weight FROM r, (SELECT unnest(range(0, 3)) AS i))

@@ -1,6 +1,6 @@
 """A linear pipeline that is fitted, stored, read and applied: missing values filled and flagged, columns standardised, ridge.
 
-One scan adds up the products of values, flags and outcome by period. Fill values, means, scales and
+One scan adds up the products of values, flags and outcome by period, a task's in one array. Fill values, means, scales and
 coefficients of every fold follow from these sums, as filling and standardising are linear in values and flags.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +25,24 @@ def absent(x: Column) -> Column:
 
 def period_products(rows: DataFrame, features: Sequence[str], outcome: str, period: str) -> dict[int, np.ndarray]:
     """{period: products of (1, values or 0, flags, outcome)}; rows without outcome or period do not count."""
-    gone = [absent(F.col(c)).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
-    here = [F.when(absent(F.col(c)), 0.0).otherwise(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)]
-    known = rows.where(~absent(F.col(outcome)) & F.col(period).isNotNull()).select(period, F.lit(1.0).alias("one"), *here, *gone, F.col(outcome).cast("double").alias("y"))
-    names = known.columns[1:]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    by = known.groupBy(period).agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"{i}_{j}") for i, j in pairs]).collect()  # a row for each period
-    out = {}
-    for r in by:
-        g = np.zeros((len(names), len(names)))
-        for i, j in pairs:
-            g[i, j] = g[j, i] = r[f"{i}_{j}"]
-        out[r[period]] = g
-    return out
+    kind, width = rows.schema[period].dataType.simpleString(), 2 * len(features) + 2
+    known = rows.where(~absent(F.col(outcome)) & F.col(period).isNotNull()).select(F.col(period).alias("p"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(features)], F.col(outcome).cast("double").alias("y"))
+
+    def products(batches):
+        sums: dict = {}
+        for pdf in batches:
+            x = pdf.iloc[:, 1:-1].to_numpy(float)
+            gone = ~np.isfinite(x)
+            z = np.column_stack([np.ones(len(x)), np.where(gone, 0.0, x), gone, pdf["y"].to_numpy(float)])
+            for k, at in pdf.groupby("p").indices.items():
+                sums[k] = sums.get(k, 0.0) + z[at].T @ z[at]
+        for k, g in sums.items():
+            yield pd.DataFrame({"p": k, "i": np.arange(g.size), "v": g.ravel()})
+
+    out: dict[int, np.ndarray] = {}
+    for r in known.mapInPandas(products, f"p {kind}, i int, v double").groupBy("p", "i").agg(F.sum("v").alias("v")).collect():  # a matrix for each period
+        out.setdefault(r["p"], np.zeros(width * width))[r["i"]] = r["v"]
+    return {k: g.reshape(width, width) for k, g in out.items()}
 
 
 def fit_fold(g: np.ndarray, features: Sequence[str], alpha: float, fold: int) -> list[dict]:
@@ -97,13 +103,31 @@ def load(spark: SparkSession, path: str) -> list[dict]:
 
 
 def apply(rows: DataFrame, stored: list[dict], out: str, period: str = "season") -> DataFrame:
-    """`rows` with `out`: the prediction of the pipeline whose fold is the row's period, null where there is none. Column arithmetic alone: a row's depends on no other row."""
-    found = F.lit(None).cast("double")
-    for f in sorted({r["fold"] for r in stored}):
-        own = sorted((r for r in stored if r["fold"] == f), key=lambda r: r["place"])
-        total = F.lit(own[0]["intercept"])
-        for r in own:
-            x, gone = F.col(r["feature"]).cast("double"), absent(F.col(r["feature"]))
-            total = total + (F.when(gone, r["fill"]).otherwise(x) - r["mean"]) / r["scale"] * r["coefficient"] + F.when(gone, r["flag"]).otherwise(0.0)
-        found = F.when(F.col(period) == f, total).otherwise(found)
-    return rows.withColumn(out, found)
+    """`rows` with `out`: the prediction of the pipeline whose fold is the row's period, null where there is none. A row's depends on no other row."""
+    if not stored:
+        return rows.withColumn(out, F.lit(None).cast("double"))
+    by: dict[int, dict] = {}
+    for r in sorted(stored, key=lambda r: (r["fold"], r["place"])):
+        by.setdefault(r["fold"], {})[r["feature"]] = r
+    features = list(next(iter(by.values())))
+    if any(set(own) != set(features) for own in by.values()):
+        raise ValueError("the pipelines are not of the same features")
+    numbers = np.array([[[own[c][n] for n in ("fill", "mean", "scale", "coefficient", "flag")] for c in features] for own in by.values()])
+    start, folds = np.array([own[features[0]]["intercept"] for own in by.values()]), np.array(list(by))
+
+    @F.pandas_udf("double")
+    def predicted(at: pd.Series, *values: pd.Series) -> pd.Series:
+        at, total = at.to_numpy(float), np.full(len(at), np.nan)
+        for f, own, first in zip(folds, numbers, start):
+            here = np.flatnonzero(at == f)
+            t = np.full(len(here), first)
+            for v, (fill, mean, scale, coefficient, flag) in zip(values, own):
+                x = v.to_numpy(float)[here]
+                gone = ~np.isfinite(x)
+                t += (np.where(gone, fill, x) - mean) / scale * coefficient + np.where(gone, flag, 0.0)
+            total[here] = t
+        return pd.Series(total)
+
+    # taken as nondeterministic, so that a filter on it is not pushed below it and computed a second time
+    moved = rows.withColumn(out, predicted.asNondeterministic()(F.col(period), *[F.col(c).cast("double") for c in features]))
+    return moved.withColumn(out, F.when(F.col(period).isin(*map(int, folds)), F.col(out)))

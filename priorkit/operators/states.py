@@ -27,8 +27,12 @@ def prior_sums(rows: DataFrame, keys: Sequence[str], value: Column, period: str
 
 def prior_rate(rows: DataFrame, value: Column, period: str = "season", default: float = 0.5) -> DataFrame:
     """(period, rate): the mean of all earlier periods; `default` for the first."""
+    return earlier_rate(rows.groupBy(period).agg(F.sum(value).alias("s"), F.count(value).alias("n")), period, default)  # a row for each period
+
+
+def earlier_rate(sums: DataFrame, period: str = "season", default: float = 0.5) -> DataFrame:
+    """`prior_rate` of rows whose sums (period, s, n) are known."""
     w = Window.orderBy(period).rangeBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(period).agg(F.sum(value).alias("s"), F.count(value).alias("n"))  # a row for each period
     return sums.select(period, F.coalesce(F.sum("s").over(w) / F.nullif(F.sum("n").over(w), F.lit(0)), F.lit(default)).alias("rate"))
 
 
@@ -37,6 +41,16 @@ def prior_effects(rows: DataFrame, keys: Sequence[str], residual: Column, k: flo
     return prior_sums(rows, keys, residual, period, width).select(*keys, period, (F.col("s") / (F.col("n") + k)).alias("effect"), "n")
 
 
+def residual_effects(sums: DataFrame, keys: Sequence[str], k: float, width: int, period: str = "season") -> DataFrame:
+    """(keys, period, effect): `prior_effects` of the residuals from each period's mean, from the sums (keys, period, s, n) of the values."""
+    sums = sums.where(F.col(period).isNotNull())
+    means = sums.groupBy(period).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("__mean"))  # a row for each period
+    rest = sums.join(F.broadcast(means), period).withColumn("s", F.when(F.col("n") > 0, F.col("s") - F.col("n") * F.col("__mean")))
+    w = Window.partitionBy(*keys).orderBy(period).rangeBetween(-width, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
+    return rest.select(*keys, period, (total("s") / (total("n") + k)).alias("effect"))
+
+
 def demeaned(rows: DataFrame, value: str, out: str, period: str = "season") -> DataFrame:
     """`value` less the mean of its period. The means, a row for each period, are joined back."""
     means = rows.groupBy(period).agg(F.avg(value).alias("__mean"))

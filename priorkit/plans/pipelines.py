@@ -15,15 +15,26 @@ from .base import facts, rounded
 FEATURES = ["discount", "tax", "quantity", "effect", "number"]
 
 
+def supplier_state(stage: Stage, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(effects of suppliers by year, earlier rates of years), from one scan of the lines."""
+    sums = stage(states.period_sums(f, ["l_suppkey"], F.col("target")))  # read by both
+    rate = states.earlier_rate(sums.groupBy("season").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    return states.residual_effects(sums, ["l_suppkey"], 200.0, 3), rate
+
+
+def line_features(j: DataFrame, *more: str) -> DataFrame:
+    """Residual and features of lines that have their rate and effect."""
+    zero = F.lit(0.0)
+    features = {"discount": F.nullif("l_discount", zero), "tax": F.nullif("l_tax", zero), "quantity": F.col("l_quantity"), "effect": F.col("effect"), "number": F.col("l_linenumber")}
+    return j.select("season", "l_suppkey", "target", "rate", (F.col("target") - F.col("rate")).alias("rest"), *[c.alias(k) for k, c in features.items()], *more)
+
+
 def residual_rows(spark, d) -> DataFrame:
     """Lines with the residual of their earlier rate and features; a discount or tax of 0 counts as missing, so does the effect of a supplier not seen before."""
+    stage = Stage(spark)
     f = facts(spark, d, "l_discount", "l_tax", "l_quantity")
-    r = states.demeaned(f, "target", "residual")
-    effect = states.prior_effects(r, ["l_suppkey"], F.col("residual"), 200.0, 3).drop("n")
-    j = r.drop("residual").join(small(effect), ["l_suppkey", "season"], "left").join(F.broadcast(states.prior_rate(f, F.col("target"))), "season")  # a rate for each year
-    zero = F.lit(0.0)
-    features = {"discount": F.nullif("l_discount", zero), "tax": F.nullif("l_tax", zero), "quantity": F.col("l_quantity"), "effect": F.col("effect"), "number": F.col("l_linenumber")}
-    return j.select("season", "l_suppkey", "target", "rate", (F.col("target") - F.col("rate")).alias("rest"), *[c.alias(k) for k, c in features.items()])
+    effect, rate = supplier_state(stage, f)
+    return line_features(f.join(small(stage(effect)), ["l_suppkey", "season"], "left").join(F.broadcast(rate), "season"))  # a rate for each year
 
 
 def moved_losses(scored: DataFrame) -> DataFrame:
@@ -52,16 +63,21 @@ def side_rows(spark, d) -> DataFrame:
 
     A line of a year sees the mapping and the summary of the year before alone; lines without a mapping are left to the base.
     """
-    rows = residual_rows(spark, d)
-    log = facts(spark, d, "l_partkey", "l_extendedprice", "l_quantity")
+    stage = Stage(spark)
+    f = facts(spark, d, "l_discount", "l_tax", "l_quantity")
+    effect, rate = supplier_state(stage, f)
     part = table(spark, d, "part", ["p_partkey", "p_brand", "p_size"])
-    log = log.join(part, log["l_partkey"] == part["p_partkey"])
-    counts = log.groupBy("season", "l_suppkey", "p_brand").agg(F.count("*").alias("c"))
-    best = counts.groupBy("season", "l_suppkey").agg(F.sum("c").alias("total"), F.min(F.struct((-F.col("c")).alias("neg"), F.col("p_brand").alias("brand"))).alias("m"))
+    log = facts(spark, d, "l_partkey", "l_extendedprice", "l_quantity")
+    log = log.select("season", "l_suppkey", "l_partkey", "target", (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("price")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    means = {"brand_rate": "target", "brand_price": "price", "brand_size": "p_size"}
+    added = [a for k, c in means.items() for a in (F.sum(c).alias(f"s_{k}"), F.count(c).alias(f"n_{k}"))]
+    cells = stage(log.groupBy("l_suppkey", "season", "p_brand").agg(F.count("*").alias("c"), *added))  # lines meet their parts once
+    best = cells.groupBy("season", "l_suppkey").agg(F.sum("c").alias("total"), F.min(F.struct((-F.col("c")).alias("neg"), F.col("p_brand").alias("brand"))).alias("m"))
     mapped = best.where((F.col("total") >= 5) & (-F.col("m.neg") / F.col("total") >= 0.02)).select((F.col("season") + 1).alias("season"), "l_suppkey", F.col("m.brand").alias("brand"), (-F.col("m.neg") / F.col("total")).alias("share"))
-    summary = log.groupBy((F.col("season") + 1).alias("season"), F.col("p_brand").alias("brand")).agg(
-        F.avg("target").alias("brand_rate"), F.avg(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("brand_price"), F.avg("p_size").alias("brand_size"))
-    return rows.join(small(mapped), ["season", "l_suppkey"]).join(small(summary), ["season", "brand"])
+    sums = cells.groupBy((F.col("season") + 1).alias("season"), F.col("p_brand").alias("brand")).agg(*[F.sum(f"{x}_{k}").alias(f"{x}_{k}") for k in means for x in "sn"])
+    summary = sums.select("season", "brand", *[(F.col(f"s_{k}") / F.nullif(F.col(f"n_{k}"), F.lit(0))).alias(k) for k in means])
+    side = mapped.join(effect, ["season", "l_suppkey"], "left").join(small(stage(summary)), ["season", "brand"])
+    return line_features(f.join(small(stage(side)), ["season", "l_suppkey"]).join(F.broadcast(rate), "season"), "brand", "share", *means)  # a rate for each year
 
 
 def side_log_residual(spark, d):

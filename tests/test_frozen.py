@@ -97,3 +97,14 @@ def test_queries_stay_near_the_base_on_later_years(spark):
     assert side.where("season = 1995 OR brand_rate IS NULL").count() == 0 and side.count() < rows.count()
     want = side.groupBy("season", "l_suppkey").agg(F.countDistinct("brand").alias("b")).where("b > 1").count()
     assert want == 0
+
+
+def test_side_rows_meet_their_parts_once(spark):
+    """The log's join of lines and parts is staged: what reads the side rows scans the lines once and no part; the summaries are those of the lines."""
+    side = pipelines.side_rows(spark, SF)
+    plan = side._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_returnflag#") and "p_brand" not in plan and "p_size" not in plan
+    log = spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/part.parquet"), F.col("l_partkey") == F.col("p_partkey"))
+    want = {tuple(r)[:2]: r for r in log.groupBy(F.year("l_shipdate") + 1, "p_brand").agg(F.avg((F.col("l_returnflag") == "R").cast("int")), F.avg(F.col("l_extendedprice") / F.col("l_quantity")), F.avg("p_size")).collect()}
+    for r in side.select("season", "brand", "brand_rate", "brand_price", "brand_size").distinct().collect():
+        assert tuple(r)[2:] == pytest.approx(tuple(want[r[0], r[1]])[2:])

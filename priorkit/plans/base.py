@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import BROADCAST_ROWS, small, table  # noqa: F401
+from ..operators import states
+from ..sources.io import BROADCAST_ROWS, Stage, small, table  # noqa: F401
 
 PLACES = 6
 
@@ -24,3 +25,10 @@ FACTS = "f AS (SELECT *, year(l_shipdate)::INTEGER AS season, (l_returnflag = 'R
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Sums of doubles depend on their order in the last digits; results are compared after rounding."""
     return df.withColumns({c: F.round(c, PLACES) for c in columns})
+
+
+def supplier_state(stage: Stage, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(effects of suppliers by year, earlier rates of years), from one scan of the lines."""
+    sums = stage(states.period_sums(f, ["l_suppkey"], F.col("target")))  # read by both
+    rate = states.earlier_rate(sums.groupBy("season").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    return states.residual_effects(sums, ["l_suppkey"], 200.0, 3), rate

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import logit, machines, mixed, states, trees
 from ..sources.io import Stage, shared_folder, small, table
-from .base import facts, rounded
+from .base import facts, rounded, supplier_state
 
 #: Fields and how many codes each has: the supplier's earlier effect, number, status, quantity, discount and quarter of the line.
 FIELDS = {"effect": 8, "number": 7, "status": 2, "quantity": 5, "discount": 4, "quarter": 4}
@@ -19,10 +19,9 @@ FIELDS = {"effect": 8, "number": 7, "status": 2, "quantity": 5, "discount": 4, "
 def field_cells(spark, d, counts: dict[str, Column] | None = None, *columns: str) -> DataFrame:
     """(season, FIELDS, n, hits, offset): all lines by their binned fields; the offset is the logit of the rate of earlier years. With the sums of `counts`, over `columns` too."""
     counts = counts or {}
-    f = states.demeaned(facts(spark, d, "l_quantity", "l_discount", *columns), "target", "residual")
-    effect = states.prior_effects(f, ["l_suppkey"], F.col("residual"), 200.0, 3)
-    rate = states.prior_rate(f, F.col("target"))
-    j = f.join(effect.drop("n"), ["l_suppkey", "season"], "left")
+    f, stage = facts(spark, d, "l_quantity", "l_discount", *columns), Stage(spark)
+    effect, rate = supplier_state(stage, f)
+    j = f.join(small(stage(effect)), ["l_suppkey", "season"], "left")
     codes = {
         "effect": X.truncated_bin(F.coalesce("effect", F.lit(0.0)), -0.06, 0.015, 7), "number": F.col("l_linenumber") - 1, "status": (F.col("l_linestatus") == "O").cast("int"),
         "quantity": X.truncated_bin(F.col("l_quantity"), 1.0, 10.0, 4), "discount": X.truncated_bin(F.col("l_discount"), 0.0, 0.03, 3), "quarter": F.quarter("l_shipdate") - 1,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import linalg, states
-from ..sources.io import table
+from ..sources.io import Stage, table
 from .base import FACTS, facts, rounded
 from .effects import KEYS, moved, predictions, predictions_sql, prior_cells
 
@@ -182,7 +182,7 @@ def scored_later(estimator, cells: DataFrame) -> DataFrame:
     """Of each year after LAST_FITTED: lines, Brier score of the earlier rate and of the model fitted on the years up to it, and the rate."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = weighted_rows(cells)
+    rows = weighted_rows(Stage(cells.sparkSession)(cells))  # a fit reads them many times; as many at most as the fields have values
     model = estimator.setWeightCol("weight").fit(rows.where(F.col("season") <= LAST_FITTED))
     p = model.transform(rows.where(F.col("season") > LAST_FITTED)).withColumn("p", vector_to_array("probability")[1])
     mean = lambda v: F.sum(F.col("weight") * v) / F.sum("weight")

@@ -10,18 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import frozen, states
 from ..sources.io import Stage, shared_folder, small, table
-from .base import facts, rounded
+from .base import facts, rounded, supplier_state
 
 FEATURES = ["discount", "tax", "quantity", "effect", "number"]
 
 
-def supplier_state(stage: Stage, f: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(effects of suppliers by year, earlier rates of years), from one scan of the lines."""
-    sums = stage(states.period_sums(f, ["l_suppkey"], F.col("target")))  # read by both
-    rate = states.earlier_rate(sums.groupBy("season").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
-    return states.residual_effects(sums, ["l_suppkey"], 200.0, 3), rate
-
-
 def line_features(j: DataFrame, *more: str) -> DataFrame:
     """Residual and features of lines that have their rate and effect."""
     zero = F.lit(0.0)

@@ -118,3 +118,20 @@ def test_models_of_spark_beat_the_base_on_later_years(spark):
     for estimator in (LogisticRegression(maxIter=20), GBTClassifier(maxIter=3, seed=1), RandomForestClassifier(numTrees=5, seed=1)):
         got = models.scored_later(estimator, cells).collect()
         assert {r.season for r in got} == {2000, 2001} and all(r.n == 6000 and r.brier < r.base - 0.02 for r in got)
+
+
+def test_fits_of_spark_read_staged_cells_and_effects_come_from_sums(spark):
+    from pyspark.sql import functions as F
+
+    from priorkit.operators import states
+    from priorkit.plans import base, models
+    from priorkit.sources.io import Stage
+
+    plan = models.random_forest(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_returnflag" not in plan  # no line is read again for the scores
+    f = base.facts(spark, "/root/testdata/sf0.001")
+    effect, rate = base.supplier_state(Stage(spark), f)
+    want = {(r[0], r[1]): r[2] for r in states.prior_effects(states.demeaned(f, "target", "r"), ["l_suppkey"], F.col("r"), 200.0, 3).collect()}
+    got = {(r[0], r[1]): r[2] for r in effect.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {tuple(r) for r in rate.collect()} == {tuple(r) for r in states.prior_rate(f, F.col("target")).collect()}

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scope, staged, table
+from .common import Scope, chunks, staged, table
 from .words import WordHasher, mix, windows
 
 CHAIN = 2
@@ -90,7 +90,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def work(batches):
         sign = Signer()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": [as_text(sign([t or ""])[0]) for t in pdf["text"]]})
+            prints = [as_text(s) for _, run in chunks(pdf["text"].tolist()) for s in sign(run)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fingerprint": prints})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(work, f"doc_id {kind}, fingerprint string")
@@ -122,7 +123,7 @@ def near_pairs(prints: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     make no class; null ids are left out; repeated ids are taken by their fingerprints.
     """
     scope = Scope(prints.sparkSession)
-    prints = prints.where(F.col("doc_id").isNotNull())
+    prints = staged(prints.where(F.col("doc_id").isNotNull()))  # the members read them too
     filled = prints.where(F.length("fingerprint") > 0)
     classes = staged(filled.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).withColumn("id", F.monotonically_increasing_id()))
     members = prints.join(classes, "fingerprint", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -132,11 +133,10 @@ def near_pairs(prints: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     def index(batches):
         edges = np.array(bounds)
         for pdf in batches:
-            rows = [pd.DataFrame({"token": np.zeros(0, np.int64), "id": 0, "n": 0, "own": 0})]
-            for i, text in zip(pdf["id"], pdf["fingerprint"]):
-                s = from_text(text)
-                rows.append(pd.DataFrame({"token": s.view(np.int64), "id": i, "n": len(s), "own": int(np.searchsorted(edges, len(s)))}))
-            yield pd.concat(rows)
+            sets = [from_text(text) for text in pdf["fingerprint"]]
+            n = np.array([len(s) for s in sets], np.int64)
+            each = np.repeat(np.arange(len(sets)), n)
+            yield pd.DataFrame({"token": np.concatenate([_NONE, *sets]).view(np.int64), "id": pdf["id"].to_numpy()[each], "n": n[each], "own": np.searchsorted(edges, n)[each]})
 
     found = scope(classes.select("id", "fingerprint").mapInPandas(index, "token long, id long, n int, own int"))
     often = found.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")  # a signature of one set finds nothing

@@ -310,3 +310,11 @@ def test_length_partitions_reach_one_further(percent):
         most = 100 * n // percent
         assert np.searchsorted(edges, most) - np.searchsorted(edges, n) <= 1
     assert spotsigs.least_length(100, 55) == 55 and spotsigs.least_length(180, 55) == 99
+
+
+def test_near_fingerprints_are_made_once(spark):
+    near = spotsigs.spotsigs_near(spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in near._jdf.queryExecution().optimizedPlan().toString()  # the members read the staged fingerprints
+    docs = spark.createDataFrame([(1, "the red fox is in a green wood"), (2, None), (3, "one"), (4, ""), (5, "the red fox")], "doc_id long, text string").coalesce(1)
+    whole = {r[0]: r[1] for r in spotsigs.fingerprints(docs).collect()}
+    assert whole == {i: spotsigs.as_text(spotsigs.Signer()([t or ""])[0]) for i, t in docs.collect()}

@@ -194,6 +194,12 @@ def segment_plans(ratio: float, longest: int = SEGMENTED) -> tuple[list[tuple],
     return left, right
 
 
+def symbol_bits(text: Column) -> Column:
+    """A bit for each character of a text, up to twelve of each of five groups by code point: texts d deletions and insertions apart differ in d bits at most."""
+    group = lambda g: F.size(F.filter(F.split(text, ""), lambda c: F.ascii(c) % 5 == g))
+    return sum((F.pow(F.lit(2.0), F.least(group(g), F.lit(12))) - 1).cast("long") * (1 << 12 * g) for g in range(5))
+
+
 def _near_texts(left: DataFrame, right: DataFrame, block: list[str], ratio: float) -> DataFrame:
     """(block, a, b, sa, sb): classes (block, class, s) of either side whose texts may match to `ratio`."""
     named = [side.select(*block, F.col("class").alias(k), F.col("s").alias(f"s{k}")) for k, side in zip("ab", (left, right))]
@@ -217,9 +223,11 @@ def _near_texts(left: DataFrame, right: DataFrame, block: list[str], ratio: floa
     for k, side, plan in zip("ab", named, segment_plans(ratio)):
         rows = side.sparkSession.createDataFrame(plan, "n int, other int, i int, at int, size int")
         lengths = ("n", "other") if k == "a" else ("other", "n")
-        held = side.withColumn("n", F.length(f"s{k}")).join(F.broadcast(rows), "n")  # bounded by the lengths
-        cut.append(held.select(*block, k, f"s{k}", *[F.col(c).alias(x) for c, x in zip(lengths, ("na", "nb"))], "i", F.substring(F.col(f"s{k}"), F.col("at") + 1, F.col("size")).alias("piece")))
-    short = cut[0].join(cut[1], [*block, "na", "nb", "i", "piece"]).select(*block, "a", "b", "sa", "sb").distinct()
+        held = side.withColumns({"n": F.length(f"s{k}"), f"bits_{k}": symbol_bits(F.col(f"s{k}"))}).join(F.broadcast(rows), "n")  # bounded by the lengths
+        cut.append(held.select(*block, k, f"s{k}", f"bits_{k}", *[F.col(c).alias(x) for c, x in zip(lengths, ("na", "nb"))], "i", F.substring(F.col(f"s{k}"), F.col("at") + 1, F.col("size")).alias("piece")))
+    most = f"int((na + nb) * {float(1 - ratio)!r}D + 1e-9D)"  # deletions and insertions
+    close = F.expr(f"bit_count(bits_a ^ bits_b) <= {most} AND levenshtein(sa, sb, {most}) >= 0")  # in the join itself: pairs that meet grow with the square of a block and are not to be written
+    short = cut[0].join(cut[1], [*block, "na", "nb", "i", "piece"]).where(close).select(*block, "a", "b", "sa", "sb").distinct()
     return near.unionByName(short)
 
 

@@ -121,3 +121,34 @@ def test_small_and_large_blocks_give_one_result_and_a_hot_pair_of_texts_meets_no
         assert not re.search(r"Join.*\(sa#\d+ = sa#\d+\)", plan)
         found.append((sorted(map(tuple, pairs.collect())), sorted(map(tuple, members.collect()))))
     assert found[0] == found[1] and len(found[0][0]) > 300
+
+
+def test_texts_that_share_a_segment_alone_are_not_paired(spark):
+    """Such pairs grow with the square of a block and are let through by the join only if their edits allow the ratio."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdeé字")
+    texts = ["".join(rng.choice(letters[:5] if k % 2 else letters, rng.integers(13, 19))) for k in range(240)] + ["a" * n + "b" * (30 - n) for n in range(0, 30, 3)]
+    other = ["".join(c for c in t if rng.random() > 0.05) for t in texts]
+    left, right = (spark.createDataFrame([(0, k, t) for k, t in enumerate(side)], "day int, class long, s string") for side in (texts, other))
+    near = resolve._near_texts(left, right, ["day"], 0.9)
+    got = {(r["a"], r["b"]) for r in resolve.matched(near, 0.9).collect()}
+    want = {(a, b) for a, t in enumerate(texts) for b, u in enumerate(other) if SequenceMatcher(None, t, u, autojunk=False).ratio() >= 0.9}
+    assert got == want and len(want) > 150 and near.count() < 1.2 * len(want)
+
+
+def test_edits_change_a_bit_each_at_most(spark):
+    rng = np.random.default_rng(6)
+    pairs = []
+    for n in (1, 5, 40, 48):
+        for letters in ("ab", "abcdefgh", "aé字😀"):
+            for d in (1, 2, 5):
+                t = list(rng.choice(list(letters), n))
+                u = list(t)
+                for _ in range(d):
+                    if rng.random() < 0.5 and len(u) > 1:
+                        u.pop(rng.integers(len(u)))
+                    else:
+                        u.insert(rng.integers(len(u) + 1), rng.choice(list(letters)))
+                pairs.append(("".join(t), "".join(u), d))
+    df = spark.createDataFrame(pairs, "t string, u string, d int").select("d", resolve.symbol_bits(F.col("t")).alias("x"), resolve.symbol_bits(F.col("u")).alias("y"))
+    assert df.where("bit_count(x ^ y) > d").count() == 0 and df.where("x > 0 AND y > 0").count() == len(pairs)
